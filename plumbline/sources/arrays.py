@@ -8,9 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ARRAY = "struct<shape:array<int>,data:array<float>,err:string>"
-PROBE = "struct<shape:array<int>,is_float:boolean,has_nan:boolean,has_inf:boolean,err:string>"
+_SHAPE = T.StructField("shape", T.ArrayType(T.IntegerType()))
+_ERR = T.StructField("err", T.StringType())
+ARRAY = T.StructType([_SHAPE, T.StructField("data", T.ArrayType(T.FloatType())), _ERR])
+PROBE = T.StructType([_SHAPE, *[T.StructField(c, T.BooleanType())
+                                for c in ("is_float", "has_nan", "has_inf")], _ERR])
 WEIGHT_MAP = "map<string,struct<alpha:double>>"
 
 
@@ -44,7 +48,7 @@ def _probe(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shape", "is_float", "has_nan", "has_inf", "err"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_array(data: pd.Series) -> pd.Series:
     """1-D float array to .npy bytes."""
     def pack(values: np.ndarray) -> bytes:
