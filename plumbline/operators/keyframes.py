@@ -30,11 +30,8 @@ def motion_gate(df: DataFrame, clip: str, ts_us: str, motion: str,
     """
     half = window_us // 2
     tile = max(tile_us or 64 * window_us, half, 1)
-    t = F.col(ts_us)
-    home = F.floor(t / F.lit(tile))
-    # floor of the exact integers: pmod avoids rounding of the division for large values.
-    home = ((t - F.pmod(t, F.lit(tile))) / F.lit(tile)).cast("bigint") if tile > 1 else home
-    offset = F.pmod(t, F.lit(tile))
+    offset = F.pmod(F.col(ts_us), F.lit(tile))
+    home = ((F.col(ts_us) - offset) / F.lit(tile)).cast("bigint")
     tiles = F.array_compact(F.array(
         home, F.when(offset < half, home - 1), F.when(offset >= tile - half, home + 1)))
     copies = df.withColumn("_home", home).withColumn("_tile", F.explode(tiles))
@@ -54,7 +51,10 @@ def top_confident(df: DataFrame, clip: str, confidence: str, tie: str,
 
 def temperature_weights(df: DataFrame, clip: str, confidence: str,
                         beta: float = TEMPERATURE, out: str = "alpha") -> DataFrame:
-    """``exp(beta*c)`` scaled to sum 1 per clip, on the at most ``k`` rows kept before."""
+    """``exp(beta*c)`` scaled to sum 1 per clip.
+
+    Meant for the few rows per clip that :func:`top_confident` keeps.
+    """
     e = F.exp(F.lit(beta) * F.col(confidence))
     return df.withColumn(out, e / F.sum(e).over(W.partitionBy(clip)))
 
@@ -77,7 +77,9 @@ def same_identity(df: DataFrame, a: str, b: str, minimum: float = SAME_IDENTITY)
 
 
 def check_pairs(pairs: DataFrame, clips: DataFrame, video: str = "video_id",
-                audio: str = "audio_id", clip: str = "clip_id") -> DataFrame:
+                audio: str = "audio_id", clip: str = "clip_id",
+                min_own: float = SAME_IDENTITY, max_other: float = OTHER_IDENTITY,
+                slack: float = DURATION_SLACK) -> DataFrame:
     """Judge listed (video, audio) pairs against the splice constraints.
 
     ``clips`` holds ``speaker, emotion, voice, reference, duration`` per clip.  Both
@@ -90,8 +92,8 @@ def check_pairs(pairs: DataFrame, clips: DataFrame, video: str = "video_id",
     both = pairs.join(side("v", video), video, "left").join(side("a", audio), audio, "left")
     own, other = cosine("a_voice", "a_reference"), cosine("a_voice", "v_reference")
     ok = ((F.col("v_speaker") != F.col("a_speaker")) & (F.col("v_emotion") != F.col("a_emotion"))
-          & (own >= F.lit(SAME_IDENTITY)) & (other <= F.lit(OTHER_IDENTITY))
-          & (F.abs(F.col("v_duration") - F.col("a_duration")) <= F.lit(DURATION_SLACK)))
+          & (own >= F.lit(min_own)) & (other <= F.lit(max_other))
+          & (F.abs(F.col("v_duration") - F.col("a_duration")) <= F.lit(slack)))
     return (both.withColumn("own_similarity", own).withColumn("other_similarity", other)
             .withColumn("ok", F.coalesce(ok, F.lit(False)))
             .select(*pairs.columns, "own_similarity", "other_similarity", "ok"))
