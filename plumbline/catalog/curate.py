@@ -195,7 +195,7 @@ def _(spark, sf):
 
 
 @query("admit", """WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'a.b.webm'
-    WHEN 2 THEN 'clip' ELSE 'clip.txt' END AS name, length(html) * 100000 AS size FROM pages)
+    WHEN 2 THEN 'clip' ELSE 'clip.txt' END AS name, length(html)::BIGINT * 100000 AS size FROM pages)
   SELECT page_id, CASE WHEN page_id % 4 >= 2 THEN 'unsupported format'
     WHEN size / 1e6 > 500 THEN 'file too large' END AS reject_reason FROM f""")
 def _(spark, sf):
@@ -204,7 +204,7 @@ def _(spark, sf):
             .otherwise("clip.txt"))
     files = table(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("/in.box/"), name).alias("path"),
-        (F.length("html") * 100000).alias("length"))
+        (F.length("html").cast("bigint") * 100000).alias("length"))
     return filters.admit(files, "path", "length").select("page_id", "reject_reason")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,18 +22,24 @@ DISPLAY_NAMES = {
 GENUINE, TAMPERED, SPLICED = "Genuine Pairs", "Emotion Tampering", "Cross-Identity Spliced"
 INAUDIBLE = "[inaudible]"
 
-#: Characters that count as surrounding white space (ASCII and Unicode spaces).
-SPACES = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      "
-          "          　")
+#: White space as a regular-expression class (ASCII, separators and line breaks).
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: White space at either end; the look-behind keeps long inner runs linear.
+_ENDS = rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z"
 
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(col: Column | str) -> Column:
     """Remove white space at both ends (``trim`` alone removes only blanks)."""
-    return F.btrim(as_col(col), F.lit(SPACES))
+    return F.regexp_replace(as_col(col), _ENDS, "")
 
 
 def source_group(col: Column | str) -> Column:
@@ -48,28 +54,27 @@ def donor_group(col: Column | str) -> Column:
     return F.when(c.contains(SPLICE), F.substring_index(donor, "_", 1)).otherwise(source_group(c))
 
 
-def _lookup(mapping: Mapping[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def _position(key: Column, names: Sequence[str]) -> Column:
+    """0-based position of a key in a fixed list, -1 when it is not there.
 
-
-def index_of(names: Sequence[str]) -> dict[str, int]:
-    return {name: i for i, name in enumerate(names)}
+    A map lookup would be rewritten to a CASE that evaluates the key once per entry.
+    """
+    return F.array_position(F.array(*[F.lit(n) for n in names]), key) - 1
 
 
 def label_from_token(col: Column | str, names: Sequence[str], pos: int = 2) -> Column:
     """Label index from one token of an id; NULL when the token is absent or unknown."""
-    token = F.get(F.split(as_col(col), "_"), F.lit(pos))
-    return F.try_element_at(_lookup(index_of(names)), token)
+    return encode_labels(F.get(F.split(as_col(col), "_"), F.lit(pos)), names)
 
 
 def label_from_text(col: Column | str, names: Sequence[str]) -> Column:
     """Label index from free text, ignoring case and surrounding white space."""
-    return F.try_element_at(_lookup(index_of(names)), F.lower(strip(col)))
+    return encode_labels(F.lower(strip(col)), names)
 
 
 def encode_labels(col: Column | str, names: Sequence[str]) -> Column:
     """Position of an exact name in ``names``; NULL when unknown."""
-    return F.try_element_at(_lookup(index_of(names)), as_col(col))
+    return F.nullif(_position(as_col(col), names), F.lit(-1)).cast("int")
 
 
 def decode_labels(col: Column | str, names: Sequence[str]) -> Column:
@@ -78,7 +83,8 @@ def decode_labels(col: Column | str, names: Sequence[str]) -> Column:
 
 
 def display_name(col: Column | str, names: Mapping[str, str] = DISPLAY_NAMES) -> Column:
-    return F.try_element_at(_lookup(names), as_col(col))
+    """Display name of a code; NULL when unknown."""
+    return decode_labels(_position(as_col(col), list(names)).cast("int"), list(names.values()))
 
 
 def dataset_of(col: Column | str, rules: Sequence[tuple[str, str]], default: str) -> Column:
@@ -120,9 +126,9 @@ def count_or_zero(col: Column | str) -> Column:
     Surrounding white space, a sign and single underscores between digits are
     allowed.  Values beyond 64 bits saturate, which keeps every comparison right.
     """
-    t = strip(col)
-    digits = F.regexp_replace(t, "_", "")
-    parsed = digits.try_cast("bigint")
-    saturated = F.when(t.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
-    return (F.when(t.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.coalesce(parsed, saturated))
-            .otherwise(F.lit(0).cast("bigint")))
+    def parse(t: Column) -> Column:
+        saturated = F.when(t.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+        return (F.when(t.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
+                       F.coalesce(F.regexp_replace(t, "_", "").try_cast("bigint"), saturated))
+                .otherwise(F.lit(0).cast("bigint")))
+    return F.coalesce(let(strip(col), parse), F.lit(0).cast("bigint"))

@@ -7,12 +7,12 @@ would evaluate the enclosing expression again for every element.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .keys import as_col
+from .keys import as_col, let
 
 # Crop width, slot count, padding caps, mask floor, guards.
 CROP_WIDTH = 128
@@ -24,11 +24,6 @@ STD_GUARD = 1e-6
 WEIGHT_GUARD = 1e-8
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def doubles(arr: Column | str) -> Column:
     return as_col(arr).cast("array<double>")
 

@@ -49,5 +49,5 @@ def _first_of(df: DataFrame, stratum: str, sizes: dict[str, int], key: Column) -
         return [size]
 
     units = df.select(stratum, key.alias("_k"))
-    cuts = cut_points(units, [stratum], "_k", None, targets, few_strata=True)
+    cuts = cut_points(units, [stratum], "_k", None, targets, few_strata=True).settled()
     return place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")

@@ -1,9 +1,10 @@
 """Binary evaluation: thresholded counts, exact ROC-AUC, ROC points, subgroup tables.
 
 AUC and ROC need scores in order.  Scores are first reduced to counts per distinct
-value, then cut into value ranges at approximate quantiles of the data.  Ranges
-only balance the work: counts in front of a range come from a small table of range
-totals, so the result is exact wherever the cuts fall.
+value, in one pass over the rows; that table is settled, counted, and cut into value
+ranges at approximate quantiles when it is large.  Ranges only balance the work:
+counts in front of a range come from a small table of range totals, so the result
+is exact wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import GENUINE
 from ..functions.scores import THRESHOLD
+from ..session import settle
 from .classify import guarded_f1
 
-#: Value ranges the distinct scores are cut into.
-RANGES = 512
+#: Distinct scores per value range, and the largest number of ranges.
+RANGE_ROWS = 500_000
+MAX_RANGES = 10_000
 
 
 def _prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -52,58 +55,78 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = THRESHOLD,
 
 # -- ordered scores ----------------------------------------------------------------
 
-def _ranges(df: DataFrame, p: str, ranges: int) -> Bucketizer:
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.select(F.col(p).cast("double").alias("p")).approxQuantile("p", probs, 0.5 / ranges)
-    inner = sorted({c for c in cuts if c == c and abs(c) != float("inf")})
-    splits = [float("-inf"), *inner, float("inf")]
+def _ranges(counts: DataFrame, range_rows: int) -> Bucketizer:
+    """Value ranges of about ``range_rows`` rows each of a settled count table."""
+    n = min(MAX_RANGES, -(-counts.count() // range_rows))
+    inner: set[float] = set()
+    if n > 1:
+        cuts = counts.approxQuantile("p", [i / n for i in range(1, n)], 0.5 / n)
+        inner = {c for c in cuts if c == c and abs(c) != float("inf")}
+    splits = [float("-inf"), *sorted(inner or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol="p", outputCol="range", handleInvalid="keep")
 
 
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score (``-0.0`` counts as ``0.0``)."""
     score = F.col(p).cast("double") + F.lit(0.0)
-    return (df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-            .groupBy(*by, score.alias("p"))
-            .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+    return settle(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+                  .groupBy(*by, score.alias("p"))
+                  .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
 
 
-def _auc_of_counts(counts: DataFrame, by: Sequence[str], cutter: Bucketizer) -> DataFrame:
-    """Exact AUC with mid-ranks for ties from distinct-score counts."""
+def _wins(counts: DataFrame, pool: Sequence[str], kind: Sequence[str], cutter: Bucketizer,
+          extra: Sequence[str] = ()) -> DataFrame:
+    """Per (pool, kind): won pairs of the kind's positives against the pool's negatives.
+
+    The negatives of a pool are shared by all of its kinds through one running count,
+    so nothing is replicated.  Rows of equal score are peers: half of the negatives
+    at the same score count as won.
+    """
     ranged = cutter.transform(counts)
-    inner = W.partitionBy(*by, "range").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(inner), F.lit(0)).cast("double")
-    pairs = F.col("pos").cast("double") * (below + F.col("neg") / 2)
-    totals = (ranged.withColumn("_pairs", pairs).groupBy(*by, "range")
-              .agg(F.sum("_pairs").alias("_pairs"), F.sum("pos").alias("pos"),
-                   F.sum("neg").alias("neg")))
-    # At most one row per range and group from here on.
-    outer = (W.partitionBy(*(by or [F.lit(0)])).orderBy("range")
-             .rowsBetween(W.unboundedPreceding, -1))
-    before = F.coalesce(F.sum("neg").over(outer), F.lit(0)).cast("double")
-    wins = totals.withColumn("_wins", F.col("_pairs") + F.col("pos").cast("double") * before)
-    n_pos, n_neg = F.sum("pos"), F.sum("neg")
-    auc = F.try_divide(F.sum("_wins"), n_pos.cast("double") * n_neg.cast("double"))
-    return wins.groupBy(*by).agg(auc.alias("auc"), n_pos.alias("n_pos"), n_neg.alias("n_neg"))
-
-
-def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    up_to = W.partitionBy(*pool, "range").orderBy("p")
+    level = F.sum("neg").over(W.partitionBy(*pool, "range", "p"))
+    below = F.sum("neg").over(up_to).cast("double") - level / 2
+    inside = (ranged.withColumn("_in", F.col("pos").cast("double") * below)
+              .groupBy(*pool, *kind, "range")
+              .agg(F.sum("_in").alias("_in"),
+                   *[F.sum(c).alias(c) for c in ("pos", "neg", *extra)]))
+    # At most one row per range and kind from here on.
+    own = F.sum("neg").over(W.partitionBy(*pool, "range"))
+    through = F.sum("neg").over(W.partitionBy(*_constant(pool)).orderBy("range"))
+    won = inside.withColumn(
+        "_won", F.col("_in") + F.col("pos").cast("double") * (through - own).cast("double"))
+    return won.groupBy(*pool, *kind).agg(
+        F.sum("_won").alias("_won"), *[F.sum(c).alias(c) for c in ("pos", "neg", *extra)])
+
+
+def _constant(cols: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in cols] or [F.lit(0)]
+
+
+def _auc(won: Column, pos: Column, neg: Column) -> Column:
+    return F.try_divide(won, pos.cast("double") * neg.cast("double"))
+
+
+def auc(df: DataFrame, y: str, p: str, by: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
     """ROC-AUC per group; ties count half, NULL when a group has one class only."""
-    return _auc_of_counts(_score_counts(df, y, p, by), by, _ranges(df, p, ranges))
+    counts = _score_counts(df, y, p, by)
+    won = _wins(counts, by, [], _ranges(counts, range_rows))
+    return won.select(*by, _auc(F.col("_won"), F.col("pos"), F.col("neg")).alias("auc"),
+                      F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"))
 
 
 def roc_points(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
-               ranges: int = RANGES) -> DataFrame:
+               range_rows: int = RANGE_ROWS) -> DataFrame:
     """(fpr, tpr) at every distinct score taken as threshold, plus the origin, whose
     threshold is NULL."""
     counts = _score_counts(df, y, p, by)
-    return _roc_of_counts(counts, by, _ranges(df, p, ranges))
+    return _roc_of_counts(counts, by, _ranges(counts, range_rows))
 
 
 def _roc_of_counts(counts: DataFrame, by: Sequence[str], cutter: Bucketizer) -> DataFrame:
     ranged = cutter.transform(counts)
     totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
-    whole = W.partitionBy(*(by or [F.lit(0)]))
+    whole = W.partitionBy(*_constant(by))
     above = whole.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "range",
@@ -126,77 +149,66 @@ def _roc_of_counts(counts: DataFrame, by: Sequence[str], cutter: Bucketizer) ->
 
 # -- subgroups -----------------------------------------------------------------------
 
-def _versus_reference(parts: DataFrame, dataset: str, kind: str, reference: str,
-                      sums: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Add each dataset's reference rows (y = 0) to every other kind of that dataset.
-
-    ``parts`` is already aggregated, so what is replicated is a count table.  The
-    number of kinds per dataset is read off the aggregate.
-    """
-    kinds = (parts.filter(F.col(kind) != reference).select(dataset, kind).distinct())
-    pool = parts.filter("is_ref").groupBy(dataset, *extra).agg(*[F.sum(c).alias(c) for c in sums])
-    shared = kinds.join(pool, dataset)
-    own = (parts.filter((F.col(kind) != reference) & ~F.col("is_ref"))
-           .select(dataset, kind, *extra, *sums))
-    return (own.unionByName(shared.select(*own.columns))
-            .groupBy(dataset, kind, *extra).agg(*[F.sum(c).alias(c) for c in sums]))
-
-
 def one_vs_reference(df: DataFrame, dataset: str, kind: str, y: str, p: str,
                      reference: str = GENUINE, threshold: float = THRESHOLD,
-                     ranges: int = RANGES) -> DataFrame:
+                     range_rows: int = RANGE_ROWS) -> DataFrame:
     """Subgroup table: every forged kind against its dataset's genuine rows.
 
     The reference kind's own row holds only the share of scores below the threshold.
     A last row ``OVERALL / all pairs`` scores all rows once.
     """
-    outcome = ["tp", "tn", "fp", "fn"]
-    # One pass: counts per (dataset, kind, is genuine, distinct score).
-    scores = (_score_counts(
-        df.withColumn("is_ref", F.col(y) == 0), y, p, [dataset, kind, "is_ref"]))
-    hit = F.col("p") >= F.lit(threshold)
-    zero = F.lit(0).cast("bigint")
+    scores = _score_counts(df, y, p, [dataset, kind])
+    cutter = _ranges(scores, range_rows)
+    hit, zero = F.col("p") >= F.lit(threshold), F.lit(0).cast("bigint")
     tagged = scores.select(
-        "*", F.when(hit, F.col("pos")).otherwise(zero).alias("tp"),
-        F.when(hit, zero).otherwise(F.col("neg")).alias("tn"),
-        F.when(hit, F.col("neg")).otherwise(zero).alias("fp"),
-        F.when(hit, zero).otherwise(F.col("pos")).alias("fn"))
-    cutter = _ranges(df, p, ranges)
-
-    per_kind = tagged.groupBy(dataset, kind, "is_ref").agg(*[F.sum(c).alias(c) for c in outcome])
-    counts = _versus_reference(per_kind, dataset, kind, reference, outcome).select(
-        dataset, kind, *_rates())
-    curves = _versus_reference(scores, dataset, kind, reference, ["pos", "neg"], ["p"])
-    aucs = _auc_of_counts(curves, [dataset, kind], cutter).select(dataset, kind, "auc")
-    forged = counts.join(aucs, [dataset, kind], "left")
-
-    low = F.sum(F.when(hit, zero).otherwise(F.col("pos") + F.col("neg")))
-    n = F.sum(F.col("pos") + F.col("neg"))
-    none = F.lit(None).cast("double")
-    genuine = (tagged.filter(F.col(kind) == reference).groupBy(dataset, kind)
-               .agg(n.alias("n"), (low / n).alias("acc"))
-               .select("*", *[none.alias(c) for c in ("precision", "recall", "f1", "auc")]))
-
-    total = tagged.agg(*[F.sum(c).alias(c) for c in outcome]).select(*_rates())
-    merged = scores.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    whole = _auc_of_counts(merged, [], cutter).select("auc", F.lit(0).alias("_one"))
-    overall = total.withColumn("_one", F.lit(0)).join(whole, "_one").select(
-        F.lit("OVERALL").alias(dataset), F.lit("all pairs").alias(kind), "n", "acc", "precision",
-        "recall", "f1", "auc")
-    cols = overall.columns
-    return forged.select(*cols).unionByName(genuine.select(*cols)).unionByName(overall)
+        dataset, kind, "p", "pos", "neg",
+        F.when(hit, F.col("pos")).otherwise(zero).alias("tp"),
+        F.when(hit, F.col("neg")).otherwise(zero).alias("fp"))
+    whole = tagged.withColumn(dataset, F.lit("OVERALL")).withColumn(kind, F.lit("all pairs"))
+    won = _wins(tagged.unionByName(whole), [dataset], [kind], cutter, ["tp", "fp"])
+
+    # One row per (dataset, kind): the rest is arithmetic on totals.
+    pool = W.partitionBy(dataset)
+    n_ref, fp_ref = F.sum("neg").over(pool), F.sum("fp").over(pool)
+    is_ref = F.col(kind) == reference
+    table = won.select(
+        dataset, kind, is_ref.alias("_ref"), (F.col("pos") + F.col("neg")).alias("_own"),
+        (F.col("pos") + F.col("neg") - F.col("tp") - F.col("fp")).alias("_low"),
+        "tp", fp_ref.alias("fp"), (n_ref - fp_ref).alias("tn"),
+        (F.col("pos") - F.col("tp")).alias("fn"),
+        _auc(F.col("_won"), F.col("pos"), n_ref).alias("_auc"))
+    rates = dict(zip(("n", "acc", "precision", "recall", "f1"), _rates(), strict=True))
+
+    def unless_ref(value: Column, other: Column | None = None) -> Column:
+        plain = F.when(~F.col("_ref"), value)
+        return plain if other is None else plain.otherwise(other)
+
+    return table.select(
+        dataset, kind, unless_ref(rates["n"], F.col("_own")).alias("n"),
+        unless_ref(rates["acc"], F.col("_low") / F.col("_own")).alias("acc"),
+        *[unless_ref(rates[c]).alias(c) for c in ("precision", "recall", "f1")],
+        unless_ref(F.col("_auc")).alias("auc"))
 
 
 def roc_by_kind(df: DataFrame, kind: str, y: str, p: str, reference: str = GENUINE,
-                ranges: int = RANGES) -> DataFrame:
-    """ROC points of every forged kind against all genuine rows, and over all rows."""
-    one = df.withColumn("_all", F.lit(0)).withColumn("is_ref", F.col(y) == 0)
-    scores = _score_counts(one, y, p, ["_all", kind, "is_ref"])
-    cutter = _ranges(df, p, ranges)
-    curves = _versus_reference(scores, "_all", kind, reference, ["pos", "neg"], ["p"]).drop("_all")
-    merged = (scores.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-              .withColumn(kind, F.lit("all pairs")))
-    return _roc_of_counts(curves.unionByName(merged.select(*curves.columns)), [kind], cutter)
+                range_rows: int = RANGE_ROWS) -> DataFrame:
+    """ROC points of every forged kind against all genuine rows, and over all rows.
+
+    Every curve has a point at each genuine score, so here the genuine counts are
+    replicated, after they were reduced to distinct scores.
+    """
+    scores = _score_counts(df, y, p, [kind])
+    cutter = _ranges(scores, range_rows)
+    zero = F.lit(0).cast("bigint")
+    kinds = scores.filter(F.col(kind) != reference).agg(F.sort_array(F.collect_set(kind)).alias("_k"))
+    ref = scores.filter("neg > 0").select("p", zero.alias("pos"), "neg")
+    names = kinds.scalar()
+    shared = ref.withColumn(kind, F.explode(names))
+    own = scores.filter((F.col(kind) != reference) & (F.col("pos") > 0)).withColumn("neg", zero)
+    every = scores.withColumn(kind, F.lit("all pairs"))
+    curves = shared.unionByName(own).unionByName(every)
+    merged = curves.groupBy(kind, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _roc_of_counts(merged, [kind], cutter)
 
 
 def confusion_by(df: DataFrame, by: str, p: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import as_col
@@ -138,15 +139,13 @@ def issues(manifest: DataFrame, health: DataFrame) -> DataFrame:
     are not reported.
     """
     usable = F.col("has_audio") | F.col("has_text") | F.col("has_visual")
-    stop = (health.filter(usable).groupBy("source", "file_id")
-            .agg(F.min("base_rank").alias("_stop")))
-    bad = (health.withColumn("_i", F.explode(_row_issues()))
-           .select("source", "file_id", "base", "base_rank", "_i.modality", "_i.issue"))
-    read = (bad.join(stop, ["source", "file_id"], "left")
-            .filter(F.col("_stop").isNull() | (F.col("base_rank") <= F.col("_stop"))))
-    return (manifest.select("source", "file_id")
-            .join(read, ["source", "file_id"])
-            .select("source", "file_id", "base", "modality", "issue"))
+    # One row per base and id from here on: the window sees a handful of rows.
+    stop = F.min(F.when(usable, F.col("base_rank"))).over(W.partitionBy("source", "file_id"))
+    read = (health.withColumn("_stop", stop)
+            .filter(F.col("_stop").isNull() | (F.col("base_rank") <= F.col("_stop")))
+            .withColumn("_i", F.explode(_row_issues()))
+            .select("source", "file_id", "base", "_i.modality", "_i.issue"))
+    return manifest.select("source", "file_id").join(read, ["source", "file_id"])
 
 
 def issue_summary(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ row is then placed by comparing its own key with the boundaries.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -46,6 +46,10 @@ class Cuts:
     count: int
     small: bool
 
+    def settled(self) -> Cuts:
+        """The same cuts computed once, for rows that are read more than once."""
+        return replace(self, frame=settle(self.frame))
+
 
 def cut_points(units: DataFrame, strata: Sequence[str], key: str, weight: str | None,
                targets: Callable[[Column], Sequence[Column]], few_strata: bool = False,
@@ -102,16 +106,17 @@ def place(rows: DataFrame, cuts: Cuts, key: Column, names: Sequence[object],
     """Name the slice every row falls into: one name per cut and one for the rest."""
     if len(names) != cuts.count + 1:
         raise ValueError("need one more name than cuts")
-    joined = rows.withColumn("_key", key)
     if cuts.strata:
-        joined = join_summary(joined, cuts.frame, cuts.strata, "left", cuts.small)
+        joined = join_summary(rows.withColumn("_key", key), cuts.frame, cuts.strata, "left",
+                              cuts.small)
+        own, limits = F.col("_key"), [F.col(f"cut_{i}") for i in range(cuts.count)]
     else:
-        # A global aggregate: exactly one row, matched on a constant.
-        joined = join_summary(joined.withColumn("_one", F.lit(0)),
-                              cuts.frame.withColumn("_one", F.lit(0)), ["_one"], "left", True)
+        # A global aggregate has exactly one row: read it as a scalar, without a join.
+        bounds = cuts.frame.select(F.struct(*cuts.frame.columns)).scalar()
+        joined, own, limits = rows, key, [bounds[f"cut_{i}"] for i in range(cuts.count)]
     slot = F.lit(names[-1])
-    for i in reversed(range(cuts.count)):
-        slot = F.when(F.col("_key") <= F.col(f"cut_{i}"), F.lit(names[i])).otherwise(slot)
+    for name, limit in reversed(list(zip(names, limits, strict=False))):
+        slot = F.when(own <= limit, F.lit(name)).otherwise(slot)
     return joined.withColumn(out, slot).select(*rows.columns, out)
 
 

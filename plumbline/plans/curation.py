@@ -4,16 +4,17 @@ evaluation, health check and leakage audit."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import donor_group, pair_type_from_id, source_group
+from ..functions.keys import as_col, donor_group, pair_type_from_id, source_group
+from ..functions.vectors import std_pop, total
 from ..operators.binary import one_vs_reference
 from ..operators.dedup import dedup_first
 from ..operators.filters import keep_forged, keep_genuine
 from ..operators.health import (
-    array_profile,
     balance_report,
     class_profile,
     health_rows,
@@ -23,6 +24,7 @@ from ..operators.health import (
 from ..operators.leakage import cross_stage_overlap, disjoint_check, overlap, part_sizes
 from ..operators.resolve import complete_samples
 from ..operators.splits import split_by_group
+from ..session import settle
 from ..sources.arrays import probe_arrays
 
 KIND = "forgery_type"
@@ -75,13 +77,16 @@ def health_check(manifest: DataFrame, listing_with_content: DataFrame) -> DataFr
     return issues(manifest, health_rows(arrays.unionByName(rest)))
 
 
-def _rows(df: DataFrame, check: str, subject: Column, value: Column,
-          limit: float | None = None) -> DataFrame:
-    bound = F.lit(limit).cast("double")
-    v = value.cast("double")
-    return df.select(F.lit(check).alias("check"), subject.cast("string").alias("subject"),
-                     v.alias("value"), bound.alias("limit"),
-                     (F.lit(True) if limit is None else v <= bound).alias("ok"))
+def _rows(df: DataFrame, *facts: tuple[str, Column, Column, float | None]) -> DataFrame:
+    """(check, subject, value, limit, ok) rows; several facts per input row in one pass."""
+    structs = []
+    for check, subject, value, limit in facts:
+        v = value.cast("double")
+        structs.append(F.struct(
+            F.lit(check).alias("check"), subject.cast("string").alias("subject"),
+            v.alias("value"), F.lit(limit).cast("double").alias("limit"),
+            (F.lit(True) if limit is None else v <= F.lit(float(limit))).alias("ok")))
+    return df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
 def audit(pairs: DataFrame, first_stage: DataFrame, length: Column | str,
@@ -89,41 +94,42 @@ def audit(pairs: DataFrame, first_stage: DataFrame, length: Column | str,
     """Leakage and shortcut report as (check, subject, value, limit, ok).
 
     ``pairs`` and ``first_stage`` hold file_id, group_key and their part; ``pairs``
-    also label and donor_key.  Checks that must be zero carry a limit of 0.
+    also label and donor_key.  Checks that must be zero carry a limit of 0.  Both
+    inputs are reduced to the few narrow columns the checks need and settled, because
+    every check reads them again.
     """
-    typed = pairs.withColumn("ptype", pair_type_from_id("label", "file_id"))
-    profile = array_profile(typed, "ptype", weights)
-    lengths = class_profile(typed, "ptype", length)
-    genuine = typed.filter("label = 0")
-    forged = typed.filter("label = 1")
+    a = F.col(weights).cast("array<double>")
+    typed = settle(pairs.select(
+        "file_id", "group_key", "donor_key", "label", F.col(part).alias("part"),
+        pair_type_from_id("label", "file_id").alias("ptype"), as_col(length).alias("length"),
+        total(a).alias("w_total"), std_pop(a).alias("w_std"), F.array_max(a).alias("w_max")))
+    trained = settle(first_stage.filter(F.col(part) == "train").select(
+        "file_id", "group_key", F.lit("train").alias("part")))
     kind = F.col("ptype")
-    out = [
-        _rows(profile, "weight_std", kind, F.col("mean_std")),
-        _rows(profile, "weight_max", kind, F.col("mean_max")),
-        _rows(lengths, "length_mean", kind, F.col("mean")),
-        _rows(lengths, "length_std", kind, F.col("std")),
-        _rows(lengths, "length_min", kind, F.col("min")),
-        _rows(lengths, "length_max", kind, F.col("max")),
-        _rows(overlap(forged, genuine, "group_key"), "source_groups_shared",
-              F.lit("forged-genuine"), F.col("n_both")),
-        _rows(overlap(forged.select(F.col("donor_key").alias("group_key")), genuine, "group_key"),
-              "donor_groups_shared", F.lit("forged-genuine"), F.col("n_both")),
-        _rows(disjoint_check(typed, "group_key", part), "parts_share_groups",
-              F.concat_ws("-", "part_a", "part_b"), F.col("n_shared"), 0),
-        _rows(part_sizes(typed, part), "part_rows", F.col("part"), F.col("n")),
+    weighted = F.col("w_total") > 0
+    profile = typed.groupBy("ptype").agg(
+        F.avg(F.when(weighted, F.col("w_std"))).alias("w_std"),
+        F.avg(F.when(weighted, F.col("w_max"))).alias("w_max"))
+    held = typed.filter("part = 'test'")
+    genuine, forged = typed.filter("label = 0"), typed.filter("label = 1")
+    donors = forged.select("part", F.col("donor_key").alias("group_key"))
+    between, shared = F.lit("forged-genuine"), F.col("n_both")
+    report = [
+        _rows(profile.filter("w_std IS NOT NULL"), ("weight_std", kind, F.col("w_std"), None),
+              ("weight_max", kind, F.col("w_max"), None)),
+        _rows(class_profile(typed, "ptype", "length"),
+              *[(f"length_{c}", kind, F.col(c), None) for c in ("mean", "std", "min", "max")]),
+        _rows(overlap(forged, genuine, "group_key"), ("source_groups_shared", between, shared, None)),
+        _rows(overlap(donors, genuine, "group_key"), ("donor_groups_shared", between, shared, None)),
+        _rows(disjoint_check(typed, "group_key"),
+              ("parts_share_groups", F.concat_ws("-", "part_a", "part_b"), F.col("n_shared"), 0)),
+        _rows(part_sizes(typed), ("part_rows", F.col("part"), F.col("n"), None)),
+        _rows(balance_report(typed), ("part_genuine", F.col("part"), F.col("n_genuine"), None),
+              ("part_fake", F.col("part"), F.col("n_fake"), None)),
+        _rows(mix_report(held), ("test_mix", kind, F.col("n"), None)),
+        _rows(cross_stage_overlap(trained, typed, "file_id", "group_key"),
+              ("heldout_seen_in_first_stage", F.col("subject"), F.col("n_seen"), 0)),
+        _rows(overlap(donors.filter("part = 'test'"), trained, "group_key"),
+              ("heldout_donors_seen", F.lit("donor groups"), shared, None)),
     ]
-    bal = balance_report(typed, part)
-    out += [_rows(bal, "part_genuine", F.col(part), F.col("n_genuine")),
-            _rows(bal, "part_fake", F.col(part), F.col("n_fake")),
-            _rows(mix_report(typed.filter(F.col(part) == "test"), part), "test_mix", kind, F.col("n"))]
-    held = typed.filter(F.col(part) == "test")
-    trained = first_stage.filter(F.col(part) == "train")
-    donors = held.filter("label = 1").select(F.col("donor_key").alias("group_key"))
-    out += [_rows(cross_stage_overlap(first_stage, typed, "file_id", "group_key", part),
-                  "heldout_seen_in_first_stage", F.col("subject"), F.col("n_seen"), 0),
-            _rows(overlap(donors, trained, "group_key"), "heldout_donors_seen",
-                  F.lit("donor groups"), F.col("n_both"))]
-    total = out[0]
-    for o in out[1:]:
-        total = total.unionByName(o)
-    return total
+    return reduce(DataFrame.unionByName, report)

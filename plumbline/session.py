@@ -24,7 +24,9 @@ def local_session(app: str = "plumbline", cpus: str = "*", **conf: str) -> Spark
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
