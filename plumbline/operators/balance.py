@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,23 +31,25 @@ def balance(df: DataFrame, kind: str, ids: Sequence[str], genuine: str,
     counts = {k: row[f"n{i}"] for i, k in enumerate(kinds)}
     each, side = quotas(counts, genuine, forged)
     wanted = {genuine: side, **{t: each for t in forged}}
-    chosen = _first_of(pool, kind, wanted, order_key(ids, seed))
+
+    def size_of(_: Column) -> list[Column]:
+        size = F.lit(0)
+        for name, n in wanted.items():
+            size = F.when(F.col(kind) == name, F.lit(n)).otherwise(size)
+        return [size]
+
+    chosen = _first(pool, [kind], size_of, order_key(ids, seed))
     if side < each * len(forged):
         # Genuine rows are the shorter side: cut the mixed forged rows in a fresh order.
-        mixed = chosen.filter(F.col(kind) != genuine).withColumn("_side", F.lit("forged"))
-        mixed = _first_of(mixed, "_side", {"forged": side}, order_key(ids, seed + 1))
-        chosen = chosen.filter(F.col(kind) == genuine).unionByName(mixed.drop("_side"))
+        mixed = _first(chosen.filter(F.col(kind) != genuine), [], lambda _: [F.lit(side)],
+                       order_key(ids, seed + 1))
+        chosen = chosen.filter(F.col(kind) == genuine).unionByName(mixed)
     return chosen
 
 
-def _first_of(df: DataFrame, stratum: str, sizes: dict[str, int], key: Column) -> DataFrame:
-    """The given number of rows of each named stratum, in key order."""
-    def targets(_: Column) -> list[Column]:
-        size = F.lit(0)
-        for name, n in sizes.items():
-            size = F.when(F.col(stratum) == name, F.lit(n)).otherwise(size)
-        return [size]
-
-    units = df.select(stratum, key.alias("_k"))
-    cuts = cut_points(units, [stratum], "_k", None, targets, few_strata=True).settled()
+def _first(df: DataFrame, strata: list[str], sizes: Callable[[Column], list[Column]],
+           key: Column) -> DataFrame:
+    """The given number of rows of each stratum (named by the caller), in key order."""
+    units = df.select(*strata, key.alias("_k"))
+    cuts = cut_points(units, strata, "_k", None, sizes, few_strata=True).settled()
     return place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")
