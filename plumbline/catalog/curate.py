@@ -242,6 +242,40 @@ def _(spark, sf):
         lambda d: filters.keep_genuine(d, "kind")).select(*_LINE_OUT)
 
 
+def _line_manifest(spark, sf):
+    """Line items as a manifest in which ids repeat; the flag is the label token."""
+    code = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                       F.col("l_returnflag"))
+    kind = F.when(F.col("l_linestatus") == "O", "genuine").otherwise("forged")
+    return table(spark, sf, "lineitem").select(
+        F.lit("lines").alias("source"), code.alias("file_id"), kind.alias("forgery_type"), *_LINE_ORDER)
+
+
+_LINE_MANIFEST = f"""m AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_returnflag AS file_id,
+    l_orderkey::VARCHAR AS group_key, CASE WHEN l_linestatus = 'O' THEN 'genuine' ELSE 'forged' END AS forgery_type,
+    {', '.join(_LINE_ORDER)} FROM lineitem)"""
+
+
+@query("labelled_samples", f"""WITH {_LINE_MANIFEST}, d AS (SELECT *, row_number() OVER (PARTITION BY file_id
+    ORDER BY {', '.join(_LINE_ORDER)}) AS rn FROM m)
+  SELECT file_id, group_key, l_partkey, CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS emotion FROM d
+  WHERE rn = 1 AND forgery_type = 'genuine' AND l_returnflag IN ('A', 'N')""")
+def _(spark, sf):
+    out = curation.labelled_samples(_line_manifest(spark, sf), _LINE_ORDER,
+                                    keys.label_from_token("file_id", ["A", "N"]))
+    return out.select("file_id", "group_key", "l_partkey", "emotion")
+
+
+@query("pair_samples", f"""WITH {_LINE_MANIFEST}, d AS (SELECT *, row_number() OVER (PARTITION BY file_id, forgery_type
+    ORDER BY {', '.join(_LINE_ORDER)}) AS rn FROM m)
+  SELECT file_id, group_key, group_key AS donor_key, l_partkey,
+    CASE forgery_type WHEN 'genuine' THEN 0 ELSE 1 END AS label FROM d WHERE rn = 1""")
+def _(spark, sf):
+    m = _line_manifest(spark, sf)
+    out = curation.pair_samples(m, m, _LINE_ORDER)
+    return out.select("file_id", "group_key", "donor_key", "l_partkey", "label")
+
+
 # -- assets ----------------------------------------------------------------------------
 
 def _assets(spark, sf):
@@ -488,6 +522,17 @@ def _(spark, sf):
     return frames.rounded(out, "mean_std", "mean_max")
 
 
+@query("constant_width", """SELECT label, 50 AS narrowest, 50 AS widest, 0.0::DOUBLE AS weight_std
+   FROM embeddings GROUP BY label""")
+def _(spark, sf):
+    """After the crop every row has one width, and equal weights have no spread."""
+    e = table(spark, sf, "embeddings").select(
+        "label", F.size(vectors.center_crop("embedding", 50)).alias("w"),
+        vectors.std_pop(vectors.uniform(8)).alias("s"))
+    return e.groupBy("label").agg(F.min("w").alias("narrowest"), F.max("w").alias("widest"),
+                                  F.round(F.max("s"), 6).alias("weight_std"))
+
+
 @query("group_counts", """SELECT lang, count(DISTINCT source)::BIGINT AS n_groups FROM documents GROUP BY lang""")
 def _(spark, sf):
     return health.group_counts(table(spark, sf, "documents"), ["lang"], "source")

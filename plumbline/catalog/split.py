@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import donor_group, source_group
+from ..functions.keys import GENUINE, SPLICED, TAMPERED, donor_group, source_group
 from ..operators import balance as balancing
-from ..operators import health, keyframes, leakage, order, sampling, splits
+from ..operators import binary, health, keyframes, leakage, order, sampling, splits
 from ..plans import curation
 from . import frames
-from .frames import named_parts
+from .frames import SCORES, named_parts, one_vs_sql
 from .registry import query, table
 
 
@@ -109,6 +109,27 @@ def _(spark, sf):
     return sampling.uniform_k(ev, "user_id", ["ts", "event_id"]).select("user_id", "slot", "pos", "event_id")
 
 
+@query("balanced_evaluation", one_vs_sql("h", f"""{SCORES},
+  g AS (SELECT source, row_number() OVER (ORDER BY {_MD5.format('source')}, source) AS rk,
+          count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)),
+  gp AS (SELECT source, {named_parts('part', 'rk', 'n', 'round_even')} FROM g),
+  k AS (SELECT *, row_number() OVER (PARTITION BY ptype ORDER BY {_MD5.format('doc_id')}, doc_id) AS rk FROM s),
+  c AS (SELECT count_if(ptype = '{GENUINE}') AS g, least(count_if(ptype = '{TAMPERED}'),
+          count_if(ptype = '{SPLICED}')) AS m FROM s),
+  f AS (SELECT k.*, row_number() OVER (ORDER BY md5(concat_ws(':', doc_id, '43')), doc_id) AS mix
+        FROM k, c WHERE ptype <> '{GENUINE}' AND rk <= m),
+  b AS (SELECT doc_id FROM f, c WHERE mix <= least(g, 2 * m)
+        UNION ALL SELECT doc_id FROM k, c WHERE ptype = '{GENUINE}' AND rk <= least(g, 2 * m)),
+  h AS (SELECT s.* FROM s JOIN b USING (doc_id) JOIN gp USING (source) WHERE part <> 'train')"""))
+def _(spark, sf):
+    """Balance, join the partition that was made once from all groups, score what is held out."""
+    parts = splits.group_partition(table(spark, sf, "documents"), "source")
+    even = balancing.balance(frames.scores(spark, sf), "ptype", ["doc_id"], GENUINE, [TAMPERED, SPLICED])
+    held = splits.apply_partition(even, parts, "source").filter("part <> 'train'")
+    out = binary.one_vs_reference(held, "lang", "ptype", "y", "p")
+    return frames.rounded(out, "acc", "precision", "recall", "f1", "auc")
+
+
 # -- leakage ---------------------------------------------------------------------------
 
 @query("overlap", """SELECT (SELECT count(DISTINCT c_custkey) FROM customer)::BIGINT AS n_a,

@@ -121,31 +121,36 @@ def place(rows: DataFrame, cuts: Cuts, key: Column, names: Sequence[object],
 
 
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], out: str = "rank",
-           group_rows: int = GROUP_ROWS) -> DataFrame:
+           size: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Exact 1-based rank within ``part`` by any sort columns, safe for huge groups.
 
     The largest group is measured first.  Where it fits one task this is a plain
     ``row_number``.  Otherwise the rows are range-partitioned by (part, order), so
     one group spreads over many partitions, ranked inside each, and shifted by the
-    number of rows of the same group in earlier partitions.
+    number of rows of the same group in earlier partitions.  ``size`` names a further
+    column for the row count of the group.
     """
     part = list(part)
     keys = [as_col(c) for c in order]
+    whole = W.partitionBy(*(part or [F.lit(0)]))
     sizes = df.groupBy(*part).count().agg(F.max("count").alias("top"), F.sum("count").alias("n"))
     top, n = sizes.first()
     if top is None or top <= group_rows:
-        over = W.partitionBy(*(part or [F.lit(0)])).orderBy(*keys)
-        return df.withColumn(out, F.row_number().over(over).cast("bigint"))
+        ranks = df.withColumn(out, F.row_number().over(whole.orderBy(*keys)).cast("bigint"))
+        return ranks.withColumn(size, F.count("*").over(whole)) if size else ranks
     ways = max(2, 2 * -(-n // group_rows))
     split = settle(df.repartitionByRange(ways, *part, *keys)
                    .withColumn("_pid", F.spark_partition_id()))
-    shift = F.sum("_n").over(W.partitionBy(*(part or [F.lit(0)])).orderBy("_pid")
-                             .rowsBetween(W.unboundedPreceding, -1))
+    # One row per group and partition: at most (groups + ways) rows.
+    shift = F.sum("_n").over(whole.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))
     offsets = (split.groupBy(*part, "_pid").agg(F.count("*").alias("_n"))
-               .select(*part, "_pid", F.coalesce(shift, F.lit(0)).alias("_shift")))
+               .select(*part, "_pid", F.coalesce(shift, F.lit(0)).alias("_shift"),
+                       F.sum("_n").over(whole).alias("_size")))
     local = F.row_number().over(W.partitionBy(*part, "_pid").orderBy(*keys))
-    return (join_summary(split.withColumn("_local", local), offsets, [*part, "_pid"])
-            .withColumn(out, F.col("_local") + F.col("_shift")).drop("_local", "_shift", "_pid"))
+    ranks = (join_summary(split.withColumn("_local", local), offsets, [*part, "_pid"])
+             .withColumn(out, F.col("_local") + F.col("_shift")))
+    ranks = ranks.withColumn(size, F.col("_size")) if size else ranks
+    return ranks.drop("_local", "_shift", "_pid", "_size")
 
 
 def cap(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:

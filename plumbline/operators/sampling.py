@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import as_col
 from ..functions.vectors import SLOTS
-from ..session import join_summary
-from .order import ranked, top_per_group
+from .order import GROUP_ROWS, ranked, top_per_group
 
 
 def first_k(df: DataFrame, key: str, order: Sequence[Column | str], k: int = SLOTS) -> DataFrame:
@@ -19,7 +18,7 @@ def first_k(df: DataFrame, key: str, order: Sequence[Column | str], k: int = SLO
 
 
 def uniform_k(df: DataFrame, key: str, order: Sequence[Column | str],
-              k: int = SLOTS) -> DataFrame:
+              k: int = SLOTS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``k`` evenly spaced rows per key, positions truncated to whole numbers.
 
     Slot ``i`` takes position ``floor(i*(n-1)/(k-1))`` of the ordered group, so a
@@ -28,8 +27,7 @@ def uniform_k(df: DataFrame, key: str, order: Sequence[Column | str],
     """
     if k < 1:
         raise ValueError("k must be positive")
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    rows = join_summary(ranked(df, [key], order, "_rank"), sizes, [key])
+    rows = ranked(df, [key], order, "_rank", size="_n", group_rows=group_rows)
     pos, last = F.col("_rank") - 1, F.col("_n") - 1
     step = max(k - 1, 1)
     # Slots i with floor(i*last/step) == pos form the run [ceil(pos*step/last), ceil((pos+1)*step/last)).

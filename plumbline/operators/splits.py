@@ -31,23 +31,37 @@ def _rounds(ratios: Sequence[float]):
     return targets
 
 
-def stratified_split(df: DataFrame, strata: Sequence[str], ids: Sequence[str],
+def _keyed(df: DataFrame, keys: Sequence[Column | str]) -> tuple[DataFrame, list[str]]:
+    """Give computed keys a name, so that every key may be a column name or a Column."""
+    names = []
+    for i, k in enumerate(keys):
+        if isinstance(k, str):
+            names.append(k)
+        else:
+            names.append(f"_key_{i}")
+            df = df.withColumn(names[-1], k)
+    return df, names
+
+
+def stratified_split(df: DataFrame, strata: Sequence[Column | str], ids: Sequence[str],
                      ratios: Sequence[float] = RATIOS, seed: int = SEED,
                      out: str = "part") -> DataFrame:
     """Per stratum: floor(n*r0) rows to train, floor(n*r1) to val, the rest to test.
 
     ``ids`` identify a row.  Rows with equal ids stay together.
     """
+    columns = df.columns
+    df, names = _keyed(df, strata)
     key = order_key(ids, seed)
-    units = df.select(*strata, key.alias("_k"))
-    cuts = cut_points(units, strata, "_k", None, _floors(ratios))
-    return place(df, cuts, key, PARTS, out)
+    units = df.select(*names, key.alias("_k"))
+    cuts = cut_points(units, names, "_k", None, _floors(ratios))
+    return place(df, cuts, key, PARTS, out).select(*columns, out)
 
 
-def _group_cuts(df: DataFrame, key: str, ratios: Sequence[float], seed: int,
+def _group_cuts(df: DataFrame, key: Column | str, ratios: Sequence[float], seed: int,
                 by_rows: bool) -> Cuts:
-    groups = df.groupBy(key).agg(F.count("*").alias("_n"))
-    units = groups.select(order_key([key], seed).alias("_k"), "_n")
+    groups = df.groupBy(as_col(key).alias("_g")).agg(F.count("*").alias("_n"))
+    units = groups.select(order_key(["_g"], seed).alias("_k"), "_n")
     if by_rows:
         return cut_points(units, [], "_k", "_n", _floors(ratios))
     return cut_points(units, [], "_k", None, _rounds(ratios))
@@ -65,7 +79,7 @@ def group_partition(df: DataFrame, key: str, ratios: Sequence[float] = RATIOS,
     return place(groups, cuts, order_key([key], seed), PARTS, out)
 
 
-def split_by_group(df: DataFrame, key: str, ratios: Sequence[float] = RATIOS,
+def split_by_group(df: DataFrame, key: Column | str, ratios: Sequence[float] = RATIOS,
                    seed: int = SEED, out: str = "part") -> DataFrame:
     """Rows with the part of their group.
 
@@ -77,7 +91,7 @@ def split_by_group(df: DataFrame, key: str, ratios: Sequence[float] = RATIOS,
     return place(df, cuts, order_key([key], seed), PARTS, out)
 
 
-def group_aware_split(df: DataFrame, key: str, ratios: Sequence[float] = RATIOS,
+def group_aware_split(df: DataFrame, key: Column | str, ratios: Sequence[float] = RATIOS,
                       seed: int = SEED, out: str = "part") -> DataFrame:
     """Rows by group, where a group goes to the part its preceding row count falls in."""
     cuts = _group_cuts(df, key, ratios, seed, by_rows=True)

@@ -124,6 +124,9 @@ def test_uniform_k(spark, n, k):
     got = sampling.uniform_k(df, "c", ["id"], k).orderBy("slot").collect()
     want = [0] if k == 1 else [i * (n - 1) // (k - 1) for i in range(k)]
     assert [r["id"] for r in got] == want and [r["slot"] for r in got] == list(range(k))
+    if n == 100:
+        spread = sampling.uniform_k(df, "c", ["id"], k, group_rows=9).orderBy("slot").collect()
+        assert spread == got
 
 
 def test_first_k_cap_top(spark):
@@ -131,3 +134,14 @@ def test_first_k_cap_top(spark):
     assert sampling.first_k(df, "g", ["id"], 2).count() == 6
     assert [r["id"] for r in O.cap(df, 3, ["id"]).collect()] == [0, 1, 2]
     assert [tuple(r) for r in sampling.top_values(df, "g", 2).collect()] == [(0, 14), (1, 13)]
+
+
+def test_keys_may_be_columns(spark):
+    df = spark.range(60).select("id", F.concat(F.col("id") % 12, F.lit("_x")).alias("fid"))
+    by_name = splits.split_by_group(df.withColumn("g", F.split("fid", "_")[0]), "g")
+    by_col = splits.split_by_group(df, F.split("fid", "_")[0])
+    assert by_col.columns == ["id", "fid", "part"]
+    assert sorted((r["id"], r["part"]) for r in by_name.collect()) == sorted(
+        (r["id"], r["part"]) for r in by_col.collect())
+    strat = splits.stratified_split(df, [F.col("id") % 3], ["id"]).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in strat} == {"train": 48, "val": 6, "test": 6}
