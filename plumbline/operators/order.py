@@ -91,7 +91,8 @@ def cut_points(units: DataFrame, strata: Sequence[str], key: str, weight: str |
     if strata and not few_strata:
         edge = settle(edge)
         small = is_small(edge)
-    near = join_summary(base, edge, [*strata, "_b"], "inner", small)
+    # The bucket is a hash prefix: no key of this join is hot, whatever the strata are.
+    near = join_summary(base, edge, [*strata, "_b"], "inner", small, salts=1)
     inside = F.sum("_w").over(
         W.partitionBy(*strata, "_cut").orderBy("_key").rowsBetween(W.unboundedPreceding, -1))
     near = near.withColumn("_before", F.col("_lo") + F.coalesce(inside, F.lit(0)))
@@ -147,7 +148,7 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], ou
                .select(*part, "_pid", F.coalesce(shift, F.lit(0)).alias("_shift"),
                        F.sum("_n").over(whole).alias("_size")))
     local = F.row_number().over(W.partitionBy(*part, "_pid").orderBy(*keys))
-    ranks = (join_summary(split.withColumn("_local", local), offsets, [*part, "_pid"])
+    ranks = (join_summary(split.withColumn("_local", local), offsets, [*part, "_pid"], salts=1)
              .withColumn(out, F.col("_local") + F.col("_shift")))
     ranks = ranks.withColumn(size, F.col("_size")) if size else ranks
     return ranks.drop("_local", "_shift", "_pid", "_size")

@@ -30,13 +30,15 @@ def uniform_k(df: DataFrame, key: str, order: Sequence[Column | str],
     rows = ranked(df, [key], order, "_rank", size="_n", group_rows=group_rows)
     pos, last = F.col("_rank") - 1, F.col("_n") - 1
     step = max(k - 1, 1)
-    # Slots i with floor(i*last/step) == pos form the run [ceil(pos*step/last), ceil((pos+1)*step/last)).
-    low = F.when(last == 0, F.lit(0)).otherwise(F.ceil(pos * step / F.greatest(last, F.lit(1))))
-    high = F.when(last == 0, F.lit(k)).otherwise(
-        F.ceil((pos + 1) * step / F.greatest(last, F.lit(1))))
-    slots = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i >= low) & (i < high))
-    return (rows.withColumn("pos", pos).withColumn("slot", F.explode(slots))
-            .drop("_rank", "_n"))
+    # Slots i with floor(i*last/step) == pos are the run from ceil(pos*step/last) up to, but
+    # without, ceil((pos+1)*step/last).  Rows whose run is empty go before slots are made.
+    span = F.greatest(last, F.lit(1))
+    low = F.when(last == 0, F.lit(0)).otherwise(F.ceil(pos * step / span))
+    high = F.when(last == 0, F.lit(k)).otherwise(F.least(F.lit(k), F.ceil((pos + 1) * step / span)))
+    chosen = (rows.withColumn("pos", pos).withColumn("_low", low.cast("int"))
+              .withColumn("_high", high.cast("int")).filter(F.col("_low") < F.col("_high")))
+    return (chosen.withColumn("slot", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1)))
+            .drop("_rank", "_n", "_low", "_high"))
 
 
 def top_values(df: DataFrame, col: Column | str, n: int, out: str = "value") -> DataFrame:

@@ -73,14 +73,15 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "left",
-                 small: bool | None = None) -> DataFrame:
+                 small: bool | None = None, salts: int = SALTS) -> DataFrame:
     """Attach a per-key summary table to row data without shuffling the rows if possible.
 
     ``small`` states that the caller has proven or refuted the size bound; without
     it the summary is settled and counted here.  A small summary is broadcast.
     Beyond the bound both sides are shuffled on the keys plus a salt, with the
     summary replicated once per salt, so that a key holding a third of all rows
-    still spreads over ``SALTS`` tasks.  Keys compare null-safe.
+    still spreads over ``salts`` tasks; ``salts=1`` is for keys that cannot be hot.
+    Keys compare null-safe.
     """
     if small is None:
         summary = settle(summary)
@@ -91,10 +92,12 @@ def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: st
     drop = [f"_s_{k}" for k in on]
     if small:
         left, right = rows, F.broadcast(right)
+    elif salts == 1:
+        left = rows
     else:
-        salt = F.pmod(F.xxhash64(*hashable(rows)), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(*hashable(rows)), F.lit(salts)).cast("int")
         left = rows.withColumn("_salt", salt)
-        right = right.withColumn("_s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        right = right.withColumn("_s_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         match = F.col("_salt") == F.col("_s_salt")
         drop += ["_salt", "_s_salt"]
     for k in on:
