@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..functions.scores import verdict
@@ -173,6 +175,9 @@ def _(spark, sf):
 
 # -- scoring -----------------------------------------------------------------------------
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _load_mean_model():
     """A stand-in model: the mean of a vector, squashed."""
     import numpy as np

@@ -92,6 +92,11 @@ def _(spark, sf):
     return order.cap(ids, 100, [order.order_key(["event_id"], 42)])
 
 
+@query("cap_seeded", f"SELECT event_id FROM events ORDER BY {_MD5.format('event_id')}, event_id LIMIT 5000")
+def _(spark, sf):
+    return order.cap_seeded(table(spark, sf, "events").select("event_id"), 5000, ["event_id"], 42)
+
+
 @query("first_k", """SELECT user_id, event_id FROM (SELECT user_id, event_id,
    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM events) WHERE rk <= 8""")
 def _(spark, sf):

@@ -155,10 +155,17 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], ou
 
 
 def cap(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
-    """First ``n`` rows of an order."""
+    """First ``n`` rows of an order, for an ``n`` that fits one task."""
     return df.orderBy(*[as_col(c) for c in order]).limit(n)
 
 
+def cap_seeded(df: DataFrame, n: int, ids: Sequence[Column | str], seed: int) -> DataFrame:
+    """First ``n`` rows of the seeded order without sorting, for an ``n`` of any size."""
+    key = order_key(ids, seed)
+    cuts = cut_points(df.select(key.alias("_k")), [], "_k", None, lambda _: [F.lit(n)])
+    return place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")
+
+
 def top_per_group(df: DataFrame, part: Sequence[str], order: Sequence[Column | str],
                   k: int) -> DataFrame:
     """First ``k`` rows of every group; Spark cuts each group before the shuffle."""

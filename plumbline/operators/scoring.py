@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,9 +23,22 @@ from ..functions.vectors import (
     softmax,
 )
 
-#: Models loaded by this Python worker, kept across the tasks it runs.
+# Ship the functions themselves, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Models loaded by this Python worker.
 _MODELS: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
 
+
+def _worker_models() -> dict[str, Callable[[pd.DataFrame], pd.DataFrame]]:
+    """The model cache of this worker; it outlives a task where the package is installed."""
+    try:
+        from plumbline.operators import scoring
+        return scoring._MODELS
+    except ImportError:
+        return _MODELS
+
+
 EMOTIONS = [DISPLAY_NAMES[c] for c in SIX_CLASSES]
 
 
@@ -31,14 +46,15 @@ def score(df: DataFrame, name: str, load: Callable[[], Callable[[pd.DataFrame],
           schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Score batches with a user model, on static and streaming frames alike.
 
-    ``load`` builds the model; it runs once per Python worker under ``name``.  The
-    model maps a pandas batch to one with the given ``schema``.  Only ``columns`` are
+    ``load`` builds the model; it runs once per Python worker under ``name``, or once
+    per task on executors without this package.  The model maps a pandas batch to one with the given ``schema``.  Only ``columns`` are
     sent to Python; ``spark.sql.execution.arrow.maxRecordsPerBatch`` is the batch size.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _MODELS:
-            _MODELS[name] = load()
-        model = _MODELS[name]
+        models = _worker_models()
+        if name not in models:
+            models[name] = load()
+        model = models[name]
         for batch in batches:
             yield model(batch)
 

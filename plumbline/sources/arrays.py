@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import io
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship the functions themselves, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SHAPE = T.StructField("shape", T.ArrayType(T.IntegerType()))
 _ERR = T.StructField("err", T.StringType())
 ARRAY = T.StructType([_SHAPE, T.StructField("data", T.ArrayType(T.FloatType())), _ERR])
