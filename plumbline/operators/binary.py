@@ -66,6 +66,10 @@ def _ranges(counts: DataFrame, range_rows: int) -> Bucketizer:
     return Bucketizer(splits=splits, inputCol="p", outputCol="range", handleInvalid="keep")
 
 
+def _ranged(counts: DataFrame, cutter: Bucketizer) -> DataFrame:
+    return cutter.transform(counts).withColumn("range", F.col("range").cast("int"))
+
+
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score (``-0.0`` counts as ``0.0``)."""
     score = F.col(p).cast("double") + F.lit(0.0)
@@ -82,17 +86,18 @@ def _wins(counts: DataFrame, pool: Sequence[str], kind: Sequence[str], cutter: B
     so nothing is replicated.  Rows of equal score are peers: half of the negatives
     at the same score count as won.
     """
-    ranged = cutter.transform(counts)
-    up_to = W.partitionBy(*pool, "range").orderBy("p")
-    level = F.sum("neg").over(W.partitionBy(*pool, "range", "p"))
-    below = F.sum("neg").over(up_to).cast("double") - level / 2
+    ranged = _ranged(counts, cutter)
+    scored = W.partitionBy(*pool, "range").orderBy("p")
+    level = F.sum("neg").over(scored.rangeBetween(W.currentRow, W.currentRow))
+    below = F.sum("neg").over(scored).cast("double") - level / 2
     inside = (ranged.withColumn("_in", F.col("pos").cast("double") * below)
               .groupBy(*pool, *kind, "range")
               .agg(F.sum("_in").alias("_in"),
                    *[F.sum(c).alias(c) for c in ("pos", "neg", *extra)]))
     # At most one row per range and kind from here on.
-    own = F.sum("neg").over(W.partitionBy(*pool, "range"))
-    through = F.sum("neg").over(W.partitionBy(*_constant(pool)).orderBy("range"))
+    by_range = W.partitionBy(*_constant(pool)).orderBy("range")
+    own = F.sum("neg").over(by_range.rangeBetween(W.currentRow, W.currentRow))
+    through = F.sum("neg").over(by_range)
     won = inside.withColumn(
         "_won", F.col("_in") + F.col("pos").cast("double") * (through - own).cast("double"))
     return won.groupBy(*pool, *kind).agg(
@@ -124,7 +129,7 @@ def roc_points(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
 
 
 def _roc_of_counts(counts: DataFrame, by: Sequence[str], cutter: Bucketizer) -> DataFrame:
-    ranged = cutter.transform(counts)
+    ranged = _ranged(counts, cutter)
     totals = ranged.groupBy(*by, "range").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
     whole = W.partitionBy(*_constant(by))
     above = whole.orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
