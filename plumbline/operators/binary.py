@@ -1,7 +1,7 @@
 """Binary evaluation: thresholded counts, exact ROC-AUC, ROC points, subgroup tables.
 
 AUC and ROC need scores in order.  Scores are first reduced to counts per distinct
-value, in one pass over the rows; that table is settled, counted, and cut into value
+value, in one pass over the rows; that table is stored, counted, and cut into value
 ranges at approximate quantiles when it is large.  Ranges only balance the work:
 counts in front of a range come from a small table of range totals, so the result
 is exact wherever the cuts fall.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import GENUINE
 from ..functions.scores import THRESHOLD
-from ..session import settle
+from ..session import stored
 from .classify import guarded_f1
 
 #: Distinct scores per value range, and the largest number of ranges.
@@ -56,7 +56,7 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = THRESHOLD,
 # -- ordered scores ----------------------------------------------------------------
 
 def _ranges(counts: DataFrame, range_rows: int) -> Bucketizer:
-    """Value ranges of about ``range_rows`` rows each of a settled count table."""
+    """Value ranges of about ``range_rows`` rows each of a stored count table."""
     n = min(MAX_RANGES, -(-counts.count() // range_rows))
     inner: set[float] = set()
     if n > 1:
@@ -73,7 +73,7 @@ def _ranged(counts: DataFrame, cutter: Bucketizer) -> DataFrame:
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score (``-0.0`` counts as ``0.0``)."""
     score = F.col(p).cast("double") + F.lit(0.0)
-    return settle(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+    return stored(df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
                   .groupBy(*by, score.alias("p"))
                   .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import as_col
-from ..session import is_small, join_summary, settle
+from ..session import is_small, join_summary, settle, stored
 
 #: Hex digits of the md5 that form the histogram bucket (16**4 = 65 536 buckets).
 DIGITS = 4
@@ -140,7 +140,7 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], ou
         ranks = df.withColumn(out, F.row_number().over(whole.orderBy(*keys)).cast("bigint"))
         return ranks.withColumn(size, F.count("*").over(whole)) if size else ranks
     ways = max(2, 2 * -(-n // group_rows))
-    split = settle(df.repartitionByRange(ways, *part, *keys)
+    split = stored(df.repartitionByRange(ways, *part, *keys)
                    .withColumn("_pid", F.spark_partition_id()))
     # One row per group and partition: at most (groups + ways) rows.
     shift = F.sum("_n").over(whole.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1))

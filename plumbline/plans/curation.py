@@ -24,7 +24,7 @@ from ..operators.health import (
 from ..operators.leakage import cross_stage_overlap, disjoint_check, overlap, part_sizes
 from ..operators.resolve import complete_samples
 from ..operators.splits import split_by_group
-from ..session import settle
+from ..session import stored
 from ..sources.arrays import probe_arrays
 
 KIND = "forgery_type"
@@ -95,15 +95,15 @@ def audit(pairs: DataFrame, first_stage: DataFrame, length: Column | str,
 
     ``pairs`` and ``first_stage`` hold file_id, group_key and their part; ``pairs``
     also label and donor_key.  Checks that must be zero carry a limit of 0.  Both
-    inputs are reduced to the few narrow columns the checks need and settled, because
+    inputs are reduced to the few narrow columns the checks need and stored, because
     every check reads them again.
     """
     a = F.col(weights).cast("array<double>")
-    typed = settle(pairs.select(
+    typed = stored(pairs.select(
         "file_id", "group_key", "donor_key", "label", F.col(part).alias("part"),
         pair_type_from_id("label", "file_id").alias("ptype"), as_col(length).alias("length"),
         total(a).alias("w_total"), std_pop(a).alias("w_std"), F.array_max(a).alias("w_max")))
-    trained = settle(first_stage.filter(F.col(part) == "train").select(
+    trained = stored(first_stage.filter(F.col(part) == "train").select(
         "file_id", "group_key", F.lit("train").alias("part")))
     kind = F.col("ptype")
     weighted = F.col("w_total") > 0

@@ -4,6 +4,7 @@ and joins against summary tables whose size is checked before they are broadcast
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,11 +57,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    """Compute a small ``df`` once and cut its lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a Parquet table in the shared folder and read that.
+
+    For intermediates that may be large and are read several times: columns are
+    compressed and pruned, and the planner knows their size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hashable(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     """Columns ``xxhash64`` accepts (everything that holds no map)."""
     return [f.name for f in df.schema.fields
