@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.filters import require_columns
+from ..operators.filters import has_columns, require_columns
 from ..session import is_small, settle
 
 #: Columns that reproduce the order of rows in the files.
@@ -65,16 +65,19 @@ def scan_manifest(spark: SparkSession, path: str | Sequence[str], columns: Seque
 def scan_registry(spark: SparkSession, sources: Sequence[ManifestSource],
                   columns: Sequence[str] = (),
                   keep: Callable[[DataFrame, ManifestSource], DataFrame] | None = None,
-                  file_order: bool = False) -> DataFrame:
+                  file_order: bool = False, skip_invalid: bool = False) -> DataFrame:
     """All registered manifests as one frame, tagged with source name and label.
 
     ``keep`` filters each manifest before the union, while the columns it really
-    has are still known.
+    has are still known.  A manifest without its id column is an error, or left out
+    with ``skip_invalid``.
     """
     parts = []
     for i, src in enumerate(sources):
         df = scan_manifest(spark, src.manifest_path(), [src.id_col, *columns],
                            file_order=file_order)
+        if skip_invalid and not has_columns(df, [src.id_col]):
+            continue
         df = require_columns(df, [src.id_col]).withColumnRenamed(src.id_col, "file_id")
         if file_order:
             for c in ("_file_start", "_file_row"):
@@ -84,6 +87,8 @@ def scan_registry(spark: SparkSession, sources: Sequence[ManifestSource],
         parts.append(df.withColumn("source", F.lit(src.name))
                      .withColumn("source_rank", F.lit(i))
                      .withColumn("label", F.lit(src.label).cast("int")))
+    if not parts:
+        raise ValueError("no manifest has its id column")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

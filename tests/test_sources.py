@@ -65,6 +65,15 @@ def test_both_dedup_orders(spark, root):
     assert sorted(r["file_id"] for r in both.collect()) == ["a_1_ANG", "c_1_SAD", "d_1_HAP"]
 
 
+def test_manifest_without_its_id_column(spark, root):
+    good = ManifestSource("good", str(root), "m.csv")
+    bad = ManifestSource("bad", str(root), "m.csv", id_col="clip")
+    with pytest.raises(ValueError, match="clip"):
+        manifests.scan_registry(spark, [good, bad])
+    rows = manifests.scan_registry(spark, [good, bad], skip_invalid=True)
+    assert rows.select("source").distinct().collect() == [("good",)]
+
+
 def test_unknown_labels_drop_out(spark):
     df = spark.createDataFrame([("s", "x", " Joy "), ("s", "y", "unknown"), ("s", "z", None)],
                                "source string, file_id string, emotion string")
