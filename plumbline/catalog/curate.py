@@ -546,15 +546,16 @@ def _(spark, sf):
 
 
 @query("compare_published", """SELECT n_regionkey, n_name, ours, published, round(ours - published, 2) AS diff FROM (
-   SELECT n.n_regionkey, n.n_name, round(avg(c_acctbal), 2) AS ours FROM customer c
+   SELECT n.n_regionkey, n.n_name, round(sum(c_acctbal), 2) AS ours FROM customer c
    JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2) LEFT JOIN
-   (SELECT n_name, round(avg(s_acctbal), 2) AS published FROM supplier s
+   (SELECT n_name, round(sum(s_acctbal), 2) AS published FROM supplier s
    JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY 1) USING (n_name)""")
 def _(spark, sf):
+    # Sums of cents round to cents in any engine; averages may fall on a tie.
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    ours = (table(spark, sf, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("ours"))
+    ours = (table(spark, sf, "customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("ours"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     theirs = (table(spark, sf, "supplier").groupBy("s_nationkey")
-              .agg(F.round(F.avg("s_acctbal"), 2).alias("published"))
+              .agg(F.round(F.sum("s_acctbal"), 2).alias("published"))
               .join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", "published"))
     return compare.compare(ours.select("n_regionkey", "n_name", "ours"), theirs, ["n_name"])

@@ -58,7 +58,9 @@ def _(spark, sf):
 
 
 def _roc_sql(cte: str) -> str:
-    return f"""SELECT ptype, p AS threshold, round(cn / n_neg, 6) AS fpr, round(cp / n_pos, 6) AS tpr FROM (
+    # A rate without rows to divide by is NULL, as in the operator.
+    return f"""SELECT ptype, p AS threshold, round(cn / nullif(n_neg, 0), 6) AS fpr,
+      round(cp / nullif(n_pos, 0), 6) AS tpr FROM (
       SELECT ptype, p, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER (PARTITION BY ptype) AS n_pos,
         sum(neg) OVER (PARTITION BY ptype) AS n_neg FROM (SELECT ptype, p, count_if(y = 1)::DOUBLE AS pos,
           count_if(y = 0)::DOUBLE AS neg FROM {cte} GROUP BY ptype, p)
