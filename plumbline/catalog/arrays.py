@@ -78,7 +78,7 @@ def _(spark, sf):
 def _(spark, sf):
     lens = F.transform(F.split("text", " "), lambda w: F.length(w).cast("double"))
     t = table(spark, sf, "conversations").select("conv_id", "turn", lens.alias("w"))
-    out = pad_to_max(t, "w", "conv_id")
+    out = pad_to_max(t, "w", "conv_id", V.MAX_WIDTH)
     return out.select("conv_id", "turn", F.col("padded.length").alias("length"),
                       F.posexplode("padded.values").alias("pos", "value"))
 

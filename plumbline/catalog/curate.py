@@ -361,7 +361,7 @@ def _(spark, sf):
     f = table(spark, sf, "events").select(
         "user_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("frame"))
     w = table(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
-    return frames.rounded(resolve.attach_weights(f, w, "user_id", "frame", "embedding"), "alpha")
+    return frames.rounded(resolve.attach_weights(f, w, "user_id", "frame", "embedding", resolve.SLOTS), "alpha")
 
 
 @query("zip_weights", """WITH t AS (SELECT conv_id, turn, list_sort(list_distinct(string_split(text, ' '))) AS f

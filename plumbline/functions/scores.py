@@ -19,10 +19,16 @@ def sigmoid(col: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_col(col).cast("double")))
 
 
+def at_least(p: Column | str, threshold: float) -> Column:
+    """Whether a score reaches the threshold; NaN, which Spark sorts above all, does not."""
+    x = as_col(p).cast("double")
+    return (x >= F.lit(threshold)) & ~F.isnan(x)
+
+
 def verdict(p: Column | str, threshold: float = THRESHOLD,
             names: tuple[str, str] = ("GENUINE", "FAKE")) -> Column:
-    """Second name at or above the threshold, first name below it."""
-    return F.when(as_col(p) >= F.lit(threshold), names[1]).otherwise(names[0])
+    """Second name at or above the threshold, first name below it and for NaN."""
+    return F.when(at_least(p, threshold), names[1]).otherwise(names[0])
 
 
 def band(col: Column | str, edges: Sequence[float] = BAND_EDGES,

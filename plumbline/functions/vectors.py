@@ -128,7 +128,8 @@ def span_mask(bands: Column | str, key: Column | str, seed: int,
 
 
 def pad_to(arr: Column | str, width: Column | int, value: float = 0.0) -> Column:
-    """Cut or right-pad to ``width``; struct(values, length) with the true length."""
+    """Cut or right-pad to ``width``; struct(values, length), where
+    ``length`` counts the real values among the ``width``."""
     w = F.lit(width) if isinstance(width, int) else width
     return let(F.struct(doubles(arr).alias("v"), w.cast("int").alias("w")), lambda s: F.struct(
         F.slice(F.concat(s["v"], F.array_repeat(

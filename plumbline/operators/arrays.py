@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MAX_WIDTH, pad_to
+from ..functions.vectors import pad_to
 from ..session import join_summary
 
 
-def pad_to_max(df: DataFrame, arr: str, by: str, cap: int = MAX_WIDTH,
+def pad_to_max(df: DataFrame, arr: str, by: str, cap: int | None = None,
                out: str = "padded") -> DataFrame:
-    """Pad every array to the longest of its batch, at most ``cap``; keeps the true length."""
-    widest = df.groupBy(by).agg(F.least(F.max(F.size(arr)), F.lit(cap)).alias("_w"))
+    """Pad every array to the longest of its batch; ``length`` counts the real values.
+
+    With ``cap`` longer arrays are cut to it, and ``length`` is the cut one.
+    """
+    longest = F.max(F.size(arr))
+    widest = df.groupBy(by).agg((longest if cap is None else F.least(longest, F.lit(cap))).alias("_w"))
     return join_summary(df, widest, [by]).withColumn(out, pad_to(arr, F.col("_w"))).drop("_w")
 
 

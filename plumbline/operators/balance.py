@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import cut_points, order_key, place
+from .order import first_of, order_key
 
 
 def quotas(counts: dict[str, int], genuine: str, forged: Sequence[str]) -> tuple[int, int]:
@@ -18,7 +18,8 @@ def quotas(counts: dict[str, int], genuine: str, forged: Sequence[str]) -> tuple
 
 def balance(df: DataFrame, kind: str, ids: Sequence[str], genuine: str,
             forged: Sequence[str], seed: int = 42) -> DataFrame:
-    """Equally many genuine and forged rows, the forged ones evenly from every type.
+    """Equally many genuine and forged rows, the forged ones evenly from every type; the
+    numbers are exact also where ids repeat.
 
     Each forged type gives as many rows as the rarest type has; the genuine side and
     the mixed forged side are then cut to the shorter of the two.  Only the row
@@ -38,18 +39,10 @@ def balance(df: DataFrame, kind: str, ids: Sequence[str], genuine: str,
             size = F.when(F.col(kind) == name, F.lit(n)).otherwise(size)
         return [size]
 
-    chosen = _first(pool, [kind], size_of, order_key(ids, seed))
+    chosen = first_of(pool, [kind], size_of, order_key(ids, seed))
     if side < each * len(forged):
         # Genuine rows are the shorter side: cut the mixed forged rows in a fresh order.
-        mixed = _first(chosen.filter(F.col(kind) != genuine), [], lambda _: [F.lit(side)],
+        mixed = first_of(chosen.filter(F.col(kind) != genuine), [], lambda _: [F.lit(side)],
                        order_key(ids, seed + 1))
         chosen = chosen.filter(F.col(kind) == genuine).unionByName(mixed)
     return chosen
-
-
-def _first(df: DataFrame, strata: list[str], sizes: Callable[[Column], list[Column]],
-           key: Column) -> DataFrame:
-    """The given number of rows of each stratum (named by the caller), in key order."""
-    units = df.select(*strata, key.alias("_k"))
-    cuts = cut_points(units, strata, "_k", None, sizes, few_strata=True).settled()
-    return place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")

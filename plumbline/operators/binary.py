@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.keys import GENUINE
-from ..functions.scores import THRESHOLD
+from ..functions.scores import THRESHOLD, at_least
 from ..session import stored
 from .classify import guarded_f1
 
@@ -35,7 +35,7 @@ def _prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 
 def _outcomes(y: Column, p: Column, threshold: float) -> list[Column]:
-    hit = p >= F.lit(threshold)
+    hit = at_least(p, threshold)
     return [F.count_if(hit & (y == 1)).alias("tp"), F.count_if(~hit & (y == 0)).alias("tn"),
             F.count_if(hit & (y == 0)).alias("fp"), F.count_if(~hit & (y == 1)).alias("fn")]
 
@@ -218,7 +218,7 @@ def roc_by_kind(df: DataFrame, kind: str, y: str, p: str, reference: str = GENUI
 
 def confusion_by(df: DataFrame, by: str, p: str, threshold: float = THRESHOLD) -> DataFrame:
     """Rows predicted genuine / forged per kind, with the row-normalised shares."""
-    hit = F.col(p) >= F.lit(threshold)
+    hit = at_least(p, threshold)
     out = df.groupBy(by).agg(F.count_if(~hit).alias("pred_genuine"), F.count_if(hit).alias("pred_fake"))
     n = F.greatest(F.col("pred_genuine") + F.col("pred_fake"), F.lit(1))
     return out.withColumn("share_genuine", F.col("pred_genuine") / n).withColumn(
@@ -226,7 +226,8 @@ def confusion_by(df: DataFrame, by: str, p: str, threshold: float = THRESHOLD) -
 
 
 def log_loss(df: DataFrame, y: str, logit: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean binary loss from logits, stable for large values."""
+    """Mean binary loss from logits, stable for large values, over the ``n`` rows that have
+    a label and a logit."""
     x = F.col(logit).cast("double")
     loss = F.greatest(x, F.lit(0.0)) - x * F.col(y) + F.log1p(F.exp(-F.abs(x)))
-    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count("*").alias("n"))
+    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count(loss).alias("n"))

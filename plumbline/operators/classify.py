@@ -12,8 +12,24 @@ from ..functions.vectors import log_sum_exp
 F1_GUARD = 1e-8
 
 
-def _cells(df: DataFrame, y: str, pred: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by, F.col(y).cast("int").alias("y"), F.col(pred).cast("int").alias("pred")
+def _class_of(col: str, classes: int) -> Column:
+    """The class number; a value that is none, NULL included, stops the query."""
+    c = F.col(col).cast("int")
+    said = F.concat(F.lit(f"{col} is no class of 0 to {classes - 1}: "),
+                    F.coalesce(F.col(col).cast("string"), F.lit("NULL")))
+    return F.when(c.between(0, classes - 1), c).otherwise(F.raise_error(said).cast("int"))
+
+
+def count_outside(df: DataFrame, y: str, pred: str, classes: int, by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose label or prediction is no class, beside all rows: what to look at, or to
+    filter on purpose, before the figures below, which refuse such rows."""
+    inside = F.coalesce(F.col(y).between(0, classes - 1) & F.col(pred).between(0, classes - 1), F.lit(False))
+    return df.groupBy(*by).agg(F.count_if(~inside).alias("n_outside"), F.count("*").alias("n"))
+
+
+def _cells(df: DataFrame, y: str, pred: str, classes: int, by: Sequence[str]) -> DataFrame:
+    """Row counts per pair of classes."""
+    return df.groupBy(*by, _class_of(y, classes).alias("y"), _class_of(pred, classes).alias("pred")
                       ).agg(F.count("*").alias("n"))
 
 
@@ -29,7 +45,7 @@ def _groups(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def confusion(df: DataFrame, y: str, pred: str, classes: int, by: Sequence[str] = (),
               normalize: bool = False) -> DataFrame:
     """All ``classes`` x ``classes`` cells (rows true, columns predicted), zeros included."""
-    cells = _cells(df, y, pred, by)
+    cells = _cells(df, y, pred, classes, by)
     grid = _with_classes(_with_classes(_groups(cells, by), classes, "y"), classes, "pred")
     full = (grid.join(cells, [*by, "y", "pred"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))
@@ -51,7 +67,7 @@ def guarded_f1(precision: Column, recall: Column) -> Column:
 def per_class_prf(df: DataFrame, y: str, pred: str, classes: int,
                   by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of every class, also of unseen ones."""
-    cells = _cells(df, y, pred, by)
+    cells = _cells(df, y, pred, classes, by)
     hit = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("bigint")
     sides = F.array(
@@ -105,6 +121,9 @@ def summary(df: DataFrame, y: str, pred: str, classes: int, by: Sequence[str],
 
 
 def cross_entropy(df: DataFrame, y: str, logits: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean multi-class loss from raw class scores."""
-    hit = F.get(F.col(logits), F.col(y)).cast("double")
-    return df.groupBy(*by).agg(F.avg(log_sum_exp(logits) - hit).alias("loss"), F.count("*").alias("n"))
+    """Mean multi-class loss from raw class scores over the ``n`` rows that have one.
+
+    Rows whose label lies outside the scores, or that hold NULL, have no loss.
+    """
+    loss = log_sum_exp(logits) - F.get(F.col(logits), F.col(y)).cast("double")
+    return df.groupBy(*by).agg(F.avg(loss).alias("loss"), F.count(loss).alias("n"))

@@ -26,15 +26,23 @@ DIGITS = 4
 GROUP_ROWS = 5_000_000
 
 
+def joined(cols: Sequence[Column | str]) -> Column:
+    """The values as one string that tells different values apart: among several, a colon
+    inside a value is doubled behind a mark, and NULL is a value of its own."""
+    parts = [as_col(c).cast("string") for c in cols]
+    if len(parts) > 1:
+        parts = [F.replace(F.replace(p, F.lit("~"), F.lit("~0")), F.lit(":"), F.lit("~1")) for p in parts]
+    return F.concat_ws(":", *[F.coalesce(p, F.lit("~")) for p in parts])
+
+
 def seeded_order(cols: Sequence[Column | str], seed: int) -> Column:
     """The md5 of the values and the seed; sorting by it is a seeded shuffle."""
-    return F.md5(F.concat_ws(":", *[as_col(c).cast("string") for c in cols], F.lit(str(seed))))
+    return F.md5(F.concat_ws(":", joined(cols), F.lit(str(seed))))
 
 
 def order_key(cols: Sequence[Column | str], seed: int) -> Column:
     """Seeded order with the id itself as tie-break, as one sortable string."""
-    ids = F.concat_ws(":", *[as_col(c).cast("string") for c in cols])
-    return F.concat_ws(":", seeded_order(cols, seed), ids)
+    return F.concat_ws(":", seeded_order(cols, seed), joined(cols))
 
 
 @dataclass(frozen=True)
@@ -161,9 +169,44 @@ def cap(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
 
 def cap_seeded(df: DataFrame, n: int, ids: Sequence[Column | str], seed: int) -> DataFrame:
     """First ``n`` rows of the seeded order without sorting, for an ``n`` of any size."""
-    key = order_key(ids, seed)
-    cuts = cut_points(df.select(key.alias("_k")), [], "_k", None, lambda _: [F.lit(n)])
-    return place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")
+    return first_of(df, [], lambda _: [F.lit(n)], order_key(ids, seed))
+
+
+def first_of(df: DataFrame, strata: Sequence[str], sizes: Callable[[Column], Sequence[Column]],
+             key: Column) -> DataFrame:
+    """The given number of rows of each stratum in key order, exact also where keys repeat.
+
+    The boundary key is found as in :func:`cut_points`, for strata that the caller has
+    bounded by naming them.  Rows before it are in.  Rows at it are only as many as there
+    is room for; ranking touches those rows alone, and Spark cuts them before the shuffle.
+    """
+    strata = list(strata)
+    units = df.select(*strata, key.alias("_k"))
+    cuts = cut_points(units, strata, "_k", None, sizes, few_strata=True).settled()
+    room = replace(cuts, frame=settle(_room(units, cuts, sizes)))
+    taken = place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")
+    marked = _attach(taken.withColumn("_k", key), room)
+    edge = F.col("_k") == F.col("cut_0")
+    over = W.partitionBy(*(strata or [F.lit(0)])).orderBy("_k")
+    last = marked.filter(edge).withColumn("_rn", F.row_number().over(over)).filter("_rn <= _room")
+    return marked.filter(~edge).unionByName(last.drop("_rn")).select(*df.columns)
+
+
+def _attach(rows: DataFrame, cuts: Cuts) -> DataFrame:
+    if cuts.strata:
+        return join_summary(rows, cuts.frame, cuts.strata, "inner", cuts.small)
+    row = cuts.frame.select(F.struct(*cuts.frame.columns)).scalar()
+    return rows.select("*", row["cut_0"].alias("cut_0"), row["_room"].alias("_room"))
+
+
+def _room(units: DataFrame, cuts: Cuts, sizes: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """Per stratum its boundary key and how many rows with that key are still wanted."""
+    edges = replace(cuts, frame=cuts.frame.withColumn("_room", F.lit(0)))
+    before = _attach(units, edges).groupBy(*cuts.strata).agg(
+        F.first("cut_0").alias("cut_0"), F.count_if(F.col("_k") < F.col("cut_0")).alias("_before"),
+        F.count(F.lit(1)).alias("_n"))
+    wanted = F.least(sizes(F.col("_n"))[0].cast("bigint"), F.col("_n"))
+    return before.select(*cuts.strata, "cut_0", (wanted - F.col("_before")).alias("_room"))
 
 
 def top_per_group(df: DataFrame, part: Sequence[str], order: Sequence[Column | str],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import SLOTS, uniform
 from ..sources.assets import NAMES, WEIGHT_FILES
+from ..session import join_summary
 from .order import ranked, top_per_group
 
 FILES = ("audio", "input_ids", "attention_mask")
@@ -126,12 +127,13 @@ def coverage_summary(covered: DataFrame) -> DataFrame:
 
 
 def attach_weights(frames: DataFrame, weights: DataFrame, key: str, frame: str, vector: str,
-                   k: int | None = SLOTS) -> DataFrame:
+                   k: int | None = None) -> DataFrame:
     """Frames of a key in name order with the weight at their position.
 
     A weight vector whose length differs from the number of frames, or that is
-    missing, is replaced by equal weights.  With ``k`` only the first frames are
-    ranked and shuffled; the full count still decides about the fallback.
+    missing, is replaced by equal weights.  All frames are kept; ``k`` is for a later cut to
+    the first ones, of which then only those are ranked and shuffled, while the full count
+    still decides about the fallback.
     """
     counts = frames.groupBy(key).agg(F.count("*").alias("_n"))
     facts = counts.join(weights.select(key, F.col(vector).alias("_w")), key, "left")
@@ -144,7 +146,8 @@ def attach_weights(frames: DataFrame, weights: DataFrame, key: str, frame: str,
     fits = F.coalesce(F.size("_w") == F.col("_n"), F.lit(False))
     alpha = (F.when(fits, F.get(F.col("_w"), (F.col("_rank") - 1).cast("int")).cast("double"))
              .otherwise(F.lit(1.0) / F.greatest(F.col("_n"), F.lit(1))))
-    return (rows.join(facts, key)
+    met = join_summary(rows, facts, [key], "inner") if k is None else rows.join(facts, key)
+    return (met
             .withColumn("pos", (F.col("_rank") - 1).cast("int")).withColumn("alpha", alpha)
             .drop("_rank", "_n", "_w"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -46,15 +47,18 @@ def score(df: DataFrame, name: str, load: Callable[[], Callable[[pd.DataFrame],
           schema: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Score batches with a user model, on static and streaming frames alike.
 
-    ``load`` builds the model; it runs once per Python worker under ``name``, or once
+    ``load`` builds the model; it runs once per Python worker for a ``name`` and the code and
+    data of ``load`` itself, so another loader under the same name is another model, or once
     per task on executors without this package.  The model maps a pandas batch to one with the given ``schema``.  Only ``columns`` are
     sent to Python; ``spark.sql.execution.arrow.maxRecordsPerBatch`` is the batch size.
     """
+    key = f"{name}:{hashlib.sha256(cloudpickle.dumps(load)).hexdigest()}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _worker_models()
-        if name not in models:
-            models[name] = load()
-        model = models[name]
+        if key not in models:
+            models[key] = load()
+        model = models[key]
         for batch in batches:
             yield model(batch)
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.filters import has_columns, require_columns
-from ..session import is_small, settle
 
 #: Columns that reproduce the order of rows in the files.
 FILE_ORDER = ["_file_path", "_file_start", "_file_row"]
@@ -38,20 +37,30 @@ class ManifestSource:
         return f"{self.root.rstrip('/')}/{self.manifest}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names any file; lists, but reads nothing."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return False
+    return True
+
+
 def scan_manifest(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] = (),
                   multi_line: bool = True, file_order: bool = False) -> DataFrame:
     """CSV manifest with a header, every column a string.
 
-    A missing file gives zero rows with the given ``columns``.  ``multi_line``
-    allows line breaks inside quotes at the price of one task per file; turn it off
+    A missing file gives zero rows with the given ``columns``; of several paths those that
+    exist are read.  ``multi_line`` allows line breaks inside quotes at the price of one task per file; turn it off
     for large files without such cells so that they split.
     """
-    try:
-        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line,
+    there = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if there:
+        df = spark.read.csv(there, header=True, inferSchema=False, multiLine=multi_line,
                             escape='"', encoding="UTF-8")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
-            raise
+    else:
         cols = [*columns, *(FILE_ORDER if file_order else [])]
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType())
                                                        for c in cols]))
@@ -65,9 +74,12 @@ def scan_manifest(spark: SparkSession, path: str | Sequence[str], columns: Seque
 def scan_registry(spark: SparkSession, sources: Sequence[ManifestSource],
                   columns: Sequence[str] = (),
                   keep: Callable[[DataFrame, ManifestSource], DataFrame] | None = None,
-                  file_order: bool = False, skip_invalid: bool = False) -> DataFrame:
+                  file_order: bool = False, skip_invalid: bool = False,
+                  multi_line: bool = True) -> DataFrame:
     """All registered manifests as one frame, tagged with source name and label.
 
+    ``multi_line=False`` lets large manifests without line breaks in cells split.
+
     ``keep`` filters each manifest before the union, while the columns it really
     has are still known.  A manifest without its id column is an error, or left out
     with ``skip_invalid``.
@@ -75,7 +87,7 @@ def scan_registry(spark: SparkSession, sources: Sequence[ManifestSource],
     parts = []
     for i, src in enumerate(sources):
         df = scan_manifest(spark, src.manifest_path(), [src.id_col, *columns],
-                           file_order=file_order)
+                           multi_line, file_order)
         if skip_invalid and not has_columns(df, [src.id_col]):
             continue
         df = require_columns(df, [src.id_col]).withColumnRenamed(src.id_col, "file_id")
@@ -92,14 +104,15 @@ def scan_registry(spark: SparkSession, sources: Sequence[ManifestSource],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_routed(df: DataFrame, route: str, path: str, fmt: str = "csv") -> None:
-    """One pass, one folder per route; nothing is deleted."""
-    writer = df.write.mode("overwrite").partitionBy(route)
+def write_routed(df: DataFrame, route: str, path: str, fmt: str = "csv",
+                 mode: str = "errorifexists") -> None:
+    """One pass, one folder per route.  An existing target is an error unless ``mode`` says
+    otherwise; ``overwrite`` empties the whole folder."""
+    writer = df.write.mode(mode).partitionBy(route)
     (writer.option("header", "true") if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Result table as CSV: a single file when it is small, else one per partition."""
-    table = settle(df)
-    out = table.coalesce(1) if is_small(table, max_rows) else table
-    out.write.mode("overwrite").csv(path, header=True)
+def write_report(df: DataFrame, path: str, single: bool = True, mode: str = "errorifexists") -> None:
+    """Result table as CSV: one file, or with ``single=False`` one per partition for tables
+    that are no summaries.  The layout does not depend on the size."""
+    (df.coalesce(1) if single else df).write.mode(mode).csv(path, header=True)
