@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a table that the next one re
 but the last keep the columns of ``documents``:
 
 1. language ID: documents whose language cannot be told go, all others stay;
-2. SimHash near-duplicates over five-word shingles: one document of each group stays;
+2. SimHash near-duplicates, which share four fifths of their five-word shingles: one
+   document of each group stays;
 3. secrets are replaced by a mark, no document goes;
 4. sources are mixed to their target weights: documents come as often as the mix takes
    them, in training order;
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, mixing, pieces, secret_scan, simhash
+from plumbline.llm import langid, mixing, pieces, secret_scan, sketches
 from plumbline.llm.catalog import VOCABULARY
 from plumbline.llm.common import table
 from plumbline.session import stored
@@ -30,8 +31,6 @@ from plumbline.session import stored
 #: Documents whose likeliest language has a posterior below this are rejected.
 LEAST_SCORE = 0.5
 
-#: Near-duplicates share four fifths of their five-word shingles: within three bits.
-SPEC = simhash.SimHash(width=5, budget=3)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the one with the least doc_id."""
-    return simhash.keep_one(docs, SPEC)
+    return sketches.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,13 +74,19 @@ def cosines(left: list[bytes], right: list[bytes] | None = None) -> np.ndarray:
     return np.where(m[:, None] == n, a[:, :width] @ b[:, :width].T, -2.0)
 
 
+def _components() -> tuple[Column, Column]:
+    """The components of a vector in doubles, without negative zeros, and whether it is usable."""
+    doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
+    bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    some = F.exists(doubles, lambda x: x != 0)
+    return doubles, F.coalesce(~bad & some, F.lit(False))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
     """One row per different usable vector: node (its hash), vec (its doubles as bytes), n
     (rows that have it), first_id (their least vec_id)."""
-    doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    bad = F.exists("d", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = ~F.coalesce(bad, F.lit(True)) & F.exists("d", lambda x: x != 0)
-    distinct = (vectors.select("vec_id", doubles.alias("d")).filter(usable)
+    doubles, usable = _components()
+    distinct = (vectors.select("vec_id", doubles.alias("d"), usable.alias("u")).filter("u")
                 .groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +286,8 @@ def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> Dat
                      "first_id", F.coalesce("component", "node").alias("component")))
     least = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
     result = stored(found.join(least, "component").select("node", "n_links", "component_id"))
-    doubles = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    rows = vectors.select("vec_id", F.xxhash64(doubles).alias("node"), F.size("embedding").alias("size"))
+    doubles, usable = _components()
+    rows = vectors.select("vec_id", F.when(usable, F.xxhash64(doubles)).alias("node"))
     rows = rows.join(result, "node", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

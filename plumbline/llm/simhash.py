@@ -26,10 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import hashable, stored
+from ..session import stored
 from .components import components
 
 # Ship the functions themselves, so that executors need not have this package.
@@ -93,12 +92,12 @@ def fingerprints(docs: DataFrame, spec: SimHash) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _prefix(fp: Column, depth: int) -> Column:
+def node_prefix(fp: Column, depth: int) -> Column:
     return F.shiftrightunsigned(fp, BITS - depth)
 
 
 def _nodes(leaves: DataFrame, depth: int) -> DataFrame:
-    return leaves.groupBy(_prefix(F.col("fp"), depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return leaves.groupBy(node_prefix(F.col("fp"), depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _masks(depth: int, budget: int) -> list[int]:
@@ -109,20 +108,22 @@ def _masks(depth: int, budget: int) -> list[int]:
     return out
 
 
-def node_pairs(leaves: DataFrame, spec: SimHash) -> list[tuple[int, DataFrame]]:
+def node_pairs(leaves: DataFrame, spec: SimHash, fixed: int = 0, most: int = BITS, roots: int = 1
+               ) -> list[tuple[int, DataFrame]]:
     """The upper traversal: for some depths, the node pairs (a, b, a <= b) that tasks take over.
 
     The first step goes from the roots to ``first_depth`` levels down (more where even
     evenly spread leaves would not fit): a node's partners follow from the differences
     that the budget allows.  Pairs that hold too many leaves go down further, children
-    with children.
+    with children.  The first ``fixed`` bits tell apart ``roots`` tries, which do not meet;
+    bits behind the first ``most`` are not used.
     """
-    n = leaves.count()
+    n = leaves.count() // roots << fixed
     depth = spec.first_depth
-    while n >> depth > spec.task_leaves // 4:
+    while n >> depth > spec.task_leaves // 4 and depth < most:
         depth += 1
     nodes = _nodes(leaves, depth)
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(depth, spec.budget)])
+    masks = F.array(*[F.lit(m).cast("long") for m in _masks(depth - fixed, spec.budget)])
     other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = (nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(masks).alias("mask"))
              .withColumn("b", F.col("a").bitwiseXOR(F.col("mask"))).filter("a <= b").join(other, "b")
@@ -130,12 +131,12 @@ def node_pairs(leaves: DataFrame, spec: SimHash) -> list[tuple[int, DataFrame]]:
     out = []
     while True:
         pairs = stored(pairs)
-        small = (F.col("na") + F.col("nb") <= spec.task_leaves) if depth < BITS else F.lit(True)
+        small = (F.col("na") + F.col("nb") <= spec.task_leaves) if depth < most else F.lit(True)
         out.append((depth, pairs.filter(small).select("a", "b")))
         large = pairs.filter(~small)
         if large.isEmpty():
             return out
-        step = min(spec.step, BITS - depth)
+        step = min(spec.step, most - depth)
         depth += step
         child = _nodes(leaves, depth).withColumn("up", F.shiftrightunsigned("node", step))
         left = child.select(F.col("up").alias("a"), F.col("node").alias("ca"), F.col("n").alias("na"))
@@ -221,7 +222,7 @@ def links(leaves: DataFrame, spec: SimHash) -> DataFrame:
     for depth, pairs in node_pairs(leaves, spec):
         sides = pairs.select(F.explode(F.when(F.col("a") == F.col("b"), F.array("a"))
                                        .otherwise(F.array("a", "b"))).alias("node"), "a", "b")
-        cells = leaves.withColumn("node", _prefix(F.col("fp"), depth)).join(sides, "node")
+        cells = leaves.withColumn("node", node_prefix(F.col("fp"), depth)).join(sides, "node")
 
         parts.append(cells.groupBy("a", "b").applyInPandas(_cell_task(depth, spec.budget), "a long, b long"))
     return reduce(DataFrame.unionAll, parts)
@@ -246,24 +247,3 @@ def near_duplicates(docs: DataFrame, spec: SimHash = SimHash()) -> DataFrame:  #
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                            "component_id")
 
-
-def keep_one(docs: DataFrame, spec: SimHash = SimHash()) -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` with one row of each component: the one with the least doc_id.
-
-    A component without any id, and rows that share the least id, keep one row, chosen by a
-    hash of all columns.  Columns may have any names but ``sim_id``, ``sim_row`` and
-    ``sim_rank``.
-    """
-    content = F.xxhash64(*hashable(docs))
-    slim = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
-                                content.alias("row")).alias("doc_id"), "text")
-    rows = stored(fingerprints(slim, spec))
-    leaves = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("head")))
-    linked = components(links(leaves.select("fp"), spec))
-    heads = (leaves.join(linked, leaves["fp"] == linked["id"], "left")
-             .groupBy(F.coalesce("component", "fp")).agg(F.min("head").alias("head"))
-             .select(F.col("head.id").alias("sim_id"), F.col("head.row").alias("sim_row")))
-    same = docs["doc_id"].eqNullSafe(F.col("sim_id")) & (content == F.col("sim_row"))
-    kept = docs.join(heads, same)
-    first = F.row_number().over(W.partitionBy("sim_id", "sim_row").orderBy(F.lit(0)))
-    return kept.withColumn("sim_rank", first).filter("sim_rank = 1").select(*docs.columns)

@@ -116,7 +116,7 @@ h AS (
          CASE WHEN two IN ({", ".join(map(_q, TWO_LABEL_SUFFIXES))}) THEN two ELSE parts[-1] END AS suffix,
          CASE WHEN two IN ({", ".join(map(_q, TWO_LABEL_SUFFIXES))}) THEN three ELSE two END AS domain
   FROM e),
-g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0)::DOUBLE AS rate FROM h),
+g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 5.0)::DOUBLE AS rate FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT rate FROM g) AS top FROM h GROUP BY suffix),
 s AS (SELECT suffix, (bad + k * top) / (n + k) AS suffix_mean
       FROM s0, (SELECT {_strength("s0", "top")} AS k)),

@@ -89,7 +89,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     ``pages`` holds page_id and host, ``outcomes`` page_id and a boolean bad.  Several
     outcomes of one page count as one, bad if any is.  Null outcomes count as not
     labelled.  A host without outcomes has the posterior of its domain; without any
-    outcome at all the mean is one half.
+    outcome at all the mean is one tenth.
     """
     known = (outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL")
              .groupBy("page_id").agg(F.max("bad").alias("bad")))
@@ -98,7 +98,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     domain, suffix = site_of(F.col("host"))
     hosts = stored(counted.withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5)
-                       / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("rate"))
+                       / (F.coalesce(F.sum("n"), F.lit(0)) + 5.0)).alias("rate"))
     rate = total.scalar()
 
     suffixes = (hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
