@@ -56,20 +56,52 @@ def _(spark, sf):
     return long_form(table(spark, sf, "embeddings"), "vec_id", V.seeded_crop("embedding", 20, "vec_id", 7))
 
 
-@query("span_mask", f"""WITH {ELEMENTS}, w AS (SELECT vec_id, {_draw(0, '2')} AS fw, {_draw(2, '1')} AS tw
-    FROM embeddings),
-  f AS (SELECT vec_id, fw, tw, {_draw(1, 'greatest(1, 16 - fw)')} AS f0, {_draw(3, 'greatest(1, 4 - tw)')} AS t0 FROM w)
-  SELECT vec_id, (pos // 4)::INTEGER AS band, (pos % 4)::INTEGER AS pos, round(CASE WHEN
-    (pos // 4 >= f0 AND pos // 4 < f0 + fw) OR (pos % 4 >= t0 AND pos % 4 < t0 + tw) THEN -80.0 ELSE x END, 6) AS value
+@query("span_mask", f"""WITH e AS (SELECT vec_id, unnest(range(256)) AS pos,
+    unnest(embedding || embedding || embedding || embedding)::DOUBLE AS x FROM embeddings),
+  w AS (SELECT vec_id, {_draw(0, '2')} AS fw, {_draw(2, '2')} AS tw FROM embeddings),
+  f AS (SELECT vec_id, fw, tw, {_draw(1, 'greatest(1, 16 - fw)')} AS f0, {_draw(3, 'greatest(1, 16 - tw)')} AS t0 FROM w)
+  SELECT vec_id, (pos // 16)::INTEGER AS band, (pos % 16)::INTEGER AS pos, round(CASE WHEN
+    (pos // 16 >= f0 AND pos // 16 < f0 + fw) OR (pos % 16 >= t0 AND pos % 16 < t0 + tw) THEN -80.0 ELSE x END, 6) AS value
   FROM e JOIN f USING (vec_id)""")
 def _(spark, sf):
-    grid = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, 4))
-    masked = V.span_mask(grid, "vec_id", 7)
-    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(masked).alias("band", "row"))
+    """Four copies of the elements as 16 bands of 16 steps, so that both spans can have width."""
+    many = F.concat("embedding", "embedding", "embedding", "embedding")
+    rows = table(spark, sf, "embeddings").select("vec_id", many.alias("x"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("x", i * 16 + 1, 16))
+    return _cells(rows.select("vec_id", F.posexplode(V.span_mask(grid, "vec_id", 7)).alias("band", "row")))
+
+
+def _cells(rows):
     return (rows.select("vec_id", "band", F.posexplode("row").alias("pos", "value"))
             .withColumn("value", F.round("value", 6)))
 
 
+@query("center_crop_bands", f"""WITH {ELEMENTS} SELECT vec_id, (pos // 8)::INTEGER AS band, (pos % 8 - 1)::INTEGER AS pos,
+  round(x, 6) AS value FROM e WHERE pos % 8 >= 1 AND pos % 8 < 6""")
+def _(spark, sf):
+    cut = V.center_crop_bands(_bands(), 5)
+    return _cells(table(spark, sf, "embeddings").select("vec_id", F.posexplode(cut).alias("band", "row")))
+
+
+@query("seeded_crop_bands", f"""WITH {ELEMENTS}, s AS (SELECT *, {_draw(0, '4')} AS st FROM e)
+  SELECT vec_id, (pos // 8)::INTEGER AS band, (pos % 8 - st)::INTEGER AS pos, round(x, 6) AS value
+  FROM s WHERE pos % 8 >= st AND pos % 8 < st + 5""")
+def _(spark, sf):
+    cut = V.seeded_crop_bands(_bands(), 5, "vec_id", 7)
+    return _cells(table(spark, sf, "embeddings").select("vec_id", F.posexplode(cut).alias("band", "row")))
+
+
+@query("pad_bands", f"""WITH {ELEMENTS} SELECT vec_id, (pos // 8)::INTEGER AS band, (pos % 8)::INTEGER AS pos,
+  round(x, 6) AS value, 8 AS length FROM e
+  UNION ALL SELECT vec_id, band::INTEGER, pos::INTEGER, 0.0, 8
+  FROM embeddings, range(8) b(band), range(8, 11) p(pos)""")
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", V.pad_bands(_bands(), 11).alias("p"))
+    each = rows.select("vec_id", "p.length", F.posexplode("p.values").alias("band", "row"))
+    return (each.select("vec_id", "band", "length", F.posexplode("row").alias("pos", "value"))
+            .withColumn("value", F.round("value", 6)))
+
+
 @query("pad_to_max", """WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations),
   m AS (SELECT conv_id, least(max(len(w)), 256) AS width FROM t GROUP BY conv_id),
   g AS (SELECT t.*, width, unnest(range(width)) AS pos FROM t JOIN m USING (conv_id))

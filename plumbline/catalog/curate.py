@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import keys, scores, vectors
-from ..operators import compare, dedup, filters, health, resolve, sampling
+from ..operators import compare, dedup, filters, health, leakage, resolve, sampling
 from ..plans import curation
 from ..session import shared_dir
 from ..sources import arrays, assets, manifests
@@ -420,6 +420,16 @@ def _(spark, sf):
                     F.size("array.data").cast("bigint").alias("n"))
 
 
+@query("decode_ints", """SELECT event_id, pos::INTEGER AS pos,
+   CASE pos WHEN 0 THEN event_id ELSE 1099511627776 + event_id * 3 END AS value
+   FROM events, range(2) r(pos)""")
+def _(spark, sf):
+    """Whole numbers beyond what floats hold come back as they were."""
+    ids = F.array(F.col("event_id"), F.lit(1 << 40) + F.col("event_id") * 3)
+    files = table(spark, sf, "events").select("event_id", arrays.encode_ints(ids).alias("content"))
+    return arrays.decode_arrays(files).select("event_id", F.posexplode("array.ints").alias("pos", "value"))
+
+
 @query("parse_weight_map", """SELECT event_id, unnest(range(2)) AS pos, unnest(['frame_1', 'frame_2']) AS frame,
    unnest([0.0::DOUBLE, (props->>'$.k')::DOUBLE]) AS alpha FROM events""")
 def _(spark, sf):
@@ -486,6 +496,48 @@ def _(spark, sf):
     return health.issue_summary(curation.health_check(*_checked(spark, sf)))
 
 
+@query("issue_examples", f"""WITH {_ISSUES} SELECT vec_id::VARCHAR AS file_id, modality, issue FROM i
+   ORDER BY 1, 2, 3 LIMIT 8""")
+def _(spark, sf):
+    found = curation.health_check(*_checked(spark, sf))
+    return health.issue_examples(found).select("file_id", "modality", "issue")
+
+
+@query("write_report", """SELECT lang, count(DISTINCT source)::VARCHAR AS n_groups FROM documents GROUP BY lang""")
+def _(spark, sf):
+    """A summary written as one CSV file and read back; CSV cells are strings."""
+    out = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    manifests.write_report(health.group_counts(table(spark, sf, "documents"), ["lang"], "source"), out)
+    return manifests.scan_manifest(spark, out)
+
+
+def _outcome(check) -> str:
+    try:
+        check()
+    except ValueError:
+        return "raised"
+    return "passed"
+
+
+@query("gates", """SELECT * FROM (VALUES ('columns', 'passed'), ('columns_missing', 'raised'),
+   ('constant_crop', 'passed'), ('constant_label', CASE WHEN (SELECT count(DISTINCT label) FROM embeddings) > 1
+   THEN 'raised' ELSE 'passed' END), ('healthy', CASE WHEN (SELECT count(*) FROM embeddings) > 0
+   THEN 'raised' ELSE 'passed' END), ('disjoint', CASE WHEN EXISTS (SELECT source FROM documents
+   GROUP BY source HAVING count(DISTINCT lang) > 1) THEN 'raised' ELSE 'passed' END)) g(gate, outcome)""")
+def _(spark, sf):
+    """The gates on whole tables, each with the outcome that the data call for."""
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    checks = {
+        "columns": lambda: filters.require_columns(d, ["doc_id", "text"]),
+        "columns_missing": lambda: filters.require_columns(d, ["doc_id", "label"]),
+        "constant_crop": lambda: health.assert_constant(e, F.size(vectors.center_crop("embedding", 50))),
+        "constant_label": lambda: health.assert_constant(e, "label"),
+        "healthy": lambda: health.assert_healthy(curation.health_check(*_checked(spark, sf))),
+        "disjoint": lambda: leakage.assert_disjoint(d, "source", "lang"),
+    }
+    return spark.createDataFrame([(k, _outcome(v)) for k, v in checks.items()], "gate string, outcome string")
+
+
 @query("value_counts", """SELECT coalesce(CASE o_orderstatus WHEN 'O' THEN 'genuine' WHEN 'F' THEN 'forged' END, '?')
    AS value, count(*)::BIGINT AS n FROM orders GROUP BY 1""")
 def _(spark, sf):

@@ -232,18 +232,30 @@ def _head_rows(spark, sf):
         "part", F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train"))
 
 
-@query("fit_head")
+@query("fit_head", """SELECT vec_id, part, y, TRUE AS in_range, TRUE AS beats_constant FROM (
+  SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS part,
+    CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings)""")
 def _(spark, sf):
+    """What can be said of a fit exactly: every row is scored, scores are probabilities, and
+    the log-loss on the training rows is below that of a constant."""
     rows = _head_rows(spark, sf)
     model = scoring.fit_head(rows.filter("part = 'train'"), "a", "b", "y", max_iter=10)
-    scored = scoring.score_head(model, rows.filter("part = 'test'"), "a", "b")
-    return scored.select("vec_id", "y", "p")
-
-
-@query("intake_stream", f"""WITH {_SCORED} SELECT vec_id, CASE WHEN p >= 0.5 THEN 'FAKE' ELSE 'GENUINE' END AS verdict
-  FROM sc WHERE y = 0""")
+    scored = scoring.score_head(model, rows, "a", "b").select("vec_id", "part", "y", "p")
+    hit = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
+    share = F.avg("y")
+    better = (scored.filter("part = 'train'").agg(
+        (F.avg(-F.log(hit)) < -(share * F.log(share) + (1 - share) * F.log(1 - share))).alias("better")).scalar())
+    return scored.select("vec_id", "part", "y", F.col("p").between(0.0, 1.0).alias("in_range"),
+                         better.alias("beats_constant"))
+
+
+@query("intake_stream", f"""WITH {_SCORED} SELECT vec_id,
+    CASE WHEN y = 0 THEN CASE WHEN p >= 0.5 THEN 'FAKE' ELSE 'GENUINE' END END AS verdict,
+    CASE WHEN y = 0 THEN round(p, 4) END AS fake_prob,
+    CASE WHEN y = 1 THEN 'unsupported format' END AS reject_reason FROM sc""")
 def _(spark, sf):
-    """The whole embeddings table as a file stream; rows of labels from 5 up are not clips."""
+    """The whole embeddings table as a file stream; rows of labels from 5 up are not clips.
+    Each row is answered: with a verdict, or with the reason why it was refused."""
     root = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     schema = table(spark, sf, "embeddings").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
@@ -253,8 +265,11 @@ def _(spark, sf):
 
     def judge(df):
         scored = scoring.score(df, "mean", _load_mean_model, _SCORE_SCHEMA, ["vec_id", "embedding", "label"])
-        return scored.select("vec_id", verdict("p").alias("verdict"))
-
-    run = intake.intake_stream(arrivals, judge, f"{root}/out", f"{root}/state")
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+        return scored.select("vec_id", verdict("p").alias("verdict"), F.round("p", 4).alias("fake_prob"))
+
+    runs = [intake.intake_stream(arrivals, judge, f"{root}/out", f"{root}/state"),
+            intake.refused_stream(arrivals, f"{root}/refused", f"{root}/refused-state", ["vec_id"])]
+    for run in runs:
+        run.awaitTermination()
+    judged, refused = (spark.read.parquet(f"{root}/{d}") for d in ("out", "refused"))
+    return judged.unionByName(refused, allowMissingColumns=True)

@@ -101,6 +101,28 @@ def seeded_crop(arr: Column | str, width: int, key: Column | str, seed: int) ->
                    F.lit(0.0)))
 
 
+def seeded_crop_bands(bands: Column | str, width: int, key: Column | str, seed: int) -> Column:
+    """One seeded window through all bands of a band-major array; short rows are padded."""
+    def cut(s: Column) -> Column:
+        steps = F.size(F.get(s["b"], F.lit(0)))
+        start = draw(s["k"], seed, 0, F.greatest(steps - width + 1, F.lit(1)))
+        return let(F.struct(s["b"].alias("b"), start.alias("s")), lambda t: F.transform(
+            t["b"], lambda row: _window_or_pad(row, width, t["s"], F.lit(0.0))))
+
+    return let(F.struct(as_col(bands).cast("array<array<double>>").alias("b"),
+                        as_col(key).cast("string").alias("k")), cut)
+
+
+def pad_bands(bands: Column | str, width: Column | int, value: float = 0.0) -> Column:
+    """Every band cut or right-padded to ``width``; struct(values, length) as :func:`pad_to`."""
+    w = F.lit(width) if isinstance(width, int) else width
+    return let(F.struct(as_col(bands).cast("array<array<double>>").alias("b"), w.cast("int").alias("w")),
+               lambda s: F.struct(
+                   F.transform(s["b"], lambda row: F.slice(F.concat(row, F.array_repeat(
+                       F.lit(value), F.greatest(s["w"] - F.size(row), F.lit(0)))), F.lit(1), s["w"])).alias("values"),
+                   F.least(F.size(F.get(s["b"], F.lit(0))), s["w"]).alias("length")))
+
+
 def span_mask(bands: Column | str, key: Column | str, seed: int,
               floor: float = MASK_FLOOR) -> Column:
     """Overwrite one span of bands and one span of time steps with ``floor``."""

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import as_col
 from ..functions.vectors import SLOTS, cosine
 from .order import top_per_group
 
+# Ship the functions themselves, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Published thresholds.
 MOTION_PERCENTILE = 0.8
 MOTION_WINDOW_US = 500_000
@@ -30,16 +40,48 @@ def motion_gate(df: DataFrame, clip: str, ts_us: str, motion: str,
     """
     half = window_us // 2
     tile = max(tile_us or 64 * window_us, half, 1)
+    columns = df.columns
+    kinds = T.StructType([*df.schema.fields, T.StructField("threshold", T.DoubleType())])
     offset = F.pmod(F.col(ts_us), F.lit(tile))
     home = ((F.col(ts_us) - offset) / F.lit(tile)).cast("bigint")
     tiles = F.array_compact(F.array(
         home, F.when(offset < half, home - 1), F.when(offset >= tile - half, home + 1)))
     copies = df.withColumn("_home", home).withColumn("_tile", F.explode(tiles))
-    near = W.partitionBy(clip, "_tile").orderBy(ts_us).rangeBetween(-half, half)
-    limit = F.percentile(F.col(motion).cast("double"), F.lit(pct)).over(near)
-    return (copies.withColumn("threshold", limit)
-            .filter((F.col("_tile") == F.col("_home")) & (F.col(motion) >= F.col("threshold")))
-            .drop("_home", "_tile"))
+    copies = copies.withColumn("_at", F.col(ts_us).cast("bigint")).withColumn("_m", F.col(motion).cast("double"))
+
+    def gate(tile: pa.Table) -> pa.Table:
+        at, home, own = (tile.column(c).to_numpy() for c in ("_at", "_home", "_tile"))
+        score = tile.column("_m").to_numpy(zero_copy_only=False)
+        limit = sliding_percentile(at, score, half, pct)
+        kept = np.flatnonzero((home == own) & (score >= limit))
+        return tile.select(columns).take(kept).append_column("threshold", pa.array(limit[kept], pa.float64()))
+
+    return copies.groupBy(clip, "_tile").applyInArrow(gate, kinds)
+
+
+def sliding_percentile(at: np.ndarray, score: np.ndarray, half: int, pct: float) -> np.ndarray:
+    """The interpolated percentile of the scores within ``half`` of each row's time; NaN where
+    there are none.  Rows enter and leave one sorted list, so that no frame is sorted anew."""
+    order = np.argsort(at, kind="stable")
+    times, values = at[order].tolist(), score[order].tolist()
+    first = last = 0
+    window: list[float] = []
+    out = np.full(len(times), np.nan)
+    for place, now in zip(order.tolist(), times, strict=True):
+        while last < len(times) and times[last] <= now + half:
+            if values[last] == values[last]:
+                insort(window, values[last])
+            last += 1
+        while times[first] < now - half:
+            if values[first] == values[first]:
+                del window[bisect_left(window, values[first])]
+            first += 1
+        if window:
+            spot = (len(window) - 1) * pct
+            low = int(spot)
+            high = min(low + 1, len(window) - 1)
+            out[place] = window[low] + (spot - low) * (window[high] - window[low])
+    return out
 
 
 def top_confident(df: DataFrame, clip: str, confidence: str, tie: str,

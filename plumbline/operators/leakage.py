@@ -67,17 +67,31 @@ def cross_stage_overlap(first: DataFrame, second: DataFrame, ids: str, group: st
     """Held-out rows of the second stage against the training rows of the first.
 
     Two rows, ``clips`` and ``groups``: size of the held-out set and how much of it
-    the first stage was trained on.  Clips are compared for genuine rows only.
+    the first stage was trained on.  Clips are compared for genuine rows only.  Each stage is
+    read once, and clips and groups are counted in one aggregation.
     """
-    train = first.filter(F.col(part) == "train")
-    test = second.filter(F.col(part) == "test")
-
-    def row(subject: str, held: DataFrame, key: str) -> DataFrame:
-        return overlap(held, train, key).select(
-            F.lit(subject).alias("subject"), F.col("n_a").alias("n_heldout"),
-            F.col("n_both").alias("n_seen"))
-
-    return row("clips", test.filter(F.col(label) == 0), ids).unionByName(row("groups", test, group))
+    yes, no = F.lit(True), F.lit(False)
+    genuine = F.when(F.col(label) == 0, F.col(ids).cast("string"))
+
+    def keys(rows: DataFrame, clip: Column, seen: Column, held: Column) -> DataFrame:
+        both = F.array(F.struct(F.lit("clips").alias("subject"), clip.alias("key")),
+                       F.struct(F.lit("groups").alias("subject"), F.col(group).cast("string").alias("key")))
+        return rows.select(F.explode(both).alias("k"), seen.alias("seen"), held.alias("held")).select(
+            "k.subject", "k.key", "seen", "held")
+
+    train = keys(first.filter(F.col(part) == "train"), F.col(ids).cast("string"), yes, no)
+    test = keys(second.filter(F.col(part) == "test"), genuine, no, yes)
+    flags = (train.unionAll(test).filter(F.col("key").isNotNull()).groupBy("subject", "key")
+             .agg(F.max("seen").alias("seen"), F.max("held").alias("held")))
+
+    def numbers(subject: str) -> list[Column]:
+        own = F.col("held") & (F.col("subject") == subject)
+        return [F.count_if(own).alias(f"{subject}_held"), F.count_if(own & F.col("seen")).alias(f"{subject}_seen")]
+
+    row = flags.agg(*numbers("clips"), *numbers("groups"))
+    rows = F.array(*[F.struct(F.lit(s).alias("subject"), F.col(f"{s}_held").alias("n_heldout"),
+                              F.col(f"{s}_seen").alias("n_seen")) for s in ("clips", "groups")])
+    return row.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def part_sizes(df: DataFrame, part: str = "part",

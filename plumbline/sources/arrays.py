@@ -17,7 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SHAPE = T.StructField("shape", T.ArrayType(T.IntegerType()))
 _ERR = T.StructField("err", T.StringType())
-ARRAY = T.StructType([_SHAPE, T.StructField("data", T.ArrayType(T.FloatType())), _ERR])
+ARRAY = T.StructType([_SHAPE, T.StructField("data", T.ArrayType(T.FloatType())),
+                      T.StructField("ints", T.ArrayType(T.LongType())), _ERR])
 PROBE = T.StructType([_SHAPE, *[T.StructField(c, T.BooleanType())
                                 for c in ("is_float", "has_nan", "has_inf")], _ERR])
 WEIGHT_MAP = "map<string,struct<alpha:double>>"
@@ -33,10 +34,12 @@ def _decode(content: pd.Series) -> pd.DataFrame:
     for raw in content:
         try:
             a = _load(raw)
-            rows.append((list(a.shape), a.astype(np.float32).reshape(-1), None))
+            whole = np.issubdtype(a.dtype, np.integer)
+            rows.append((list(a.shape), a.astype(np.float32).reshape(-1),
+                         a.astype(np.int64).reshape(-1) if whole else None, None))
         except Exception as e:  # noqa: BLE001 - a broken file is a value, not a failure
-            rows.append((None, None, type(e).__name__))
-    return pd.DataFrame(rows, columns=["shape", "data", "err"])
+            rows.append((None, None, None, type(e).__name__))
+    return pd.DataFrame(rows, columns=["shape", "data", "ints", "err"])
 
 
 @F.pandas_udf(PROBE)
@@ -63,8 +66,22 @@ def encode_array(data: pd.Series) -> pd.Series:
     return data.map(pack)
 
 
+@F.pandas_udf(T.BinaryType())
+def encode_ints(data: pd.Series) -> pd.Series:
+    """1-D whole-number array to .npy bytes."""
+    def pack(values: np.ndarray) -> bytes:
+        buf = io.BytesIO()
+        np.save(buf, np.asarray(values, dtype=np.int64), allow_pickle=False)
+        return buf.getvalue()
+    return data.map(pack)
+
+
 def decode_arrays(df: DataFrame, content: str = "content", out: str = "array") -> DataFrame:
-    """Add struct(shape, data, err): flat float data, or the error's name."""
+    """Add struct(shape, data, ints, err): flat float data, or the error's name.
+
+    Integer files also have their exact values in ``ints``, since floats hold whole numbers
+    only up to 2**24.
+    """
     return df.withColumn(out, _decode(F.col(content)))
 
 

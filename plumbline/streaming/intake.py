@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +36,27 @@ def admitted(df: DataFrame, path: str = "path", length: str = "length",
 def intake_stream(stream: DataFrame, judge: Callable[[DataFrame], DataFrame], sink: str,
                   checkpoint: str, path: str = "path", length: str = "length",
                   available_now: bool = True) -> StreamingQuery:
-    """Append ``judge(admitted rows)`` to a Parquet sink.
+    """Append ``judge(admitted rows)`` to a Parquet sink; :func:`refused_stream` takes the rest.
 
     The flow keeps no state across rows, so it needs no watermark.  ``checkpoint``
     must lie in shared storage; the file sink then writes each row exactly once.
     """
     ok, _ = admitted(stream, path, length)
-    writer = (judge(ok).writeStream.format("parquet").outputMode("append")
+    return _started(judge(ok), sink, checkpoint, available_now)
+
+
+def refused_stream(stream: DataFrame, sink: str, checkpoint: str, columns: Sequence[str],
+                   path: str = "path", length: str = "length", available_now: bool = True) -> StreamingQuery:
+    """Append every refused row of the same stream, with ``reject_reason``, to its own sink.
+
+    It runs beside :func:`intake_stream` with a checkpoint of its own, so that each row of
+    the stream ends up in exactly one of the two sinks.
+    """
+    _, refused = admitted(stream, path, length)
+    return _started(refused.select(*columns, "reject_reason"), sink, checkpoint, available_now)
+
+
+def _started(df: DataFrame, sink: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = (df.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint).option("path", sink))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
