@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,12 @@ def list_assets(spark: SparkSession, source: ManifestSource, content: bool = Fal
     return parse_assets(raw.select(*cols), source)
 
 
+def list_registry_assets(spark: SparkSession, sources: Sequence[ManifestSource],
+                         content: bool = False) -> DataFrame:
+    """Listings of all registered sources as one frame, tagged with the source."""
+    return reduce(DataFrame.unionByName, [list_assets(spark, s, content) for s in sources])
+
+
 def inventory(expected: DataFrame, listing: DataFrame, on: Sequence[str]) -> DataFrame:
     """Expected artefacts with status present / MISSING."""
     seen = listing.select(*on).distinct().withColumn("_seen", F.lit(True))

@@ -84,3 +84,24 @@ def test_routing_and_reports_do_not_overwrite(spark, tmp_path):
         write(target)
         with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
             write(target)
+
+
+def test_listing_covers_all_registered_sources(spark, tmp_path):
+    from plumbline.sources import assets
+    registered = []
+    for name in ("one", "two"):
+        folder = tmp_path / name / "audio"
+        folder.mkdir(parents=True)
+        (folder / f"{name}_melspec.npy").write_bytes(b"x")
+        registered.append(manifests.ManifestSource(name, f"file://{tmp_path}/{name}", "m.csv"))
+    rows = assets.list_registry_assets(spark, registered).collect()
+    assert {(r["source"], r["file_id"]) for r in rows} == {("one", "one"), ("two", "two")}
+
+
+def test_refused_rows_have_a_sink(spark, tmp_path):
+    from plumbline.streaming import intake
+    df = spark.createDataFrame([(1, "a.mp4", 1), (2, "b.txt", 1)], "id long, path string, length long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = intake.read_scores(spark, str(tmp_path / "in"), df.schema)
+    intake.refused_stream(stream, str(tmp_path / "no"), str(tmp_path / "state"), ["id"]).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "no")).collect()] == [(2, "unsupported format")]
