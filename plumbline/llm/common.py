@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Ship the functions themselves, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The white space that parts words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value together with its classes, so that executors need not have this
+    package; the result gets it back inside a task.  The value must be of bounded size."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        return pickle.loads(sent.value)
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

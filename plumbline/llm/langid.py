@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
+
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -125,12 +127,13 @@ def identify(docs: DataFrame, model: Model, training: Training = Training()) ->
 
     Repeated rows get equal results.  Columns named lang_pred or lang_score are replaced.
     """
-    shared, longest = docs.sparkSession.sparkContext.broadcast(model), training.longest
+    get, longest = shared(docs.sparkSession, model), training.longest
     rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = get()
         for batch in batches:
-            found = [predict(shared.value, t, longest) for t in batch.column("text").to_pylist()]
+            found = [predict(known, t, longest) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()),
                  pa.array([x[1] for x in found], pa.float64())],

@@ -26,6 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
+
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -297,13 +299,14 @@ def scan_secrets(docs: DataFrame, base: Sequence[Rule] = BASE, more: Sequence[Ru
     alone) and n_<kind> for every base rule.  Null and empty texts have no spans.  Repeated
     rows are each returned, null ids too; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(compiled((*base, *more)))
+    get = shared(docs.sparkSession, compiled((*base, *more)))
     kinds, n = [r.kind for r in (*base, *more)], len(base)
     names = [f"n_{r.kind}" for r in base]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = get()
         for batch in batches:
-            found = [_spans(shared.value, t) for t in batch.column("text").to_pylist()]
+            found = [_spans(scanner, t) for t in batch.column("text").to_pylist()]
             kept = [[s for s in spans if s[1] < n] for spans in found]
             counts = [pa.array([sum(s[1] == k for s in spans) for spans in kept], pa.int64())
                       for k in range(n)]
@@ -321,11 +324,13 @@ def scan_secrets(docs: DataFrame, base: Sequence[Rule] = BASE, more: Sequence[Ru
 
 def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced; spans that overlap are replaced as one."""
-    shared = docs.sparkSession.sparkContext.broadcast(compiled(tuple(rules)))
+    get = shared(docs.sparkSession, compiled(tuple(rules)))
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([_masked(shared.value, t, mark) for t in texts], dtype=object)
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = get()
+        for texts in batches:
+            yield pd.Series([_masked(scanner, t, mark) for t in texts], dtype=object)
 
     return docs.withColumn("text", mask("text"))
 
