@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import join_summary, stored
 from .components import components
 
 # Ship the functions themselves, so that executors need not have this package.
@@ -195,46 +195,52 @@ def descend(graph: DataFrame, nodes: DataFrame, spec: Descent) -> DataFrame:
 
 
 def enlarged(graph: DataFrame, nodes: DataFrame, spec: Descent) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), each in both directions, and the components they form (id, component).
+    """Rows linked to every node (node, linked), and the components (id, component).
 
-    Links of saturated nodes come from comparing them with their whole component in tiles.
+    Where a component holds a saturated node, all of its nodes are compared with each other
+    in tiles, and only their counts leave a tile: rows grow with nodes times tiles.  Other
+    nodes count the links of their lists.  A node's own further rows are not counted here.
     """
     near = graph.filter(F.col("s") >= spec.threshold)
     linked = stored(near.select("a", "b"))
     groups = stored(components(linked))
     full = (near.groupBy("a").count().filter(F.col("count") >= spec.k)
             .join(groups, F.col("a") == F.col("id")).select("component").distinct())
-    inside = (groups.join(full, "component").join(nodes.select("node", "vec"), F.col("id") == F.col("node"))
-              .select("component", "node", "vec"))
-    sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / spec.tile)).cast("int")
-    placed = inside.join(sizes.withColumn("tiles", tiles).drop("size"), "component").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sizes = (groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(full, "component")
+             .select("component", tiles.alias("tiles")))
+    inside = stored(join_summary(groups, sizes, ["component"], "inner"))
+    placed = (inside.join(nodes.select("node", "vec", "n"), F.col("id") == F.col("node"))
+              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "component", "node", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        "component", "node", "vec", "n", "own", F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"))
     threshold = spec.threshold
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         own = (cell["own"] == cell["i"]).to_numpy()
-        ids, blobs = cell["node"].to_numpy(), cell["vec"].to_numpy()
-        left, right = ids[own], ids if own.all() else ids[~own]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        found = cosines(list(blobs[own]), list(blobs if own.all() else blobs[~own])) >= threshold
-        i, j = np.nonzero(found)
-        keep = left[i] != right[j]
-        return pd.DataFrame({"a": left[i[keep]], "b": right[j[keep]]})
-
-    more = cells.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
-    every = linked.unionAll(more)
-    both = every.unionAll(every.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return both, groups
-
-
-def audit(links: DataFrame, nodes: DataFrame, spec: Descent) -> float:
-    """Share of the links of ``spec.audit_nodes`` nodes, chosen by hash, that were found.
-
-    These nodes are compared with all vectors.  Only links that hold are in ``links``.
+        ids, blobs, rows = (cell[c].to_numpy() for c in ("node", "vec", "n"))
+        if own.all():
+            hit = cosines(list(blobs)) >= threshold
+            np.fill_diagonal(hit, False)
+            return pd.DataFrame({"node": ids, "linked": hit @ rows})
+        if not own.any():
+            return pd.DataFrame({"node": [], "linked": []}, dtype=np.int64)
+        hit = cosines(list(blobs[own]), list(blobs[~own])) >= threshold
+        return pd.DataFrame({"node": np.concatenate([ids[own], ids[~own]]),
+                             "linked": np.concatenate([hit @ rows[~own], hit.T @ rows[own]])})
+
+    counted = cells.groupBy("component", "i", "j").applyInPandas(compare, "node long, linked long")
+    both = linked.unionAll(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    others = both.join(inside.select(F.col("id").alias("a")), "a", "left_anti").join(
+        nodes.select(F.col("node").alias("b"), F.col("n").alias("linked")), "b").select(F.col("a").alias("node"), "linked")
+    return counted.unionAll(others).groupBy("node").agg(F.sum("linked").alias("linked")), groups
+
+
+def audit(linked: DataFrame, nodes: DataFrame, spec: Descent) -> float:
+    """Share of the rows linked to ``spec.audit_nodes`` nodes, chosen by hash, that were found.
+
+    These nodes are compared with all vectors.  Only links that hold are counted in ``linked``.
     """
     chosen = (nodes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(spec.seed)))
               .limit(spec.audit_nodes).toArrow())
@@ -250,10 +256,11 @@ def audit(links: DataFrame, nodes: DataFrame, spec: Descent) -> float:
             if len(own):
                 hit = cosines(batch.column("vec").to_pylist(), wanted[1]) >= threshold
                 hit &= own[:, None] != wanted[0]
-                yield pa.RecordBatch.from_arrays([pa.array([int(hit.sum())], pa.int64())], ["n"])
+                rows = batch.column("n").to_numpy() @ hit
+                yield pa.RecordBatch.from_arrays([pa.array([int(rows.sum())], pa.int64())], ["n"])
 
-    real = nodes.select("node", "vec").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    got = links.filter(F.col("a").isin([int(x) for x in ids])).count()
+    real = nodes.select("node", "vec", "n").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    got = linked.filter(F.col("node").isin([int(x) for x in ids])).agg(F.sum("linked")).first()[0] or 0
     return got / real if real else 1.0
 
 
@@ -271,16 +278,14 @@ def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> Dat
     graph, start = sorted_blocks(nodes, spec, 0), 0
     while True:
         graph = descend(graph, nodes, spec)
-        links, groups = enlarged(graph, nodes, spec)
-        links = stored(links)
+        linked, groups = enlarged(graph, nodes, spec)
+        linked = stored(linked)
         start += spec.sorts
-        if start >= spec.sorts * spec.rounds or audit(links, nodes, spec) >= spec.recall:
+        if start >= spec.sorts * spec.rounds or audit(linked, nodes, spec) >= spec.recall:
             break
         graph = graph.unionAll(sorted_blocks(nodes, spec, start))
     heads = nodes.select("node", "n", "first_id")
-    weight = (links.join(heads.select(F.col("node").alias("b"), "n"), "b")
-              .groupBy("a").agg(F.sum("n").alias("linked")))
-    found = (heads.join(weight, heads["node"] == weight["a"], "left")
+    found = (heads.join(linked, "node", "left")
              .join(groups, heads["node"] == groups["id"], "left")
              .select("node", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
                      "first_id", F.coalesce("component", "node").alias("component")))
