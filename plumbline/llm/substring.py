@@ -26,6 +26,7 @@ import hashlib
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -52,9 +53,17 @@ class Repeats:
     segments: int = 4096
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64)
+class Hashes(dict):
+    """Hashes of words, remembered while there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -73,16 +82,55 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(hashes: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of every run that shares an anchor."""
+#: Low bits of a value that hold its position while minima are sought.
+_PLACE = np.uint64((1 << 26) - 1)
+
+
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The position of the first least value of every run of ``width``, by doubling.
+
+    Values are compared by their high bits; the first of equal ones counts.
+    """
+    least, reach = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return (least & _PLACE).astype(np.int64)
+
+
+def anchors(hashes: np.ndarray, sizes: list[int], width: int, size: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, anchor hash, first window and number of windows of every run of windows
+    that share an anchor, for documents whose word hashes stand one after the other."""
     n = len(hashes) - width + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     grams = rolling(hashes, size)
-    views = np.lib.stride_tricks.sliding_window_view(grams, width - size + 1)[:n]
-    at = views.argmin(axis=1) + np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return grams[at[first]].view(np.int64), first, np.diff(np.append(first, n))
+    at = sliding_least(grams, width - size + 1)[:n]
+    inside = np.flatnonzero(owner[:n] == owner[width - 1:])
+    if not len(inside):
+        return (np.zeros(0, np.int64),) * 4
+    found, own = at[inside], owner[inside]
+    new = np.concatenate([[True], (found[1:] != found[:-1]) | (own[1:] != own[:-1])])
+    first = np.flatnonzero(new)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    return (own[first], grams[found[first]].view(np.int64), inside[first] - begins[own[first]],
+            np.diff(np.append(first, len(inside))))
+
+
+def _portions(texts: list, words: int = 1 << 19) -> Iterator[list]:
+    """Lists of words of consecutive texts, cut where they hold enough words together."""
+    portion, total = [], 0
+    for text in texts:
+        portion.append(text)
+        total += len(text)
+        if total >= words:
+            yield portion
+            portion, total = [], 0
+    if portion:
+        yield portion
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -100,13 +148,16 @@ def marked(docs: DataFrame, spec: Repeats) -> DataFrame:
     width, size = spec.width, spec.anchor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
             counts, digests, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = _words(text)
-                counts.append(len(words))
-                digests.append(hashlib.sha256(b" ".join(words)).digest())
-                found.append(anchors(word_hashes(words), width, size)[0])
+            for portion in _portions([_words(t) for t in batch.column("text").to_pylist()]):
+                sizes = [len(w) for w in portion]
+                flat = hashes.of(list(chain.from_iterable(portion)))
+                own, marks, _, _ = anchors(flat, sizes, width, size)
+                found += np.split(marks, np.searchsorted(own, np.arange(1, len(sizes))))
+                digests += [hashlib.sha256(b" ".join(w)).digest() for w in portion]
+                counts += sizes
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), batch.column("check"),
                  pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
@@ -143,20 +194,29 @@ def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         names = ["cell", "salt", "key", "check", "start", "words"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        hashes = Hashes()
         for batch in batches:
             rows: list[tuple] = []
-            for key, check, packed, many in zip(*(batch.column(c).to_pylist() for c in (
-                    "key", "check", "packed", "many")), strict=True):
-                words = unpack(packed).split()
-                counts = {x["h"]: x["n"] for x in many}
-                for h, first, n in zip(*(x.tolist() for x in anchors(word_hashes(words), width, size)),
-                                       strict=True):
-                    if h not in counts:
-                        continue
-                    own = counts[h] > most
-                    salt = (key + first) % -(-counts[h] // most) if own else -1
-                    rows.append((h if own else h % shards, salt, key, check, first,
-                                 b" ".join(words[first:first + n + width - 1])))
+            keys, checks, many = (batch.column(c).to_pylist() for c in ("key", "check", "many"))
+            texts = [unpack(p) for p in batch.column("packed").to_pylist()]
+            done = 0
+            for portion in _portions([t.split() for t in texts]):
+                sizes = [len(w) for w in portion]
+                own, *found = anchors(hashes.of(list(chain.from_iterable(portion))), sizes, width, size)
+                cuts = np.searchsorted(own, np.arange(len(sizes) + 1)).tolist()
+                for k, words in enumerate(portion):
+                    at, text = done + k, texts[done + k]
+                    counts = {x["h"]: x["n"] for x in many[at]}
+                    # Where every word begins; words are parted by one space.
+                    begins = [0, *accumulate(len(w) + 1 for w in words)]
+                    for h, first, n in zip(*(x[cuts[k]:cuts[k + 1]].tolist() for x in found), strict=True):
+                        if (times := counts.get(h)) is None:
+                            continue
+                        apart = times > most
+                        salt = (keys[at] + first) % -(-times // most) if apart else -1
+                        rows.append((h if apart else h % shards, salt, keys[at], checks[at], first,
+                                     text[begins[first]:begins[first + n + width - 1] - 1]))
+                done += len(portion)
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -165,68 +225,122 @@ def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
         run, "cell long, salt int, key long, check long, start long, words binary")
 
 
-def confirmed_apart(sent: DataFrame, spec: Repeats) -> DataFrame:
-    """Windows that recur among the segments of anchors with shards of their own."""
-    width = spec.width
+def confirmed_apart(carriers: DataFrame, spec: Repeats) -> DataFrame:
+    """Windows that recur among the segments of anchors with shards of their own, addressed
+    to every shard of the anchor."""
+    width, most = spec.width, spec.segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, parts, held = Hashes(), [], 0
         for batch in batches:
-            found = [rolling(word_hashes(w.split()), width).view(np.int64)
-                     for w in batch.column("words").to_pylist()]
-            cells = np.repeat(batch.column("cell").to_numpy(), [len(f) for f in found])
-            windows = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(windows)], ["cell", "window"])
+            rows = batch.to_pandas().groupby(["cell", "words"]).size().reset_index(name="n")
+            windows, owner, _ = _windows([hashes.of(w.split()) for w in rows["words"]], width)
+            parts.append(pd.DataFrame({"cell": rows["cell"].to_numpy()[owner], "window": windows,
+                                       "n": rows["n"].to_numpy()[owner]}))
+            held += len(windows)
+            if held > 500_000:
+                parts = [pd.concat(parts).groupby(["cell", "window"], as_index=False)["n"].sum()]
+                held = len(parts[0])
+                if held > 250_000:
+                    yield pa.RecordBatch.from_pandas(parts[0], preserve_index=False)
+                    parts, held = [], 0
+        if parts:
+            total = pd.concat(parts).groupby(["cell", "window"], as_index=False)["n"].sum()
+            yield pa.RecordBatch.from_pandas(total, preserve_index=False)
+
+    def large(x: Column) -> Column:
+        return x["n"] > most
+
+    some = carriers.withColumn("many", F.filter("many", large)).filter(F.size("many") > 0)
+    own = segments(some, 1, spec)
+    windows = (own.select("cell", "words").mapInArrow(run, "cell long, window long, n long")
+               .groupBy("cell", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"))
+    counts = (some.select(F.explode("many").alias("x")).select(F.col("x.h").alias("cell"), F.col("x.n").alias("n"))
+              .distinct())
+    salts = F.sequence(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1)
+    return windows.join(counts, "cell").select(F.col("cell").alias("own"), F.explode(salts).alias("dealt"), "window")
+
+
+def _windows(hashed: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, segment and first word of every window of a list of segments."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *hashed])
+    owner = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
+    begins = np.concatenate([[0], np.cumsum([len(h) for h in hashed])]).astype(np.int64)
+    n = max(0, len(flat) - width + 1)
+    inside = np.flatnonzero(owner[:n] == owner[len(flat) - n:])
+    own = owner[inside]
+    return rolling(flat, width)[inside].view(np.int64), own, inside - begins[own]
+
+
+def recurring_phrases(texts: list[tuple[int, ...]], times: np.ndarray, found: tuple[np.ndarray, ...],
+                      confirmed: np.ndarray | None, width: int) -> list[tuple[int, ...]]:
+    """The passages to look for among different segments that occur ``times`` each.
+
+    A segment that occurs twice or more is one passage, whole.  Of the others, every
+    confirmed window is.  Without ``confirmed`` the windows that start twice or more among
+    these segments are.
+    """
+    windows, owner, offset = found
+    if confirmed is None:
+        values, index = np.unique(windows, return_inverse=True)
+        confirmed = values[np.bincount(index, weights=times[owner], minlength=len(values)) > 1]
+    single = (times[owner] == 1) & np.isin(windows, confirmed)
+    first = np.flatnonzero(single)[np.unique(windows[single], return_index=True)[1]]
+    phrases = [texts[k][i:i + width] for k, i in zip(owner[first].tolist(), offset[first].tolist(), strict=True)]
+    return phrases + [texts[k] for k in np.flatnonzero(times > 1).tolist()]
 
-    own = sent.filter("salt >= 0")
-    salts = own.select("cell", "salt").distinct()
-    windows = (own.select("cell", "words").mapInArrow(run, "cell long, window long")
-               .groupBy("cell", "window").count().filter("count > 1"))
-    return windows.join(salts, "cell").select(F.col("cell").alias("own"), F.col("salt").alias("dealt"), "window")
 
+def located(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
+    """Spans (key, check, start, end) of words that recurring windows cover.
 
-def located(sent: DataFrame, spec: Repeats) -> DataFrame:
-    """Spans (key, check, start, end) of words that recurring windows cover."""
+    In a shard equal segments are looked at once.
+    """
     width = spec.width
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({c: pd.Series([], dtype=np.int64) for c in ("key", "check", "start", "end")})
         if not len(left):
             return nothing
-        texts = [w.split() for w in left["words"]]
-        hashed = [rolling(word_hashes(t), width).view(np.int64) for t in texts]
-        flat = np.concatenate(hashed)
-        owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashed])
-        offset = np.concatenate([np.arange(len(h)) for h in hashed])
-        windows, first, count = np.unique(flat, return_index=True, return_counts=True)
-        if left["salt"].iloc[0] >= 0:
-            first = first[np.isin(windows, right["window"].to_numpy())]
-        else:
-            first = first[count > 1]
-        if not len(first):
-            return nothing
+        kinds, different = pd.factorize(left["words"])
+        times = np.bincount(kinds)
         ids: dict[bytes, int] = {}
-        coded = [tuple([ids.setdefault(w, len(ids)) for w in t]) for t in texts]
-        phrases = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for k, i in zip(owner[first].tolist(), offset[first].tolist(), strict=True):
-            phrases.add_word(coded[k][i:i + width])
-        phrases.make_automaton()
-        rows = []
-        for k in range(len(coded)):
-            begin = end = -1
-            for last, _ in phrases.iter(coded[k]):
-                if last - width + 1 > end:
-                    rows.append((k, begin, end))
-                    begin, end = last - width + 1, last + 1
-                else:
-                    end = last + 1
-            rows.append((k, begin, end))
-        found = np.array([r for r in rows if r[1] >= 0], np.int64).reshape(-1, 3)
-        at, base = found[:, 0], left["start"].to_numpy()
+        texts = [tuple([ids.setdefault(w, len(ids)) for w in t.split()]) for t in different]
+        known = np.array([xxhash.xxh64_intdigest(w) for w in ids], np.uint64)
+        apart = left["salt"].iloc[0] >= 0
+        if apart:
+            # Its other segments are elsewhere: nothing occurs twice for sure but what was counted.
+            times = np.ones_like(times)
+        confirmed = right["window"].to_numpy() if apart else None
+        phrases = recurring_phrases(texts, times, _windows([known[list(t)] for t in texts], width), confirmed, width)
+        if not phrases:
+            return nothing
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for phrase in phrases:
+            automaton.add_word(phrase)
+        automaton.make_automaton()
+        rows: list[tuple[int, int, int]] = []
+        for k, text in enumerate(texts):
+            spans: list[list[int]] = []
+            for last, size in automaton.iter(text):
+                begin = last + 1 - size
+                while spans and begin <= spans[-1][1]:
+                    begin = min(begin, spans.pop()[0])
+                spans.append([begin, last + 1])
+            rows += [(k, a, b) for a, b in spans]
+        found = np.array(rows, np.int64).reshape(-1, 3)
+        # Hand the spans of a segment to all rows that hold it.
+        order = np.argsort(kinds, kind="stable")
+        many = np.bincount(kinds)
+        starts = np.concatenate([[0], np.cumsum(many)[:-1]])
+        each = many[found[:, 0]]
+        steps = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        at = order[np.repeat(starts[found[:, 0]], each) + steps]
+        base = left["start"].to_numpy()[at]
         return pd.DataFrame({"key": left["key"].to_numpy()[at], "check": left["check"].to_numpy()[at],
-                             "start": base[at] + found[:, 1], "end": base[at] + found[:, 2]})
+                             "start": base + np.repeat(found[:, 1], each), "end": base + np.repeat(found[:, 2], each)})
 
-    groups = sent.groupBy("cell", "salt").cogroup(
-        confirmed_apart(sent, spec).groupBy("own", "dealt"))
+    groups = segments(carriers, shards, spec).groupBy("cell", "salt").cogroup(
+        confirmed_apart(carriers, spec).groupBy("own", "dealt"))
     return groups.applyInPandas(run, "key long, check long, start long, end long")
 
 
@@ -271,8 +385,7 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:  #
     shards = max(1, -(-total // spec.segments))
     many = each.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("h", "n")).alias("many"))
     carriers = stored(_packed(docs).join(many, "key"))
-    sent = stored(segments(carriers, shards, spec))
-    removed = without(carriers, located(sent, spec))
+    removed = without(carriers, located(carriers, shards, spec))
     digest = F.lower(F.hex(F.coalesce("left", "digest")))
     return (marks.drop("anchors").join(removed, ["key", "check"], "left")
             .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
