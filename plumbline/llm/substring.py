@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate, chain
 
@@ -120,8 +120,11 @@ def anchors(hashes: np.ndarray, sizes: list[int], width: int, size: int
             np.diff(np.append(first, len(inside))))
 
 
-def _portions(texts: list, words: int = 1 << 19) -> Iterator[list]:
-    """Lists of words of consecutive texts, cut where they hold enough words together."""
+def _portions(texts: Iterable[list[bytes]], words: int = 1 << 18) -> Iterator[list[list[bytes]]]:
+    """Lists of words of consecutive texts, cut where they hold enough words together.
+
+    Texts are taken one by one, so that only one portion is held as words at a time.
+    """
     portion, total = [], 0
     for text in texts:
         portion.append(text)
@@ -151,7 +154,7 @@ def marked(docs: DataFrame, spec: Repeats) -> DataFrame:
         hashes = Hashes()
         for batch in batches:
             counts, digests, found = [], [], []
-            for portion in _portions([_words(t) for t in batch.column("text").to_pylist()]):
+            for portion in _portions(map(_words, batch.column("text").to_pylist())):
                 sizes = [len(w) for w in portion]
                 flat = hashes.of(list(chain.from_iterable(portion)))
                 own, marks, _, _ = anchors(flat, sizes, width, size)
@@ -196,14 +199,14 @@ def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         hashes = Hashes()
         for batch in batches:
-            rows: list[tuple] = []
             keys, checks, many = (batch.column(c).to_pylist() for c in ("key", "check", "many"))
             texts = [unpack(p) for p in batch.column("packed").to_pylist()]
             done = 0
-            for portion in _portions([t.split() for t in texts]):
+            for portion in _portions(t.split() for t in texts):
                 sizes = [len(w) for w in portion]
                 own, *found = anchors(hashes.of(list(chain.from_iterable(portion))), sizes, width, size)
                 cuts = np.searchsorted(own, np.arange(len(sizes) + 1)).tolist()
+                rows: list[tuple] = []
                 for k, words in enumerate(portion):
                     at, text = done + k, texts[done + k]
                     counts = {x["h"]: x["n"] for x in many[at]}
@@ -217,9 +220,9 @@ def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
                         rows.append((h if apart else h % shards, salt, keys[at], checks[at], first,
                                      text[begins[first]:begins[first + n + width - 1] - 1]))
                 done += len(portion)
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return carriers.mapInArrow(
         run, "cell long, salt int, key long, check long, start long, words binary")
