@@ -57,7 +57,7 @@ class Hashes(dict):
     """Hashes of words, remembered while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -198,9 +198,11 @@ def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
         names = ["cell", "salt", "key", "check", "start", "words"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         hashes = Hashes()
-        for batch in batches:
-            keys, checks, many = (batch.column(c).to_pylist() for c in ("key", "check", "many"))
-            texts = [unpack(p) for p in batch.column("packed").to_pylist()]
+        # Lists of anchors are large as Python objects: few documents are taken at a time.
+        parts = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+        for part in parts:
+            keys, checks, many = (part.column(c).to_pylist() for c in ("key", "check", "many"))
+            texts = [unpack(p) for p in part.column("packed").to_pylist()]
             done = 0
             for portion in _portions(t.split() for t in texts):
                 sizes = [len(w) for w in portion]
@@ -241,10 +243,10 @@ def confirmed_apart(carriers: DataFrame, spec: Repeats) -> DataFrame:
             parts.append(pd.DataFrame({"cell": rows["cell"].to_numpy()[owner], "window": windows,
                                        "n": rows["n"].to_numpy()[owner]}))
             held += len(windows)
-            if held > 500_000:
+            if held > 200_000:
                 parts = [pd.concat(parts).groupby(["cell", "window"], as_index=False)["n"].sum()]
                 held = len(parts[0])
-                if held > 250_000:
+                if held > 100_000:
                     yield pa.RecordBatch.from_pandas(parts[0], preserve_index=False)
                     parts, held = [], 0
         if parts:
