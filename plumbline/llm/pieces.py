@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -195,6 +196,16 @@ def decode_ids(surfaces: Sequence[bytes], ids: Sequence[int] | None) -> str | No
     return text.removeprefix(" ")
 
 
+def _portions(batch: pa.RecordBatch, lengths: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose rows have about ``size`` together: it bounds what a worker
+    holds as Python objects at a time.  A longer row is a slice of its own."""
+    lengths = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
+    whose = (np.cumsum(lengths, dtype=np.int64) - 1) // size
+    starts = np.flatnonzero(np.diff(whose, prepend=-2)).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs`` with the ids of the text column, an array of int.
 
@@ -205,9 +216,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     shared = docs.sparkSession.sparkContext.broadcast(Matcher(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = shared.value.encode_batch(batch.column("llm_text").to_pylist())
-            columns = [batch.column(f"c{i}") for i in range(len(rest))]
+        for part in chain.from_iterable(
+                _portions(b, pc.binary_length(b.column("llm_text")), 3 << 20) for b in batches):
+            ids = shared.value.encode_batch(part.column("llm_text").to_pylist())
+            columns = [part.column(f"c{i}") for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))],
                                              [*[f"c{i}" for i in range(len(rest))], "ids"])
 
@@ -223,11 +235,12 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str
     shared = coded.sparkSession.sparkContext.broadcast(Matcher(vocabulary).surfaces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(f"c{rest.index(ids)}")
-            texts = [decode_ids(shared.value, x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*batch.schema.names, "decoded"])
+        name = f"c{rest.index(ids)}"
+        for part in chain.from_iterable(
+                _portions(b, pc.list_value_length(b.column(name)), 1 << 20) for b in batches):
+            texts = [decode_ids(shared.value, x) for x in part.column(name).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+                                             [*part.schema.names, "decoded"])
 
     sent = coded.select(*[coded[c].alias(f"c{i}") for i, c in enumerate(rest)])
     fields = [f"c{i} {coded.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
