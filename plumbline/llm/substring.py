@@ -185,46 +185,50 @@ def _packed(docs: DataFrame) -> DataFrame:
         run, "key long, check long, packed binary")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], shards: int, spec: Repeats) -> Iterator[list[tuple]]:
+    """The segments (cell, salt, key, check, start, words) of some documents at a time."""
+    width, most = spec.width, spec.segments
+    unpack, hashes = zstandard.ZstdDecompressor().decompress, Hashes()
+    # Lists of anchors are large as Python objects: few documents are taken at a time.
+    parts = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
+    for part in parts:
+        keys, checks, many = (part.column(c).to_pylist() for c in ("key", "check", "many"))
+        texts = [unpack(p) for p in part.column("packed").to_pylist()]
+        done = 0
+        for portion in _portions(t.split() for t in texts):
+            sizes = [len(w) for w in portion]
+            own, *found = anchors(hashes.of(list(chain.from_iterable(portion))), sizes, width, spec.anchor)
+            cuts = np.searchsorted(own, np.arange(len(sizes) + 1)).tolist()
+            rows: list[tuple] = []
+            for k, words in enumerate(portion):
+                at, text = done + k, texts[done + k]
+                counts = {x["h"]: x["n"] for x in many[at]}
+                # Where every word begins; words are parted by one space.
+                begins = [0, *accumulate(len(w) + 1 for w in words)]
+                for h, first, n in zip(*(x[cuts[k]:cuts[k + 1]].tolist() for x in found), strict=True):
+                    if (times := counts.get(h)) is None:
+                        continue
+                    apart = times > most
+                    salt = (keys[at] + first) % -(-times // most) if apart else -1
+                    rows.append((h if apart else h % shards, salt, keys[at], checks[at], first,
+                                 text[begins[first]:begins[first + n + width - 1] - 1]))
+            done += len(portion)
+            yield rows
+
+
 def segments(carriers: DataFrame, shards: int, spec: Repeats) -> DataFrame:
     """The words around every recurring anchor, addressed to a shard.
 
     ``salt`` is -1 in a shard of many anchors.  An anchor of its own has its hash as ``cell``
     and its segments dealt over salts 0 and up.
     """
-    width, size, most = spec.width, spec.anchor, spec.segments
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         names = ["cell", "salt", "key", "check", "start", "words"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        hashes = Hashes()
-        # Lists of anchors are large as Python objects: few documents are taken at a time.
-        parts = (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256))
-        for part in parts:
-            keys, checks, many = (part.column(c).to_pylist() for c in ("key", "check", "many"))
-            texts = [unpack(p) for p in part.column("packed").to_pylist()]
-            done = 0
-            for portion in _portions(t.split() for t in texts):
-                sizes = [len(w) for w in portion]
-                own, *found = anchors(hashes.of(list(chain.from_iterable(portion))), sizes, width, size)
-                cuts = np.searchsorted(own, np.arange(len(sizes) + 1)).tolist()
-                rows: list[tuple] = []
-                for k, words in enumerate(portion):
-                    at, text = done + k, texts[done + k]
-                    counts = {x["h"]: x["n"] for x in many[at]}
-                    # Where every word begins; words are parted by one space.
-                    begins = [0, *accumulate(len(w) + 1 for w in words)]
-                    for h, first, n in zip(*(x[cuts[k]:cuts[k + 1]].tolist() for x in found), strict=True):
-                        if (times := counts.get(h)) is None:
-                            continue
-                        apart = times > most
-                        salt = (keys[at] + first) % -(-times // most) if apart else -1
-                        rows.append((h if apart else h % shards, salt, keys[at], checks[at], first,
-                                     text[begins[first]:begins[first + n + width - 1] - 1]))
-                done += len(portion)
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+        for rows in _cut(batches, shards, spec):
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return carriers.mapInArrow(
         run, "cell long, salt int, key long, check long, start long, words binary")
@@ -237,11 +241,12 @@ def confirmed_apart(carriers: DataFrame, spec: Repeats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, held = Hashes(), [], 0
-        for batch in batches:
-            rows = batch.to_pandas().groupby(["cell", "words"]).size().reset_index(name="n")
+        for cut in _cut(batches, 1, spec):
+            rows = pd.DataFrame({"cell": [r[0] for r in cut], "words": [r[5] for r in cut]})
+            rows = rows.groupby(["cell", "words"]).size().reset_index(name="n")
             windows, owner, _ = _windows([hashes.of(w.split()) for w in rows["words"]], width)
-            parts.append(pd.DataFrame({"cell": rows["cell"].to_numpy()[owner], "window": windows,
-                                       "n": rows["n"].to_numpy()[owner]}))
+            parts.append(pd.DataFrame({"cell": rows["cell"].to_numpy(np.int64)[owner], "window": windows,
+                                       "n": rows["n"].to_numpy(np.int64)[owner]}))
             held += len(windows)
             if held > 200_000:
                 parts = [pd.concat(parts).groupby(["cell", "window"], as_index=False)["n"].sum()]
@@ -257,8 +262,7 @@ def confirmed_apart(carriers: DataFrame, spec: Repeats) -> DataFrame:
         return x["n"] > most
 
     some = carriers.withColumn("many", F.filter("many", large)).filter(F.size("many") > 0)
-    own = segments(some, 1, spec)
-    windows = (own.select("cell", "words").mapInArrow(run, "cell long, window long, n long")
+    windows = (some.mapInArrow(run, "cell long, window long, n long")
                .groupBy("cell", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"))
     counts = (some.select(F.explode("many").alias("x")).select(F.col("x.h").alias("cell"), F.col("x.n").alias("n"))
               .distinct())
