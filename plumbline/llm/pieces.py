@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from .common import shared
+
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -213,12 +215,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     column ``out`` is replaced.
     """
     rest = [c for c in docs.columns if c != out]
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(vocabulary))
+    get = shared(docs.sparkSession, Matcher(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = get()
         for part in chain.from_iterable(
                 _portions(b, pc.binary_length(b.column("llm_text")), 3 << 20) for b in batches):
-            ids = shared.value.encode_batch(part.column("llm_text").to_pylist())
+            ids = matcher.encode_batch(part.column("llm_text").to_pylist())
             columns = [part.column(f"c{i}") for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))],
                                              [*[f"c{i}" for i in range(len(rest))], "ids"])
@@ -232,13 +235,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``coded`` with the text of the ids column; null for null."""
     rest = [c for c in coded.columns if c != out]
-    shared = coded.sparkSession.sparkContext.broadcast(Matcher(vocabulary).surfaces())
+    get = shared(coded.sparkSession, Matcher(vocabulary).surfaces())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"c{rest.index(ids)}"
+        name, surfaces = f"c{rest.index(ids)}", get()
         for part in chain.from_iterable(
                 _portions(b, pc.list_value_length(b.column(name)), 1 << 20) for b in batches):
-            texts = [decode_ids(shared.value, x) for x in part.column(name).to_pylist()]
+            texts = [decode_ids(surfaces, x) for x in part.column(name).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                              [*part.schema.names, "decoded"])
 
