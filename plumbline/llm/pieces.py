@@ -5,7 +5,8 @@ the batch are concatenated and indexed by a suffix array as deep as the longest
 Binary search of every piece in the suffix array gives the range of its occurrences; these
 are the edges of the lattice, sorted by position.  Relaxing follows the merge order of
 byte-pair encoding: of all edges whose two halves stand as symbols, the one with the best
-score, then the leftmost, is taken, until none is left.  Characters that are no piece become
+score, then the leftmost, is taken, until none is left; all units of a batch go on together,
+one edge each in a round.  Characters that are no piece become
 byte pieces.  The result equals that of the SentencePiece library.
 
 The vocabulary is read from a file on the driver and broadcast (tens of thousands of
@@ -65,8 +66,10 @@ def read_vocabulary(path: str) -> Vocabulary:
 class Matcher:
     """A vocabulary made ready for binary search."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 200_000) -> None:
+        """``remembered`` bounds the units whose ids are kept from one batch to the next."""
         self.vocabulary = vocabulary
+        self.remembered, self.known = remembered, {}
         self.ids = np.array([i for i, s in enumerate(vocabulary.scores) if s is not None], np.int64)
         texts = [vocabulary.pieces[i] for i in self.ids]
         self.sizes = np.array([len(t) for t in texts], np.int64)
@@ -117,25 +120,85 @@ class Matcher:
         by = np.lexsort((size, start))
         return start[by], size[by], piece[by]
 
-    def encode_units(self, units: Sequence[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of every distinct unit of a batch."""
-        if not units:
-            return {}
+    def encode_units(self, units: Sequence[str], chars: int = 1 << 20) -> dict[str, tuple[int, ...]]:
+        """The ids of different units, indexed together in portions of about ``chars``."""
+        out: dict[str, tuple[int, ...]] = {}
+        portion, total = [], 0
+        for unit in units:
+            portion.append(unit)
+            total += len(unit) + 1
+            if total >= chars:
+                out |= self._encode_portion(portion)
+                portion, total = [], 0
+        return out | self._encode_portion(portion) if portion else out
+
+    def _encode_portion(self, units: list[str]) -> dict[str, tuple[int, ...]]:
         text = self.separator.join(units)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         start, size, piece = self.edges(codes)
-        begins = np.concatenate([[0], np.cumsum([len(u) + 1 for u in units])])
-        cuts = np.searchsorted(start, begins).tolist()
-        start, size, piece = start.tolist(), size.tolist(), piece.tolist()
-        begins = begins.tolist()
+        lengths = np.array([len(u) for u in units], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         out = {}
-        for k, unit in enumerate(units):
-            a, b, base = cuts[k], cuts[k + 1], begins[k]
-            # A unit may hold the separator; no piece does, so no edge crosses it.
-            lattice = {(s - base, z): p for s, z, p in zip(start[a:b], size[a:b], piece[a:b], strict=True)}
-            out[unit] = self._relax(unit, lattice)
+        # Very long units take many rounds: they are relaxed one by one.
+        for k in np.flatnonzero(lengths > 4 * self.longest).tolist():
+            a, b = np.searchsorted(start, begins[[k, k + 1]])
+            lattice = {(s, z): p for s, z, p in zip((start[a:b] - begins[k]).tolist(), size[a:b].tolist(),
+                                                    piece[a:b].tolist(), strict=True)}
+            out[units[k]] = self._relax(units[k], lattice)
+        short = np.flatnonzero(lengths <= 4 * self.longest)
+        # The lattice as a table: the piece at every start and size.
+        table = np.full((len(codes) + 1, self.longest + 1), -1, np.int32)
+        table[start, size] = piece
+        many, flat = self._relax_all(codes, table, begins[short], lengths[short])
+        ends = np.cumsum(many).tolist()
+        flat = flat.tolist()
+        for k, lo, hi in zip(short.tolist(), [0, *ends], ends, strict=False):
+            out[units[k]] = tuple(flat[lo:hi])
         return out
 
+    def _relax_all(self, codes: np.ndarray, table: np.ndarray, begins: np.ndarray, lengths: np.ndarray
+                   ) -> tuple[np.ndarray, np.ndarray]:
+        """Relax all units together, one merge in each unit a round: ids per unit, and all ids."""
+        scores = np.array([-np.inf if x is None else x for x in self.vocabulary.scores] + [-np.inf])
+        unit = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(unit)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + begins[unit]
+        size = np.ones(len(unit), np.int64)
+        done = []
+        while len(unit):
+            total = size[:-1] + size[1:]
+            fits = (unit[:-1] == unit[1:]) & (total <= self.longest)
+            found = np.where(fits, table[at[:-1], np.where(fits, total, 0)], -1)
+            score = np.append(scores[found], -np.inf)
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            best = np.maximum.reduceat(score, first)
+            spread = np.diff(np.append(first, len(unit)))
+            hit = np.flatnonzero((score == np.repeat(best, spread)) & (score > -np.inf))
+            going = np.repeat(best > -np.inf, spread)
+            done.append((unit[~going], at[~going], size[~going]))
+            hit = hit[np.append(True, unit[hit[1:]] != unit[hit[:-1]])] if len(hit) else hit
+            size[hit] += size[hit + 1]
+            going[hit + 1] = False
+            unit, at, size = unit[going], at[going], size[going]
+        unit, at, size = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3))
+        order = np.lexsort((at, unit))
+        unit, at, size = unit[order], at[order], size[order]
+        ids = table[at, size].astype(np.int64)
+        alone = np.flatnonzero(size == 1)
+        chars, kind = np.unique(codes[at[alone]], return_inverse=True)
+        spelt = [list(self._char(chr(c))) for c in chars.tolist()]
+        ids[alone] = np.array([x[0] for x in spelt], np.int64)[kind] if len(spelt) else ids[alone]
+        times = np.ones(len(ids), np.int64)
+        if len(spelt):
+            times[alone] = np.array([len(x) for x in spelt])[kind]
+        flat = np.repeat(ids, times)
+        if (times > 1).any():
+            # Characters that become several bytes.
+            ends = np.cumsum(times)
+            own = {int(i): spelt[j] for i, j in zip(alone.tolist(), kind.tolist(), strict=True) if len(spelt[j]) > 1}
+            for i, several in own.items():
+                flat[ends[i] - len(several):ends[i]] = several
+        return np.bincount(unit, weights=times, minlength=len(lengths)).astype(np.int64), flat
+
     def _relax(self, unit: str, lattice: dict[tuple[int, int], int]) -> tuple[int, ...]:
         scores, n = self.vocabulary.scores, len(unit)
         size, before = [1] * n, list(range(-1, n - 1))
@@ -175,7 +238,12 @@ class Matcher:
         """The ids of every text; none for an empty text, null for null."""
         cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         units = [None if t is None else cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.encode_units(list(dict.fromkeys(chain.from_iterable(u for u in units if u))))
+        new = [u for u in dict.fromkeys(chain.from_iterable(u for u in units if u)) if u not in self.known]
+        if len(self.known) > self.remembered:
+            self.known.clear()
+            new = list(dict.fromkeys(chain.from_iterable(u for u in units if u)))
+        self.known |= self.encode_units(new)
+        known = self.known
         return [None if u is None else list(chain.from_iterable(map(known.__getitem__, u))) for u in units]
 
     def surfaces(self) -> list[bytes]:
