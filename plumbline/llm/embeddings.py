@@ -7,8 +7,10 @@ other, and every node keeps its best ``k``.  Rounds end when hardly any link at
 the threshold is added.
 
 A node whose whole list lies above the threshold is saturated: it may have more links than
-the list holds.  Its list is enlarged to all nodes of its component, compared tile by tile,
-so that no list is ever cut and no group is ever in one task.  A sample of nodes is compared
+the list holds.  Links that blocks or joins have found and lists cannot hold are kept beside
+the graph, as many as tie together what they tie together, and components follow from both.
+A saturated node is then compared with all nodes of its component, tile by tile, so that no
+link found is ever lost and no group is ever in one task.  A sample of nodes is compared
 with all vectors to audit the recall; further sorts are added while it is too low.
 
 All cosines are computed in double precision from the given components.
@@ -101,16 +103,43 @@ def classes(vectors: DataFrame) -> DataFrame:
         pack, f"node long, vec binary, n long, first_id {kind}")
 
 
+def _ranked(edges: DataFrame) -> DataFrame:
+    """The given (a, b, s), each once, with the rank r of b among the neighbours of a."""
+    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+    return one.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b")))
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """Every node's ``k`` nearest of the given (a, b, s), each once."""
-    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
-    order = W.partitionBy("a").orderBy(F.desc("s"), "b")
-    return one.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+    return _ranked(edges).filter(F.col("r") <= k).drop("r")
+
+
+def _lists_and_cut(edges: DataFrame, spec: Descent) -> tuple[DataFrame, DataFrame]:
+    """Every node's ``spec.k`` nearest, and the links that hold but have no place in a list."""
+    kept = stored(_ranked(edges).filter((F.col("r") <= spec.k) | (F.col("s") >= spec.threshold)))
+    return kept.filter(F.col("r") <= spec.k).drop("r"), kept.filter(F.col("r") > spec.k).select("a", "b")
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that tie together what the symmetric matrix ``hit`` ties together."""
+    out, fresh = [], np.ones(len(hit), bool)
+    for root in np.flatnonzero(hit.any(axis=1)).tolist():
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            at = todo.pop()
+            more = np.flatnonzero(hit[at] & fresh)
+            fresh[more] = False
+            todo += more.tolist()
+            out += [(at, b) for b in more.tolist()]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def sorted_blocks(nodes: DataFrame, spec: Descent, start: int) -> DataFrame:
     """Edges between vectors that lie close in one of ``spec.sorts`` sorts by hyperplane code."""
     seed, bits, sorts, block, k = spec.seed, spec.bits, spec.sorts, spec.block, spec.k
+    threshold = spec.threshold
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -146,6 +175,9 @@ def sorted_blocks(nodes: DataFrame, spec: Descent, start: int) -> DataFrame:
                 near = np.argsort(-found, axis=1)[:, :k]
                 a, b = np.repeat(own, near.shape[1]), own[near].ravel()
                 s = np.take_along_axis(found, near, axis=1).ravel()
+                if near.shape[1] == k and (s.reshape(near.shape)[:, -1] >= threshold).any():
+                    i, j = _forest(found >= threshold)
+                    a, b, s = (np.append(a, own[i]), np.append(b, own[j]), np.append(s, found[i, j]))
                 keep = s > -2.0
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, s)], ["a", "b", "s"])
 
@@ -154,12 +186,14 @@ def sorted_blocks(nodes: DataFrame, spec: Descent, start: int) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long, s double")
 
 
-def local_join(graph: DataFrame, nodes: DataFrame, fresh: DataFrame | None, k: int) -> DataFrame:
-    """Neighbours of neighbours: edges better than the last one in either node's list.
+def local_join(graph: DataFrame, nodes: DataFrame, fresh: DataFrame | None, spec: Descent) -> DataFrame:
+    """Neighbours of neighbours: edges better than the last one in either node's list, and
+    links enough to tie together what the members' cosines tie together.
 
     Centres are nodes and their members the nodes they point to or are pointed at from, the
     nearest ``k`` of the latter.  With ``fresh``, only centres whose lists have changed join.
     """
+    k, threshold = spec.k, spec.threshold
     back = _best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"), k)
     members = graph.select("a", "b").unionAll(back.select("a", "b")).distinct()
     if fresh is not None:
@@ -173,37 +207,45 @@ def local_join(graph: DataFrame, nodes: DataFrame, fresh: DataFrame | None, k: i
         ids, last = cell["b"].to_numpy(), cell["last"].to_numpy()
         found = cosines(list(cell["vec"]))
         np.fill_diagonal(found, -2.0)
-        i, j = np.nonzero(found > last[:, None])
+        better, hit = found > last[:, None], found >= threshold
+        if (hit & ~better).any():
+            better[_forest(hit)] = True
+        i, j = np.nonzero(better)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "s": found[i, j]})
 
     return cells.groupBy("a").applyInPandas(join, "a long, b long, s double")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, spec: Descent) -> DataFrame:
-    """Refine the graph until an iteration adds hardly any link."""
-    graph, fresh = stored(_best(graph, spec.k)), None
+def descend(graph: DataFrame, nodes: DataFrame, spec: Descent) -> tuple[DataFrame, DataFrame]:
+    """Refine the graph until an iteration adds hardly any link: the lists, and the links
+    (a, b) that were found but have no place in a list."""
+    (graph, cut), fresh = _lists_and_cut(graph, spec), None
     links = graph.filter(F.col("s") >= spec.threshold).count()
     for _ in range(spec.iterations):
-        found = local_join(graph, nodes, fresh, spec.k)
-        after = stored(_best(graph.unionAll(found), spec.k))
+        found = local_join(graph, nodes, fresh, spec)
+        after, more = _lists_and_cut(graph.unionAll(found), spec)
+        cut = cut.unionAll(more)
         fresh = after.join(graph, ["a", "b"], "left_anti").select("a").distinct()
         graph, before = after, links
         links = graph.filter(F.col("s") >= spec.threshold).count()
         if links - before <= spec.settled * before:
             break
-    return graph
+    return graph, cut
 
 
-def enlarged(graph: DataFrame, nodes: DataFrame, spec: Descent) -> tuple[DataFrame, DataFrame]:
+def enlarged(graph: DataFrame, cut: DataFrame, nodes: DataFrame, spec: Descent) -> tuple[DataFrame, DataFrame]:
     """Rows linked to every node (node, linked), and the components (id, component).
 
+    ``cut`` holds the links beyond the lists.  They have saturated nodes at both ends or are
+    in the other end's list, so that components they tie together are compared in tiles.
+
     Where a component holds a saturated node, all of its nodes are compared with each other
     in tiles, and only their counts leave a tile: rows grow with nodes times tiles.  Other
     nodes count the links of their lists.  A node's own further rows are not counted here.
     """
     near = graph.filter(F.col("s") >= spec.threshold)
     linked = stored(near.select("a", "b"))
-    groups = stored(components(linked))
+    groups = stored(components(linked.unionAll(cut)))
     full = (near.groupBy("a").count().filter(F.col("count") >= spec.k)
             .join(groups, F.col("a") == F.col("id")).select("component").distinct())
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / spec.tile)).cast("int")
@@ -275,10 +317,11 @@ def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> Dat
     false.  Other columns are not looked at.
     """
     nodes = stored(classes(vectors))
-    graph, start = sorted_blocks(nodes, spec, 0), 0
+    graph, cut, start = sorted_blocks(nodes, spec, 0), None, 0
     while True:
-        graph = descend(graph, nodes, spec)
-        linked, groups = enlarged(graph, nodes, spec)
+        graph, more = descend(graph, nodes, spec)
+        cut = more if cut is None else cut.unionAll(more)
+        linked, groups = enlarged(graph, cut, nodes, spec)
         linked = stored(linked)
         start += spec.sorts
         if start >= spec.sorts * spec.rounds or audit(linked, nodes, spec) >= spec.recall:

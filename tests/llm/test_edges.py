@@ -260,6 +260,20 @@ def test_saturated_lists_are_enlarged(spark):
     assert [got[i] for i in range(len(x))] == want and max(want) == 59
 
 
+def test_links_between_saturated_groups_are_kept(spark):
+    rng = np.random.default_rng(4)
+    basis = np.linalg.qr(rng.normal(size=(96, 96)))[0]
+    heads = basis[0], 0.9696 * basis[0] + np.sqrt(1 - 0.9696 ** 2) * basis[1]
+    tight = [head + 0.1005 * basis[2 + 20 * g + i] for g, head in enumerate(heads) for i in range(20)]
+    x = np.concatenate([tight, rng.normal(size=(200, 96))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T
+    assert near[:20, :20].min() > 0.985 and 0.955 < near[:20, 20:40].max() < 0.965
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {i: (39, 0) if i < 40 else (0, i) for i in range(len(x))}
+
+
 def test_pipeline_on_odd_rows(spark, docs, none):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for table in (plain, plain.filter("false")):
