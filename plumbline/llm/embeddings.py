@@ -10,8 +10,9 @@ A node whose whole list lies above the threshold is saturated: it may have more
 the list holds.  Links that blocks or joins have found and lists cannot hold are kept beside
 the graph, as many as tie together what they tie together, and components follow from both.
 A saturated node is then compared with all nodes of its component, tile by tile, so that no
-link found is ever lost and no group is ever in one task.  A sample of nodes is compared
-with all vectors to audit the recall; further sorts are added while it is too low.
+link found is ever lost and no group is ever in one task.  Nodes drawn
+by hash are compared with all vectors to audit the recall, until enough of them have links;
+further sorts are added while it is too low, and it is an error if they do not help.
 
 All cosines are computed in double precision from the given components.
 """
@@ -39,7 +40,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class Descent:
-    """Parameters: list length, sorts per round, block and tile sizes, and the audit."""
+    """Parameters: list length, sorts per round, block and tile sizes, and the audit.
+
+    ``audit_nodes`` is the number of nodes with links the audit asks for, ``rounds`` how many
+    rounds in a row may leave the recall as low as it was.
+    """
 
     threshold: float = 0.95
     k: int = 8
@@ -280,30 +285,44 @@ def enlarged(graph: DataFrame, cut: DataFrame, nodes: DataFrame, spec: Descent)
 
 
 def audit(linked: DataFrame, nodes: DataFrame, spec: Descent) -> float:
-    """Share of the rows linked to ``spec.audit_nodes`` nodes, chosen by hash, that were found.
+    """Mean share of the rows linked to a node that were found, over nodes that have any.
 
-    These nodes are compared with all vectors.  Only links that hold are counted in ``linked``.
+    Nodes are drawn by hash and compared with all vectors, until ``spec.audit_nodes`` of them
+    have links or all are drawn.  Each counts the same, however many rows it is linked to.
+    Only links that hold are counted in ``linked``.  Without any link the recall is 1.
     """
-    chosen = (nodes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(spec.seed)))
-              .limit(spec.audit_nodes).toArrow())
-    if not chosen.num_rows:
-        return 1.0
-    ids, blobs = chosen.column("node").to_numpy(), chosen.column("vec").to_pylist()
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, blobs))
-    threshold = spec.threshold
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, wanted = batch.column("node").to_numpy(), shared.value
-            if len(own):
-                hit = cosines(batch.column("vec").to_pylist(), wanted[1]) >= threshold
-                hit &= own[:, None] != wanted[0]
-                rows = batch.column("n").to_numpy() @ hit
-                yield pa.RecordBatch.from_arrays([pa.array([int(rows.sum())], pa.int64())], ["n"])
-
-    real = nodes.select("node", "vec", "n").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    got = linked.filter(F.col("node").isin([int(x) for x in ids])).agg(F.sum("linked")).first()[0] or 0
-    return got / real if real else 1.0
+    n, span, threshold = nodes.count(), 1 << 30, spec.threshold
+    place = F.pmod(F.xxhash64("node", F.lit(spec.seed)), F.lit(span))
+    shares: list[float] = []
+    low, width = 0, spec.audit_nodes
+    while n and low < span and len(shares) < spec.audit_nodes:
+        high = min(span, low + -(-span * width // n))
+        drawn = stored(nodes.filter((place >= low) & (place < high)).select("node", "vec"))
+        low, width = high, min(2 * width, 4096)
+        chosen = drawn.toArrow()
+        ids, blobs = chosen.column("node").to_numpy(), chosen.column("vec").to_pylist()
+        if not len(ids):
+            continue
+        shared = nodes.sparkSession.sparkContext.broadcast((ids, blobs))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            wanted, vecs = shared.value
+            for batch in batches:
+                own, rows = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+                have = batch.column("vec").to_pylist()
+                for at in range(0, len(wanted) if len(own) else 0, 512):
+                    some = wanted[at:at + 512]
+                    hit = cosines(have, vecs[at:at + 512]) >= threshold
+                    hit &= own[:, None] != some
+                    real = rows @ hit
+                    yield pa.RecordBatch.from_arrays([pa.array(some[real > 0]), pa.array(real[real > 0])], ["node", "n"])
+
+        real = (nodes.select("node", "vec", "n").mapInArrow(count, "node long, n long")
+                .groupBy("node").agg(F.sum("n").alias("n")))
+        seen = linked.join(F.broadcast(drawn.select("node")), "node")
+        both = real.join(seen, "node", "left").select("n", F.coalesce("linked", F.lit(0)).alias("linked")).collect()
+        shares += [r["linked"] / r["n"] for r in both]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> DataFrame:  # noqa: B008
@@ -318,14 +337,20 @@ def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> Dat
     """
     nodes = stored(classes(vectors))
     graph, cut, start = sorted_blocks(nodes, spec, 0), None, 0
+    best, stalled = -1.0, 0
     while True:
         graph, more = descend(graph, nodes, spec)
         cut = more if cut is None else cut.unionAll(more)
         linked, groups = enlarged(graph, cut, nodes, spec)
         linked = stored(linked)
         start += spec.sorts
-        if start >= spec.sorts * spec.rounds or audit(linked, nodes, spec) >= spec.recall:
+        recall = audit(linked, nodes, spec)
+        if recall >= spec.recall:
             break
+        best, stalled = max(best, recall), 0 if recall > best else stalled + 1
+        if stalled >= spec.rounds:
+            raise RuntimeError(f"recall {recall:.4f} is below {spec.recall} after {start} sorts, "
+                               f"the last {spec.rounds * spec.sorts} without gain")
         graph = graph.unionAll(sorted_blocks(nodes, spec, start))
     heads = nodes.select("node", "n", "first_id")
     found = (heads.join(linked, "node", "left")

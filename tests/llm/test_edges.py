@@ -274,6 +274,26 @@ def test_links_between_saturated_groups_are_kept(spark):
     assert got == {i: (39, 0) if i < 40 else (0, i) for i in range(len(x))}
 
 
+def test_recall_is_averaged_over_nodes_with_links(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(1, 32)) + rng.normal(size=(40, 32)) * 0.01, rng.normal(size=(3, 32))])
+    x = np.concatenate([x, x[40:] + 0.01])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = embeddings.classes(df).localCheckpoint()
+    group = nodes.filter("first_id < 40").select("node", F.lit(39).cast("long").alias("linked"))
+    # All 1 560 rows of the group are found and the 6 of the pairs missed: 40 of 46 nodes.
+    assert abs(embeddings.audit(group, nodes, embeddings.Descent()) - 40 / 46) < 1e-9
+    # One node drawn at a time, until one has a link.
+    assert embeddings.audit(group.filter("false"), nodes, embeddings.Descent(audit_nodes=1)) == 0
+
+
+def test_recall_below_the_stated_one_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.5000 is below 0.98"):
+        embeddings.near_duplicate_vectors(df, embeddings.Descent(rounds=1))
+
+
 def test_pipeline_on_odd_rows(spark, docs, none):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for table in (plain, plain.filter("false")):
