@@ -4,11 +4,13 @@ Two texts that share four fifths of their shingles differ in a sixth of their Si
 far more than one trie join can bridge.  Each text gets several independent fingerprints of
 64 bits.  A trie is built over the first bits of each, its sketch, and joined with itself
 under a small budget of differing bits: near-duplicates meet in at least one of the tries.
-Whether a pair that met is near enough is decided on all fingerprints together.
+A pair that met is a candidate if few enough bits of all its fingerprints differ; the Jaccard
+similarity of its distinct shingles decides.
 
-Only what keeps groups together is handed on.  Texts with equal sketches are paired with one
-of them, and a task of the trie join returns a spanning forest of the pairs it has found
-instead of all pairs; so rows grow with the documents, not with the square of a group.
+Only what keeps groups together is handed on.  A task of the trie join compares candidates by
+all bits and returns a spanning forest of those that pass; texts of the groups that these tie
+together are compared exactly, tile by tile, and tiles return spanning forests as well.  So
+links grow with the documents, not with the square of a group.
 """
 
 from __future__ import annotations
@@ -38,16 +40,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class Sketches:
     """Shingle width, number of tries, bits of a sketch, and the budget within it.
 
-    ``limit`` is the share of all bits in which near-duplicates may differ.  Sets of
-    Jaccard similarity s have a cosine of 2s / (1 + s), and differ in the share
-    acos(cosine) / pi of their bits: 0.152 for 0.8.
+    Near-duplicates have a Jaccard ``similarity`` of distinct shingles.  ``limit`` is the share
+    of all bits in which candidates may differ.  Sets of Jaccard similarity s have a cosine
+    of 2s / (1 + s), and differ in the share acos(cosine) / pi of their bits: 0.152 for 0.8,
+    up to 0.19 for sets of a few shingles.  ``tile`` is the number of texts compared at once.
     """
 
     width: int = 5
     tries: int = 8
     bits: int = 32
-    budget: int = 3
-    limit: float = 0.152
+    budget: int = 4
+    limit: float = 0.25
+    similarity: float = 0.8
+    tile: int = 256
     seed: int = 42
     task_leaves: int = 65_536
 
@@ -68,7 +73,7 @@ def sketched(rows: DataFrame, spec: Sketches) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed = [shingle_hashes(t, width, seed) for t in batch.column("text").to_pylist()]
+            hashed = [np.unique(shingle_hashes(t, width, seed)) for t in batch.column("text").to_pylist()]
             some = [i for i, h in enumerate(hashed) if len(h)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(some, pa.int64())),
@@ -78,68 +83,190 @@ def sketched(rows: DataFrame, spec: Sketches) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, fps array<long>")
 
 
-def _forest(depth: int, bits: int, budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The lower traversal of a node pair, reduced to a spanning forest of what it finds."""
+def _tie(comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after the links (x, y), and which of these form a spanning forest of what they add."""
+    used = []
+    while True:
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        apart = np.flatnonzero(low != high)
+        if not len(apart):
+            return comp, np.concatenate([np.zeros(0, np.int64), *used])
+        first = apart[np.unique(high[apart], return_index=True)[1]]
+        used.append(first)
+        to = np.arange(len(comp))
+        to[high[first]] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        comp = to[comp]
+
+
+def _apart(fps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64)
+
+
+def _forest(depth: int, budget: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The lower traversal of a node pair: texts whose sketches meet are compared by all their
+    bits, and a spanning forest of the pairs within ``most`` bits is returned."""
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        leaf = cell["fp"].to_numpy().view(np.uint64)
+        cell = cell.iloc[np.lexsort((cell["fp"].to_numpy().view(np.uint64), cell["node"] != cell["a"]))]
+        leaf, ids = cell["fp"].to_numpy().view(np.uint64), cell["id"].to_numpy()
+        fps = np.stack(cell["fps"].to_list()).astype(np.int64, copy=False).view(np.uint64)
         own = (cell["node"] == cell["a"]).to_numpy()
-        left = np.sort(leaf[own])
-        right = left if own.all() else np.sort(leaf[~own])
-        nothing = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        if not len(left) or not len(right):
-            return nothing
-        i, j = close_pairs(left, right, depth, budget)
-        a, b = left[i], right[j]
-        keep = a < b if right is left else a != b
-        a, b = a[keep], b[keep]
-        # Every leaf keeps its first and its last partner, which chains a group together.
-        nearest = {}
-        for one, other in ((a, b), (b, a)):
-            order = np.lexsort((other, one))
-            one, other = one[order], other[order]
-            first = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, int)
-            last = np.append(first[1:] - 1, len(one) - 1) if len(one) else first
-            for at in (first, last):
-                nearest.update(dict.fromkeys(zip(np.minimum(one[at], other[at]).tolist(),
-                                                 np.maximum(one[at], other[at]).tolist(), strict=True)))
-        if not nearest:
-            return nothing
-        pairs = np.array(list(nearest), np.uint64)
-        return pd.DataFrame({"a": pairs[:, 0].view(np.int64).copy(), "b": pairs[:, 1].view(np.int64).copy()})
-    return run
+        begins = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        ends = np.append(begins[1:], len(leaf))
+        cut = int(own[begins].sum())
+        if not cut or (cell["a"] != cell["b"]).any() and cut == len(begins):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        if own.all():
+            i, j = close_pairs(leaf[begins], leaf[begins], depth, budget)
+            i, j = i[i <= j], j[i <= j]
+        else:
+            i, j = close_pairs(leaf[begins[:cut]], leaf[begins[cut:]], depth, budget)
+            j = j + cut
+        comp, out = np.arange(len(ids)), []
 
+        def test(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal comp
+            new = comp[x] != comp[y]
+            x, y = x[new], y[new]
+            near = _apart(fps, x, y) <= most
+            x, y = x[near], y[near]
+            comp, used = _tie(comp, x, y)
+            out.append((ids[x[used]], ids[y[used]]))
 
-def _differ(x: Column, y: Column) -> Column:
-    """Differing bits of two arrays of fingerprints."""
-    bits = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int"))
-    return F.aggregate(bits, F.lit(0), lambda acc, v: acc + v)
+        # The first texts of equal sketches come first; what they have tied together is not
+        # looked at again.
+        if own.all():
+            test(np.repeat(begins, ends - begins), np.arange(len(ids)))
+        for at in range(0, len(i), 1 << 18):
+            test(begins[i[at:at + (1 << 18)]], begins[j[at:at + (1 << 18)]])
+        one = np.minimum.reduceat(comp, begins) == np.maximum.reduceat(comp, begins)
+        open_ = ~(one[i] & one[j] & (comp[begins[i]] == comp[begins[j]]))
+        i, j = i[open_], j[open_]
+        for at in range(0, len(i), 4096):
+            some, other = i[at:at + 4096], j[at:at + 4096]
+            n = ends[some] - begins[some]
+            x = np.repeat(begins[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            other = np.repeat(other, n)
+            size = ends[other] - begins[other]
+            last = np.cumsum(size)
+            lo = 0
+            while lo < len(x):
+                hi = max(lo + 1, int(np.searchsorted(last, last[lo] - size[lo] + (1 << 18), "right")))
+                n = size[lo:hi]
+                y = np.repeat(begins[other[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                test(np.repeat(x[lo:hi], n), y)
+                lo = hi
+        a, b = (np.concatenate(side) for side in zip(*out, strict=True)) if out else (ids[:0], ids[:0])
+        return pd.DataFrame({"a": a, "b": b})
+    return run
 
 
-def near_links(rows: DataFrame, spec: Sketches) -> DataFrame:
-    """Links (a, b) between ids that hold; enough of them to keep every found group together."""
+def loose_links(rows: DataFrame, spec: Sketches) -> DataFrame:
+    """Links (a, b) that tie together all texts that met and differ in few enough bits."""
     # A leaf is the number of its trie in the highest byte, then the sketch.
     keep = (1 << spec.bits) - 1
     sketch = F.transform("fps", lambda fp, i: F.shiftleft(i.cast("long"), 56).bitwiseOR(
         F.shiftleft(F.shiftrightunsigned(fp, 64 - spec.bits).bitwiseAND(F.lit(keep)), 56 - spec.bits)))
-    each = rows.select("id", F.explode(sketch).alias("fp"))
-    leaves = stored(each.groupBy("fp").agg(F.min("id").alias("rep")))
+    # Texts with all bits equal are tied to one of them.
+    heads = stored(rows.groupBy("fps").agg(F.min("id").alias("id")))
+    same = rows.join(heads.select("fps", F.col("id").alias("b")), "fps").select(F.col("id").alias("a"), "b")
+    each = heads.select("id", "fps", F.explode(sketch).alias("fp"))
     tree = SimHash(budget=spec.budget, first_depth=8 + 3, task_leaves=spec.task_leaves)
-    parts = [each.join(leaves, "fp").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
-    for depth, pairs in node_pairs(leaves.select("fp"), tree, fixed=8, most=8 + spec.bits, roots=spec.tries):
+    parts = [same.filter("a <> b")]
+    most = int(spec.limit * 64 * spec.tries)
+    for depth, pairs in node_pairs(stored(each.select("fp")), tree, fixed=8, most=8 + spec.bits, roots=spec.tries):
         sides = pairs.select(F.explode(F.when(F.col("a") == F.col("b"), F.array("a"))
                                        .otherwise(F.array("a", "b"))).alias("node"), "a", "b")
-        cells = leaves.select("fp", node_prefix(F.col("fp"), depth).alias("node")).join(sides, "node")
-        met = cells.groupBy("a", "b").applyInPandas(_forest(depth, spec.bits, spec.budget), "a long, b long")
-        for end in ("a", "b"):
-            named = leaves.select(F.col("fp").alias(end), F.col("rep").alias("_rep"))
-            met = met.join(named, end).drop(end).withColumnRenamed("_rep", end)
-        parts.append(met.select("a", "b"))
-    met = reduce(DataFrame.unionAll, parts).filter("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = rows.select(F.col("id").alias("a"), F.col("fps").alias("x"))
-    right = rows.select(F.col("id").alias("b"), F.col("fps").alias("y"))
-    most = int(spec.limit * 64 * spec.tries)
-    return met.join(left, "a").join(right, "b").filter(_differ(F.col("x"), F.col("y")) <= most).select("a", "b")
+        cells = each.withColumn("node", node_prefix(F.col("fp"), depth)).join(sides, "node")
+        parts.append(cells.groupBy("a", "b").applyInPandas(_forest(depth, spec.budget, most), "a long, b long"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _decide(spec: Sketches) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All pairs of a pair of tiles that are not yet tied, by the Jaccard similarity of their
+    distinct shingle hashes: a spanning forest of those that reach ``spec.similarity``."""
+    width, seed, least, most = spec.width, spec.seed, spec.similarity, int(spec.limit * 64 * spec.tries)
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        ids, texts = cell["id"].to_numpy(), cell["text"].to_list()
+        fps = np.stack(cell["fps"].to_list()).astype(np.int64, copy=False).view(np.uint64)
+        comp = np.unique(cell["tied"].to_numpy(), return_inverse=True)[1]
+        tile = cell["tile"].to_numpy()
+        alone = bool((tile == tile[0]).all())
+        if alone and (cell["i"] != cell["j"]).any():
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = np.unique(shingle_hashes(texts[at], width, seed))
+            return sets[at]
+
+        out = []
+        for x in range(len(ids)):
+            others = np.arange(x + 1, len(ids))
+            others = others[(comp[others] != comp[x]) & (alone | (tile[others] != tile[x]))]
+            others = others[_apart(fps, np.full(len(others), x), others) <= most]
+            for y in others.tolist():
+                if comp[y] == comp[x]:
+                    continue
+                a, b = of(x), of(y)
+                if min(len(a), len(b)) < least * max(len(a), len(b)):
+                    continue
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if common >= least * (len(a) + len(b) - common):
+                    comp[comp == comp[y]] = comp[x]
+                    out.append((ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return run
+
+
+def near_links(rows: DataFrame, texts: DataFrame, spec: Sketches) -> DataFrame:
+    """Links (a, b) between ids that hold; enough of them to keep every found group together.
+
+    All texts of a loose group (tied by few enough differing bits) are compared in tiles.
+    Tiles are first compared with themselves and the next one.  What that has tied together
+    is not compared again: tiles of one such part do not meet each other, tiles of others do.
+    """
+    groups = stored(components(loose_links(rows, spec)).withColumnRenamed("component", "loose"))
+    each = stored(texts.join(groups, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    full = stored(rows.join(groups, "id").join(each, "id"))
+
+    def met(tiled: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+        sides = pairs.select(F.explode(F.when(F.col("i") == F.col("j"), F.array("i"))
+                                       .otherwise(F.array("i", "j"))).alias("tile"), "i", "j")
+        cells = tiled.join(full, "id").join(sides, "tile").select("id", "fps", "text", "tied", "tile", "i", "j")
+        return stored(cells.groupBy("i", "j").applyInPandas(_decide(spec), "a long, b long"))
+
+    def number(size: Column) -> Column:
+        return F.ceil(size / spec.tile).cast("long")
+
+    sizes = stored(groups.groupBy("loose").agg(number(F.count(F.lit(1))).alias("tiles")))
+    tiled = groups.join(sizes, "loose").select("id", F.col("id").alias("tied"), F.xxhash64(
+        "loose", F.pmod(F.xxhash64("id"), F.col("tiles"))).alias("tile"))
+    ring = sizes.select("loose", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("t"))
+    i, j = F.xxhash64("loose", "t"), F.xxhash64("loose", (F.col("t") + 1) % F.col("tiles"))
+    found = met(tiled, ring.select(i.alias("i"), F.explode(F.array(i, j)).alias("j")))
+    large = groups.join(sizes.filter("tiles > 1"), "loose", "left_semi")
+    if large.isEmpty():
+        return found
+    tied = components(found).withColumnRenamed("component", "tied")
+    large = stored(large.join(tied, "id", "left").select("id", "loose", F.coalesce("tied", "id").alias("tied")))
+    part = large.groupBy("loose", "tied").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        "whole", F.col("size") >= spec.tile)
+    rest = part.filter("NOT whole").groupBy("loose").agg(number(F.sum("size")).alias("pools"))
+    part = stored(part.join(rest, "loose", "left"))
+    key = F.when(F.col("whole"), F.xxhash64("loose", "tied", F.pmod(F.xxhash64("id"), number(F.col("size"))))
+                 ).otherwise(F.xxhash64("loose", F.pmod(F.xxhash64("id", F.lit(1)), F.col("pools")), F.lit("pool")))
+    placed = stored(large.join(part, ["loose", "tied"]).select(
+        "id", "loose", "tied", key.alias("tile"), F.when(F.col("whole"), F.col("tied")).alias("only")))
+    tiles = placed.select("loose", "tile", "only").distinct()
+    pairs = (tiles.select("loose", F.col("tile").alias("i"), F.col("only").alias("p"))
+             .join(tiles.select("loose", F.col("tile").alias("j"), F.col("only").alias("q")), "loose")
+             .filter("i <= j AND NOT coalesce(p = q, false)"))
+    return found.unionAll(met(placed.select("id", "tied", "tile"), pairs))
 
 
 def keep_one(docs: DataFrame, spec: Sketches = Sketches()) -> DataFrame:  # noqa: B008
@@ -156,7 +283,7 @@ def keep_one(docs: DataFrame, spec: Sketches = Sketches()) -> DataFrame:  # noqa
     texts = slim.groupBy("id").agg(F.min("head").alias("head"))
     rows = stored(sketched(docs.select(text.alias("id"), "text"), spec).dropDuplicates(["id"]))
     # Texts without words share one class, whatever white space they hold.
-    linked = components(near_links(rows, spec))
+    linked = components(near_links(rows, docs.select(text.alias("id"), "text"), spec))
     known = stored(texts).join(rows.select(F.col("id").alias("sim_some")), F.col("id") == F.col("sim_some"), "left")
     known = known.join(linked.withColumnRenamed("id", "sim_id"), F.col("id") == F.col("sim_id"), "left")
     group = F.when(F.col("sim_some").isNull(), F.lit(0)).otherwise(F.coalesce("component", "id"))

@@ -87,6 +87,35 @@ def test_sketches_keep_one_of_each_group(spark, docs, none):
     assert {r.doc_id for r in sketches.keep_one(df).collect()} == {3, 5}
 
 
+@pytest.mark.parametrize("tile", [256, 16])
+def test_sketches_against_brute_force_near_the_limit(spark, tile):
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(30):
+        words = [f"b{base}x{i}" for i in range(300)]
+        texts.append(" ".join(words))
+        other = list(words)
+        for at in rng.choice(60, 4 + base % 6, replace=False):  # around 0.8 on both sides
+            other[5 * at] = "new"
+        texts.append(" ".join(other))
+    # A family with one template, each member with its own part; pairs inside it are nearer.
+    shared = [f"s{i}" for i in range(250)]
+    for one in range(25):
+        own = [f"o{one}x{i}" for i in range(50)]
+        texts += [" ".join(shared + own), " ".join([*shared[:100], "new", *shared[101:], *own[:30], "new", *own[31:]])]
+    # A repeated line outweighs the rest, which is different.
+    texts += [" ".join(["a line that comes again"] * 300 + [f"q{k}x{i}" for i in range(40)]) for k in range(2)]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = list(range(len(texts)))
+    for i, j in sorted(links):
+        low, high = sorted((group[i], group[j]))
+        group = [low if g == high else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in sketches.keep_one(df, sketches.Sketches(tile=tile)).collect()}
+    assert got == set(group) and 60 < len(got) < len(texts) - 30
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 499), (7, 7)]
     got = dict(components.components(spark.createDataFrame(chain, "a long, b long")).collect())
