@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, mixing, pieces, quality, secret_scan, simhash, substring, urls
+from . import bpe, embeddings, langid, licenses, mixing, pieces, quality, secret_scan, simhash, substring, urls
 from .common import table
 from .sql import LICENSES_SQL, MIXING_SQL, QUALITY_SQL, SECRETS_SQL, URLS_SQL
 
@@ -83,9 +83,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    codec = bpe.read_codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), codec)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring, op4_secrets, op5_urls, op6_language,
-                            op7_quality, op8_licenses, op9_sentencepiece, op10_embeddings)}
+                            op7_quality, op8_licenses, op9_sentencepiece, op10_embeddings, op11_bpe)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING_SQL, "op4_secrets": SECRETS_SQL, "op5_urls": URLS_SQL,
