@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, licenses, mixing, pieces, quality, secret_scan, simhash, substring, urls
+from . import bpe, embeddings, langid, licenses, mixing, negatives, pieces, quality, secret_scan, simhash, substring, trie, urls
 from .common import table
-from .sql import LICENSES_SQL, MIXING_SQL, QUALITY_SQL, SECRETS_SQL, URLS_SQL
+from .sql import LICENSES_SQL, MIXING_SQL, NEGATIVES_SQL, QUALITY_SQL, SECRETS_SQL, TRIE_SQL, URLS_SQL
 
 #: The vocabulary file that ``op9_sentencepiece`` and the pipeline read.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -93,11 +93,25 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(rows.select("vec_id", label.alias("label"), "embedding"), lambda i: i % 100 == 0)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that groups of a hundred share heads."""
+    return trie.prefix_trie(*trie.share_heads(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_simhash, op3_substring, op4_secrets, op5_urls, op6_language,
-                            op7_quality, op8_licenses, op9_sentencepiece, op10_embeddings, op11_bpe)}
+                            op7_quality, op8_licenses, op9_sentencepiece, op10_embeddings, op11_bpe,
+                            op12_negatives, op13_trie)}
 
 ORACLES: dict[str, str] = {
     "op1_mixing": MIXING_SQL, "op4_secrets": SECRETS_SQL, "op5_urls": URLS_SQL,
     "op7_quality": QUALITY_SQL, "op8_licenses": LICENSES_SQL,
+    "op12_negatives": NEGATIVES_SQL, "op13_trie": TRIE_SQL,
 }

@@ -232,3 +232,73 @@ h AS (
   FROM (SELECT rid, md5(unnest(lines)) AS digest FROM w) JOIN kd USING (digest) GROUP BY rid)
 SELECT doc_id, digest, licence, notices FROM w LEFT JOIN kd USING (digest) LEFT JOIN h USING (rid)
 """
+
+NEGATIVES_SQL = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+           CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+       s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+#: A sequence of turns is spelt out as a list; crc32 is computed bit by bit over the digits.
+TRIE_SQL = """
+WITH own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id
+                              ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+        lambda crc, byte: list_reduce(
+            list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, _: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)),
+heads AS (
+    SELECT c.conv_id, o.at AS place, o.role, o.text
+    FROM convs c JOIN own o ON o.conv_id = c.base AND o.at <= c.h),
+shared AS (SELECT conv_id, max(place) AS n FROM heads GROUP BY conv_id),
+turns AS (
+    SELECT * FROM heads
+    UNION ALL
+    SELECT c.conv_id, o.at - c.h + coalesce(s.n, 0), o.role, o.text
+    FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.at > c.h LEFT JOIN shared s ON s.conv_id = c.conv_id),
+whole AS (
+    SELECT c.conv_id, coalesce(list([t.role, t.text] ORDER BY t.place) FILTER (t.place IS NOT NULL), []) AS seq
+    FROM convs c LEFT JOIN turns t ON t.conv_id = c.conv_id GROUP BY c.conv_id),
+steps AS (
+    SELECT conv_id, d AS depth, seq[1:d] AS seq, len(seq) = d AS ends
+    FROM whole, LATERAL (SELECT unnest(range(len(seq) + 1)) AS d)),
+nodes AS (
+    SELECT depth, seq, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(seq[depth][2]) END AS saved,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM steps GROUP BY depth, seq),
+families AS (
+    SELECT n.*, p.conv_id AS parent_conv_id,
+           (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.seq[1:n.depth] = n.seq) AS n_children
+    FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.seq = n.seq[1:n.depth - 1]),
+below AS (
+    SELECT b.conv_id, b.depth, a.seq, a.depth AS top, b.n_children, b.saved
+    FROM families a JOIN families b ON b.depth >= a.depth AND b.seq[1:a.depth] = a.seq)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children,
+       CAST(count(*) FILTER (b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens,
+       f.ends_sha256
+FROM families f JOIN below b ON b.top = f.depth AND b.seq = f.seq
+GROUP BY f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, f.ends_sha256
+"""
