@@ -76,6 +76,24 @@ def encode_ints(data: pd.Series) -> pd.Series:
     return data.map(pack)
 
 
+def _packed(values: np.ndarray, rows: int, kind: type) -> bytes:
+    buf = io.BytesIO()
+    np.save(buf, np.asarray(values, dtype=kind).reshape(rows, -1), allow_pickle=False)
+    return buf.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_matrix(data: pd.Series, rows: pd.Series) -> pd.Series:
+    """Flat float array to .npy bytes of an array with that many rows."""
+    return pd.Series([_packed(x, n, np.float32) for x, n in zip(data, rows, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_int_matrix(data: pd.Series, rows: pd.Series) -> pd.Series:
+    """Flat whole-number array to .npy bytes of an array with that many rows."""
+    return pd.Series([_packed(x, n, np.int64) for x, n in zip(data, rows, strict=True)])
+
+
 def decode_arrays(df: DataFrame, content: str = "content", out: str = "array") -> DataFrame:
     """Add struct(shape, data, ints, err): flat float data, or the error's name.
 
