@@ -227,35 +227,42 @@ def _(spark, sf):
                       F.try_element_at("audio_emotion", F.lit("Happy")).alias("happy"))
 
 
-def _head_rows(spark, sf):
-    return frames.vectors(spark, sf).withColumn("y", (F.col("label") >= 5).cast("int")).withColumn(
-        "part", F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train"))
+def _load_heads():
+    """A stand-in model with two heads: the halves of a vector, and a logit from their mean."""
+    import numpy as np
+    import pandas as pd
+
+    def predict(batch: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(batch["embedding"]).astype(np.float64) if len(batch) else np.zeros((0, 64))
+        a, b = v[:, :32], v[:, 32:]
+        return pd.DataFrame({"vec_id": batch["vec_id"], "logit": 8.0 * v.mean(axis=1), "la": list(a[:, :6]),
+                             "lb": list(b[:, :6]), "za": list(a), "zb": list(b)})
+    return predict
 
 
-@query("fit_head", """SELECT vec_id, part, y, TRUE AS in_range, TRUE AS beats_constant FROM (
-  SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS part,
-    CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings)""")
-def _(spark, sf):
-    """What can be said of a fit exactly: every row is scored, scores are probabilities, and
-    the log-loss on the training rows is below that of a constant."""
-    rows = _head_rows(spark, sf)
-    model = scoring.fit_head(rows.filter("part = 'train'"), "a", "b", "y", max_iter=10)
-    scored = scoring.score_head(model, rows, "a", "b").select("vec_id", "part", "y", "p")
-    hit = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    share = F.avg("y")
-    better = (scored.filter("part = 'train'").agg(
-        (F.avg(-F.log(hit)) < -(share * F.log(share) + (1 - share) * F.log(1 - share))).alias("better")).scalar())
-    return scored.select("vec_id", "part", "y", F.col("p").between(0.0, 1.0).alias("in_range"),
-                         better.alias("beats_constant"))
-
-
-@query("intake_stream", f"""WITH {_SCORED} SELECT vec_id,
-    CASE WHEN y = 0 THEN CASE WHEN p >= 0.5 THEN 'FAKE' ELSE 'GENUINE' END END AS verdict,
-    CASE WHEN y = 0 THEN round(p, 4) END AS fake_prob,
-    CASE WHEN y = 1 THEN 'unsupported format' END AS reject_reason FROM sc""")
+_HEADS_SCHEMA = "vec_id bigint, logit double, la array<double>, lb array<double>, za array<double>, zb array<double>"
+_MAPS = (("audio_emotion", "a"), ("visual_emotion", "b"), ("per_class_delta", "dl"))
+_MAP_COLUMNS = ", ".join(f"{c}[{i}] AS {name}_{e.lower()}" for name, c in _MAPS
+                         for i, e in enumerate(scoring.EMOTIONS, 1))
+
+
+@query("intake_stream", f"""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 5),
+  z AS (SELECT vec_id, v, list_transform(v[1:6], lambda q: exp(q)) AS ea, list_transform(v[33:38], lambda q: exp(q)) AS eb
+        FROM x),
+  s AS (SELECT vec_id, v, list_transform(ea, lambda q: round(q / list_sum(ea), 4)) AS a,
+               list_transform(eb, lambda q: round(q / list_sum(eb), 4)) AS b FROM z),
+  d AS (SELECT *, list_transform(range(1, 7), lambda i: round(abs(a[i] - b[i]), 4)) AS dl,
+          {scoring.EMOTIONS} AS names, 1 / (1 + exp(-8 * list_sum(v) / 64)) AS p FROM s)
+  SELECT vec_id, round(p, 4) AS fake_prob, CASE WHEN p >= 0.5 THEN 'FAKE' ELSE 'GENUINE' END AS verdict, {_MAP_COLUMNS},
+    names[list_position(dl, list_max(dl))] AS emotion, list_max(dl) AS delta,
+    names[list_position(a, list_max(a))] AS audio_dominant, names[list_position(b, list_max(b))] AS visual_dominant,
+    round(sqrt(list_sum(list_transform(range(1, 33), lambda i: (v[i] - v[i + 32]) ** 2))), 4) AS discrepancy_l2,
+    CASE WHEN vec_id % 3 = 0 THEN '[inaudible]' ELSE 'clip ' || vec_id END AS transcript, NULL AS reject_reason FROM d
+  UNION ALL BY NAME SELECT vec_id, 'unsupported format' AS reject_reason FROM embeddings WHERE label >= 5""")
 def _(spark, sf):
     """The whole embeddings table as a file stream; rows of labels from 5 up are not clips.
-    Each row is answered: with a verdict, or with the reason why it was refused."""
+    Each row is answered from one read: with the full verdict record, or with the reason why
+    it was refused."""
     root = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     schema = table(spark, sf, "embeddings").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
@@ -264,12 +271,14 @@ def _(spark, sf):
     arrivals = stream.withColumn("path", name).withColumn("length", F.size("embedding") * 4)
 
     def judge(df):
-        scored = scoring.score(df, "mean", _load_mean_model, _SCORE_SCHEMA, ["vec_id", "embedding", "label"])
-        return scored.select("vec_id", verdict("p").alias("verdict"), F.round("p", 4).alias("fake_prob"))
-
-    runs = [intake.intake_stream(arrivals, judge, f"{root}/out", f"{root}/state"),
-            intake.refused_stream(arrivals, f"{root}/refused", f"{root}/refused-state", ["vec_id"])]
-    for run in runs:
-        run.awaitTermination()
-    judged, refused = (spark.read.parquet(f"{root}/{d}") for d in ("out", "refused"))
-    return judged.unionByName(refused, allowMissingColumns=True)
+        heads = scoring.score(df, "heads", _load_heads, _HEADS_SCHEMA, ["vec_id", "embedding"])
+        spoken = heads.withColumn("spoken", F.when(F.col("vec_id") % 3 != 0, F.concat(
+            F.lit("clip "), F.col("vec_id").cast("string"))).otherwise(F.lit(" ")))
+        record = scoring.verdict_record(spoken, "logit", "la", "lb", "za", "zb", "spoken")
+        return record.drop("logit", "la", "lb", "za", "zb", "spoken")
+
+    intake.route_stream(arrivals, judge, root, f"{root}/state", ["vec_id"]).awaitTermination()
+    answered = intake.routed(spark, root)
+    maps = [F.try_element_at(F.col(c), F.lit(e)).alias(f"{c}_{e.lower()}") for c, _ in _MAPS for e in scoring.EMOTIONS]
+    return answered.select("vec_id", "fake_prob", "verdict", *maps, "dominant_mismatch.*", "discrepancy_l2",
+                           "transcript", "reject_reason")
