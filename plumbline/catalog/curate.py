@@ -442,8 +442,9 @@ def _(spark, sf):
 
 # -- health --------------------------------------------------------------------------------
 
-def _checked(spark, sf):
-    """Array files made from the embeddings; the label decides what is wrong with them."""
+def checked_files(spark, sf):
+    """(path, content) of array files made from the embeddings; the label decides what is
+    wrong with them."""
     e = table(spark, sf, "embeddings").withColumn("id", F.col("vec_id").cast("string"))
     lab = F.col("label")
     junk = F.lit("junk").cast("binary")
@@ -470,11 +471,16 @@ def _checked(spark, sf):
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    manifest = e.select(F.lit("corpus").alias("source"), F.col("id").alias("file_id"))
-    return manifest, assets.parse_assets(rows, frames.CORPUS)
+    return rows
+
+
+def _checked(spark, sf):
+    e = table(spark, sf, "embeddings")
+    manifest = e.select(F.lit("corpus").alias("source"), F.col("vec_id").cast("string").alias("file_id"))
+    return manifest, assets.parse_assets(checked_files(spark, sf), frames.CORPUS)
 
 
-_ISSUES = """i AS (
+ISSUES = """i AS (
   SELECT vec_id, 'audio' AS modality, 'load_error:ValueError' AS issue FROM embeddings WHERE label = 3
   UNION ALL SELECT vec_id, 'audio', 'mel_bands=' || CASE WHEN label = 4 THEN 65 ELSE 64 END
     FROM embeddings WHERE label <> 3
@@ -485,18 +491,18 @@ _ISSUES = """i AS (
   UNION ALL SELECT vec_id, 'visual:weights', 'Inf' FROM embeddings WHERE label = 8)"""
 
 
-@query("issues", f"WITH {_ISSUES} SELECT vec_id::VARCHAR AS file_id, modality, issue FROM i")
+@query("issues", f"WITH {ISSUES} SELECT vec_id::VARCHAR AS file_id, modality, issue FROM i")
 def _(spark, sf):
     found = curation.health_check(*_checked(spark, sf))
     return found.select("file_id", "modality", "issue")
 
 
-@query("issue_summary", f"WITH {_ISSUES} SELECT issue, count(*)::BIGINT AS n FROM i GROUP BY issue")
+@query("issue_summary", f"WITH {ISSUES} SELECT issue, count(*)::BIGINT AS n FROM i GROUP BY issue")
 def _(spark, sf):
     return health.issue_summary(curation.health_check(*_checked(spark, sf)))
 
 
-@query("issue_examples", f"""WITH {_ISSUES} SELECT vec_id::VARCHAR AS file_id, modality, issue FROM i
+@query("issue_examples", f"""WITH {ISSUES} SELECT vec_id::VARCHAR AS file_id, modality, issue FROM i
    ORDER BY 1, 2, 3 LIMIT 8""")
 def _(spark, sf):
     found = curation.health_check(*_checked(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import GENUINE, SPLICED, TAMPERED, donor_group, source_group
 from ..operators import balance as balancing
-from ..operators import binary, health, keyframes, leakage, order, sampling, splits
+from ..operators import binary, health, keyframes, leakage, order, pairing, sampling, splits
 from ..plans import curation
 from . import frames
 from .frames import SCORES, named_parts, one_vs_sql
@@ -353,12 +353,40 @@ def _(spark, sf):
      AND video_id % 5 <> audio_id % 5 AND own >= 0.75 AND other <= 0.4 AS ok FROM j""")
 def _(spark, sf):
     """All gates on; a clip's reference is its voice with half of another vector on top."""
-    v = frames.vectors(spark, sf)
     n = table(spark, sf, "embeddings").count()
+    pairs = frames.vectors(spark, sf).select(F.col("vec_id").alias("video_id"), ((F.col("vec_id") * 7 + 1) % n).alias("audio_id"))
+    out = keyframes.check_pairs(pairs, _clips(spark, sf))
+    return frames.rounded(frames.rounded(out, "own_similarity"), "other_similarity")
+
+
+def _clips(spark, sf):
     reference = F.zip_with("a", "b", lambda x, y: x + F.lit(0.5) * y)
-    clips = v.select(F.col("vec_id").alias("clip_id"), (F.col("vec_id") % 5).alias("speaker"),
-                     F.col("label").alias("emotion"), F.col("a").alias("voice"),
-                     reference.alias("reference"), (F.col("label") / 10).alias("duration"))
-    pairs = v.select(F.col("vec_id").alias("video_id"), ((F.col("vec_id") * 7 + 1) % n).alias("audio_id"))
-    out = keyframes.check_pairs(pairs, clips)
+    return frames.vectors(spark, sf).select(
+        F.col("vec_id").alias("clip_id"), (F.col("vec_id") % 5).alias("speaker"), F.col("label").alias("emotion"),
+        F.col("a").alias("voice"), reference.alias("reference"), (F.col("label") / 10).alias("duration"))
+
+
+def _ring(column: str, seed: int) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {column}, '{seed}')), 1, 10))::BIGINT"
+
+
+@query("match_clips", f"""WITH RECURSIVE x AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, {_ring('vec_id', 42)} AS turn,
+      {_ring('vec_id', 43)} AS place,
+      list_transform(range(1, 33), lambda i: embedding[i]::DOUBLE + 0.5::DOUBLE * embedding[32 + i]) AS ref FROM embeddings),
+    g AS (SELECT s.id AS video_id, d.id AS audio_id, list_cosine_similarity(d.v[1:32], d.ref) AS own,
+        list_cosine_similarity(d.v[1:32], s.ref) AS other, d.place < s.place AS lap, d.place
+      FROM x s JOIN x d ON s.label <> d.label AND s.id % 5 <> d.id % 5
+        AND abs(s.label / 10.0::DOUBLE - d.label / 10.0::DOUBLE) <= 0.2::DOUBLE WHERE own >= 0.75 AND other <= 0.4),
+    l AS (SELECT video_id, list(audio_id ORDER BY lap, place, audio_id) AS wish FROM g GROUP BY video_id),
+    o AS (SELECT x.id, row_number() OVER (ORDER BY turn, id) AS k, wish FROM x JOIN l ON x.id = l.video_id),
+    t AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS video_id, NULL::BIGINT AS audio_id, []::BIGINT[] AS used
+      UNION ALL
+      SELECT k, video_id, audio_id, CASE WHEN audio_id IS NULL THEN used ELSE list_append(used, audio_id) END FROM (
+        SELECT o.k, o.id AS video_id, t.used, list_filter(o.wish, lambda a: len(list_filter(t.used, lambda u: u = a)) < 2)[1] AS audio_id
+        FROM t JOIN o ON o.k = t.k + 1))
+  SELECT video_id, audio_id, round(own, 6) AS own_similarity, round(other, 6) AS other_similarity
+  FROM t JOIN g USING (video_id, audio_id)""")
+def _(spark, sf):
+    """Every clip as a video, and as an audio for two videos at most; the SQL plays the turns."""
+    out = pairing.match_clips(_clips(spark, sf), quota=2)
     return frames.rounded(frames.rounded(out, "own_similarity"), "other_similarity")

@@ -132,22 +132,50 @@ def _row_issues() -> Column:
     return F.filter(F.array(*found), lambda i: i.isNotNull())
 
 
+def _visited(health: DataFrame) -> DataFrame:
+    """The bases that a reader would open: up to the first that holds any usable modality,
+    whose rank is ``_stop`` (NULL if there is none)."""
+    usable = F.col("has_audio") | F.col("has_text") | F.col("has_visual")
+    # One row per base and id from here on: the window sees a handful of rows.
+    stop = F.min(F.when(usable, F.col("base_rank"))).over(W.partitionBy("source", "file_id"))
+    return (health.withColumn("_stop", stop)
+            .filter(F.col("_stop").isNull() | (F.col("base_rank") <= F.col("_stop"))))
+
+
 def issues(manifest: DataFrame, health: DataFrame) -> DataFrame:
     """(source, file_id, base, modality, issue) for the bases a reader would open.
 
     A reader stops at the first base that holds any usable modality, so later bases
     are not reported.
     """
-    usable = F.col("has_audio") | F.col("has_text") | F.col("has_visual")
-    # One row per base and id from here on: the window sees a handful of rows.
-    stop = F.min(F.when(usable, F.col("base_rank"))).over(W.partitionBy("source", "file_id"))
-    read = (health.withColumn("_stop", stop)
-            .filter(F.col("_stop").isNull() | (F.col("base_rank") <= F.col("_stop")))
-            .withColumn("_i", F.explode(_row_issues()))
+    read = (_visited(health).withColumn("_i", F.explode(_row_issues()))
             .select("source", "file_id", "base", "_i.modality", "_i.issue"))
     return manifest.select("source", "file_id").join(read, ["source", "file_id"])
 
 
+def judged_rows(manifest: DataFrame, health: DataFrame) -> DataFrame:
+    """Every manifest row with what a reader finds, one row per opened base, or one without.
+
+    Added are base, status (full, partial or absent; on one row of a file, else NULL), bands,
+    tokens and frames (sizes of what loaded, NULL where nothing did) and issues.
+    """
+    rows = _visited(health)
+    audio, ids, mask = F.col("audio_probe"), F.col("input_ids_probe"), F.col("attention_mask_probe")
+    has_audio = F.col("audio_variant").isNotNull() & audio["err"].isNull()
+    has_text = (F.col("input_ids_variant").isNotNull() & F.col("attention_mask_variant").isNotNull()
+                & ids["err"].isNull() & mask["err"].isNull())
+    first = F.min("base_rank").over(W.partitionBy("source", "file_id"))
+    whole = F.col("has_audio") & F.col("has_text") & F.col("has_visual")
+    status = F.when(F.col("base_rank") == F.coalesce("_stop", first), F.when(
+        F.col("_stop").isNull(), "absent").when(whole, "full").otherwise("partial"))
+    found = rows.select(
+        "source", "file_id", "base", status.alias("status"), F.when(has_audio, F.get(audio["shape"], F.lit(0))).alias("bands"),
+        F.when(has_text, F.try_element_at(ids["shape"], F.lit(-1))).alias("tokens"),
+        F.when(F.col("has_visual_dir"), F.col("n_frames")).cast("int").alias("frames"), _row_issues().alias("issues"))
+    joined = manifest.select("source", "file_id").join(found, ["source", "file_id"], "left")
+    return joined.withColumn("status", F.when(F.col("base").isNull(), "absent").otherwise(F.col("status")))
+
+
 def issue_summary(found: DataFrame) -> DataFrame:
     """Issue kinds with their counts, most common first."""
     return (found.groupBy("issue").agg(F.count("*").alias("n"))

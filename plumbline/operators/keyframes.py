@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +10,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import as_col
 from ..functions.vectors import SLOTS, cosine
+from ..session import join_dealt, stored
 from .order import top_per_group
 
 # Ship the functions themselves, so that executors need not have this package.
@@ -29,58 +28,109 @@ SAME_IDENTITY = 0.75
 OTHER_IDENTITY = 0.40
 DURATION_SLACK = 0.2
 
+#: Distinct (time, score) entries that a tile of the motion gate takes before the next begins.
+TILE_ROWS = 100_000
+
 
 def motion_gate(df: DataFrame, clip: str, ts_us: str, motion: str,
                 window_us: int = MOTION_WINDOW_US, pct: float = MOTION_PERCENTILE,
-                tile_us: int | None = None) -> DataFrame:
+                tile_us: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Rows whose motion reaches the percentile of the rows within +-window/2 of them.
 
-    Time is cut into tiles; rows near a tile edge are copied into the neighbour, so
-    each tile is complete on its own and a clip of any length spreads over tiles.
+    The threshold depends on clip and time alone, so only distinct (clip, time, score) with
+    their counts go through Python; rows stay on the JVM side and meet their threshold in a
+    join that spreads hot keys.  Time is cut into slots of half a window.  Slots are counted,
+    and consecutive ones form a tile of about ``tile_rows`` entries, within spans of ``tile_us``;
+    a tile also gets the slots next to it.  So a clip of any length or density spreads over
+    tiles, and a tile holds its entries and three slots more at most.
     """
-    half = window_us // 2
-    tile = max(tile_us or 64 * window_us, half, 1)
-    columns = df.columns
-    kinds = T.StructType([*df.schema.fields, T.StructField("threshold", T.DoubleType())])
-    offset = F.pmod(F.col(ts_us), F.lit(tile))
-    home = ((F.col(ts_us) - offset) / F.lit(tile)).cast("bigint")
-    tiles = F.array_compact(F.array(
-        home, F.when(offset < half, home - 1), F.when(offset >= tile - half, home + 1)))
-    copies = df.withColumn("_home", home).withColumn("_tile", F.explode(tiles))
-    copies = copies.withColumn("_at", F.col(ts_us).cast("bigint")).withColumn("_m", F.col(motion).cast("double"))
-
-    def gate(tile: pa.Table) -> pa.Table:
-        at, home, own = (tile.column(c).to_numpy() for c in ("_at", "_home", "_tile"))
-        score = tile.column("_m").to_numpy(zero_copy_only=False)
-        limit = sliding_percentile(at, score, half, pct)
-        kept = np.flatnonzero((home == own) & (score >= limit))
-        return tile.select(columns).take(kept).append_column("threshold", pa.array(limit[kept], pa.float64()))
-
-    return copies.groupBy(clip, "_tile").applyInArrow(gate, kinds)
-
-
-def sliding_percentile(at: np.ndarray, score: np.ndarray, half: int, pct: float) -> np.ndarray:
-    """The interpolated percentile of the scores within ``half`` of each row's time; NaN where
-    there are none.  Rows enter and leave one sorted list, so that no frame is sorted anew."""
+    half = max(window_us // 2, 1)
+    span = max(1, (tile_us or 64 * window_us) // half)
+    at, score = F.col(ts_us).cast("bigint"), F.col(motion).cast("double")
+    slot = ((F.col("_at") - F.pmod(F.col("_at"), F.lit(half))) / F.lit(half)).cast("bigint")
+    entries = stored(df.select(F.col(clip).alias("_clip"), at.alias("_at"), score.alias("_m")).filter("_at IS NOT NULL")
+                     .groupBy("_clip", "_at", "_m").agg(F.count("*").alias("_n")).withColumn("_slot", slot))
+    sizes = entries.groupBy("_clip", "_slot").agg(F.count("*").alias("_c")).withColumn(
+        "_span", F.floor(F.col("_slot") / span))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("_clip", "_span").orderBy("_slot").rowsBetween(
+        W.unboundedPreceding, -1)), F.lit(0))
+    tiles = stored(sizes.select("_clip", "_slot", F.struct("_span", F.floor(before / tile_rows).alias("part")).alias("_tile")))
+    near = tiles.select("_clip", F.explode(F.array(*[F.col("_slot") + i for i in (-1, 0, 1)])).alias("_slot"), "_tile",
+                        F.col("_slot").alias("_from"))
+    # Up to three tiles want a slot: its own and those next to it.
+    wanted = near.groupBy("_clip", "_slot").agg(
+        F.collect_set("_tile").alias("_tiles"), F.max(F.when(F.col("_from") == F.col("_slot"), F.col("_tile"))).alias("_own"))
+    copies = join_dealt(entries, wanted.filter("_own IS NOT NULL"), ["_clip", "_slot"]).select(
+        "*", F.explode("_tiles").alias("_tile")).select("_clip", "_tile", "_at", "_m", "_n",
+                                                       (F.col("_tile") == F.col("_own")).alias("_mine"))
+
+    def limits(tile: pa.Table) -> pa.Table:
+        at, count, mine = (tile.column(c).to_numpy() for c in ("_at", "_n", "_mine"))
+        limit = sliding_percentile(at, tile.column("_m").to_numpy(zero_copy_only=False), half, pct, count)
+        mine = np.flatnonzero(mine)
+        first = mine[np.unique(at[mine], return_index=True)[1]]
+        return pa.table([tile.column("_clip").take(first), pa.array(at[first]), pa.array(limit[first], pa.float64())],
+                        names=["_clip", "_at", "threshold"])
+
+    kind = df.schema[clip].dataType.simpleString()
+    found = copies.groupBy("_clip", "_tile").applyInArrow(limits, f"_clip {kind}, _at bigint, threshold double")
+    keyed = df.withColumn("_clip", F.col(clip)).withColumn("_at", at)
+    met = join_dealt(keyed, found.filter(~F.isnan("threshold")), ["_clip", "_at"])
+    return met.filter((score >= F.col("threshold")) & ~F.isnan(score)).select(*df.columns, "threshold")
+
+
+def sliding_percentile(at: np.ndarray, score: np.ndarray, half: int, pct: float,
+                       count: np.ndarray | None = None) -> np.ndarray:
+    """The interpolated percentile of the scores within ``half`` of each entry's time, each
+    counted ``count`` times; NaN where there are none.  Entries enter and leave a tree of
+    counts over the ranks of the scores, in which places are found by descent."""
     order = np.argsort(at, kind="stable")
-    times, values = at[order].tolist(), score[order].tolist()
-    first = last = 0
-    window: list[float] = []
+    times = at[order].tolist()
+    levels, ranks = np.unique(score[order], return_inverse=True)
+    fine = (score[order] == score[order]).tolist()
+    counts = (np.ones(len(at), np.int64) if count is None else count[order]).tolist()
+    ranks, values = ranks.tolist(), levels.tolist()
+    top = 1 << max(0, len(values) - 1).bit_length()
+    tree = [0] * (top + 1)
+
+    def add(rank: int, n: int) -> None:
+        rank += 1
+        while rank <= top:
+            tree[rank] += n
+            rank += rank & -rank
+
+    def value_at(place: int) -> float:
+        """The score at a place (from 0) of the sorted window."""
+        rank, step = 0, top
+        while step:
+            if rank + step <= top and tree[rank + step] <= place:
+                rank += step
+                place -= tree[rank]
+            step >>= 1
+        return values[rank]
+
+    first = last = held = 0
     out = np.full(len(times), np.nan)
+    before, limit = None, float("nan")
     for place, now in zip(order.tolist(), times, strict=True):
-        while last < len(times) and times[last] <= now + half:
-            if values[last] == values[last]:
-                insort(window, values[last])
-            last += 1
-        while times[first] < now - half:
-            if values[first] == values[first]:
-                del window[bisect_left(window, values[first])]
-            first += 1
-        if window:
-            spot = (len(window) - 1) * pct
-            low = int(spot)
-            high = min(low + 1, len(window) - 1)
-            out[place] = window[low] + (spot - low) * (window[high] - window[low])
+        if now != before:
+            while last < len(times) and times[last] <= now + half:
+                if fine[last]:
+                    add(ranks[last], counts[last])
+                    held += counts[last]
+                last += 1
+            while times[first] < now - half:
+                if fine[first]:
+                    add(ranks[first], -counts[first])
+                    held -= counts[first]
+                first += 1
+            before, limit = now, float("nan")
+            if held:
+                spot = (held - 1) * pct
+                low = int(spot)
+                a, b = value_at(low), value_at(min(low + 1, held - 1))
+                limit = a + (spot - low) * (b - a)
+        out[place] = limit
     return out
 
 

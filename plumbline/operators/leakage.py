@@ -6,7 +6,8 @@ a key with very many rows costs one row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,38 @@ def cross_stage_overlap(first: DataFrame, second: DataFrame, ids: str, group: st
     return row.select(F.explode(rows).alias("r")).select("r.*")
 
 
+# -- membership masks ----------------------------------------------------------------
+
+def marks(space: str, key: Column | str, conditions: Mapping[int, Column]) -> Column:
+    """struct(space, key, mask): the bits whose condition holds for the row; NULL where none
+    does or the key is NULL.  Bits are powers of two."""
+    name = as_col(key).cast("string")
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [
+        F.when(when, F.lit(bit)).otherwise(F.lit(0)) for bit, when in conditions.items()])
+    return F.when((bits != 0) & name.isNotNull(),
+                  F.struct(F.lit(space).alias("space"), name.alias("key"), bits.alias("mask")))
+
+
+def mask_counts(rows: Sequence[DataFrame]) -> DataFrame:
+    """(space, mask, n): how many keys of a space belong to exactly the sets of a mask.
+
+    ``rows`` hold a column ``marks``, an array of :func:`marks`.  The masks of a key are put
+    together with one ``bit_or`` that combines on the map side; what comes out has at most
+    two to the number of bits rows a space, and answers every overlap and disjointness check.
+    """
+    each = reduce(DataFrame.unionAll, [
+        r.select(F.inline(F.filter("marks", lambda m: m.isNotNull()))) for r in rows])
+    masks = each.groupBy("space", "key").agg(F.bit_or("mask").alias("mask"))
+    return masks.groupBy("space", "mask").agg(F.count("*").alias("n"))
+
+
+def in_all(space: str, *bits: int) -> Column:
+    """Aggregate over :func:`mask_counts`: keys of a space that belong to all of the sets."""
+    want = F.lit(sum(bits))
+    hit = (F.col("space") == space) & (F.col("mask").bitwiseAND(want) == want)
+    return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+
+
 def part_sizes(df: DataFrame, part: str = "part",
                expected: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """Rows of every expected part, 0 for empty ones."""

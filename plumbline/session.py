@@ -116,3 +116,24 @@ def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: st
     for k in on:
         match = match & left[k].eqNullSafe(F.col(f"_s_{k}"))
     return left.join(right, match, how).drop(*drop)
+
+
+def join_dealt(rows: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 256) -> DataFrame:
+    """Attach a per-key table of any size to rows whose keys may be hot.
+
+    Rows of a key are dealt over up to ``salts`` sub-keys.  Only sub-keys that occur get a
+    copy of the key's summary, so a table of rare keys is not multiplied, and a key with a
+    third of all rows is spread.  Keys compare null-safe.
+    """
+    salt = F.pmod(F.xxhash64(*hashable(rows)), F.lit(salts)).cast("int")
+    dealt = rows.withColumn("_salt", salt)
+    keys = dealt.select(*[F.col(k).alias(f"_d_{k}") for k in on], F.col("_salt").alias("_d_salt")).distinct()
+    right = summary.select(*[F.col(k).alias(f"_s_{k}") for k in on], *[c for c in summary.columns if c not in on])
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(f"_d_{k}").eqNullSafe(F.col(f"_s_{k}"))
+    spread = keys.join(right, match, "inner").drop(*[f"_s_{k}" for k in on])
+    match = F.col("_salt") == F.col("_d_salt")
+    for k in on:
+        match = match & dealt[k].eqNullSafe(F.col(f"_d_{k}"))
+    return dealt.join(spread, match, how).drop("_salt", "_d_salt", *[f"_d_{k}" for k in on])

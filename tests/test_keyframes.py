@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from plumbline.operators import filters, keyframes
 
 
+@pytest.mark.parametrize("tile_rows", [1, 40, 100_000])
 @pytest.mark.parametrize("tile", [None, 50, 101, 1000])
-def test_motion_gate_equals_brute_force(spark, tile):
+def test_motion_gate_equals_brute_force(spark, tile, tile_rows):
     rng = np.random.default_rng(3)
     rows = [(c, int(t), float(m)) for c in "ab" for t, m in
             zip(rng.integers(-500, 1500, 120), rng.integers(0, 30, 120), strict=True)]
     df = spark.createDataFrame(rows, "clip string, t long, m double").withColumn("id", F.monotonically_increasing_id())
-    got = keyframes.motion_gate(df, "clip", "t", "m", 100, tile_us=tile).collect()
+    got = keyframes.motion_gate(df, "clip", "t", "m", 100, tile_us=tile, tile_rows=tile_rows).collect()
     want = []
     for i, (c, t, m) in enumerate(rows):
         near = [x for d, u, x in rows if d == c and abs(u - t) <= 50]
