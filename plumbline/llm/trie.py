@@ -56,7 +56,7 @@ class Sharding:
     ``block`` places at a time; children of one parent are dealt over ``salts`` keys; a queue
     holds ``queue`` messages in memory, and a chunk of ids ``ids``."""
 
-    turns: int = 2048
+    turns: int = 256
     share: float = 2 ** -16
     levels: int = 2048
     block: int = 4096
