@@ -74,7 +74,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = pieces.read_vocabulary(VOCABULARY)
-    coded = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    coded = pieces.encode_decode(docs, vocabulary)
     return coded.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
                         "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -29,6 +29,19 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def kept(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Like :func:`shared`, but a Python worker unpacks the value once and hands the same
+    object to all its tasks: for values that cost time to unpack or that learn as they go."""
+    sent = spark.sparkContext.broadcast([cloudpickle.dumps(value)])
+
+    def get() -> object:
+        held = sent.value
+        if len(held) == 1:
+            held.append(pickle.loads(held[0]))
+        return held[1]
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from .common import shared
+from .common import kept, shared
 
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -64,126 +64,159 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class Matcher:
-    """A vocabulary made ready for binary search."""
+    """A vocabulary made ready for binary search, and the units whose ids are known."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 400_000) -> None:
         """``remembered`` bounds the units whose ids are kept from one batch to the next."""
-        self.vocabulary = vocabulary
-        self.remembered, self.known = remembered, {}
+        self.vocabulary, self.remembered = vocabulary, remembered
+        self.forget()
         self.ids = np.array([i for i, s in enumerate(vocabulary.scores) if s is not None], np.int64)
         texts = [vocabulary.pieces[i] for i in self.ids]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.longest = int(self.sizes.max(initial=1))
-        self.codes = np.zeros((len(texts), self.longest), np.int64)
-        for row, text in enumerate(texts):
-            self.codes[row, :len(text)] = list(map(ord, text))
-        self.mask = np.arange(self.longest) < self.sizes[:, None]
-        used = set("".join(texts))
-        self.separator = next(chr(c) for c in range(1, 0x110000) if chr(c) not in used)
         self.single = {t: int(i) for t, i in zip(texts, self.ids, strict=True) if len(t) == 1}
-
-    def suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Starts of all suffixes sorted by their first ``longest`` characters: prefix doubling."""
-        rank, width = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-        while width < self.longest:
-            behind = np.full(len(codes), 0, np.int64)
-            behind[:-width] = rank[width:] + 1
-            rank = np.unique(rank * (len(codes) + 1) + behind, return_inverse=True)[1].astype(np.int64)
-            width *= 2
-        return np.argsort(rank, kind="stable")
-
-    def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every piece the range of suffixes that begin with it, by binary search."""
-        padded = np.concatenate([codes, np.full(self.longest, -1, np.int64)])
-        out = []
-        for upper in (False, True):
-            low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), len(order), np.int64)
-            while (low < high).any():
-                middle = np.minimum((low + high) // 2, len(order) - 1)
-                seen = padded[order[middle][:, None] + np.arange(self.longest)]
-                apart = np.where(self.mask, seen - self.codes, 0)
-                first = (apart != 0).argmax(axis=1)
-                sign = apart[np.arange(len(apart)), first]
-                right = ((sign < 0) | (upper & (sign == 0))) & (low < high)
-                left = ~right & (low < high)
-                low, high = np.where(right, middle + 1, low), np.where(left, middle, high)
-            out.append(low)
-        return out[0], out[1]
-
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All occurrences of pieces of two or more characters, sorted by position: start, size, id."""
-        order = self.suffixes(codes)
-        low, high = self.ranges(codes, order)
-        many = np.where(self.sizes > 1, high - low, 0)
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        start, size, piece = order[at], np.repeat(self.sizes, many), np.repeat(self.ids, many)
-        by = np.lexsort((size, start))
-        return start[by], size[by], piece[by]
-
-    def encode_units(self, units: Sequence[str], chars: int = 1 << 20) -> dict[str, tuple[int, ...]]:
-        """The ids of different units, indexed together in portions of about ``chars``."""
-        out: dict[str, tuple[int, ...]] = {}
+        # Characters are numbered from 1; one that is in no piece is 0, as is the gap between units.
+        self.alphabet = np.array(sorted({ord(c) for t in texts for c in t}), np.int64)
+        if len(self.alphabet) >= 0xFFFF:
+            raise ValueError("more characters than a key holds")
+        ends = np.cumsum(self.sizes)
+        numbers = self.numbered("".join(texts))
+        low = np.zeros((len(texts), self.longest), ">u2")
+        row = np.repeat(np.arange(len(texts)), self.sizes)
+        low[row, np.arange(len(numbers)) - np.repeat(ends - self.sizes, self.sizes)] = numbers
+        high = np.where(np.arange(self.longest) < self.sizes[:, None], low, 0xFFFF).astype(">u2")
+        several = self.sizes > 1
+        self.low, self.high = (self._keys(k[several]) for k in (low, high))
+        self.several, self.widths = self.ids[several], self.sizes[several]
+        self.bits = len(vocabulary.pieces).bit_length()
+        self.scores = np.array([-np.inf if x is None else x for x in vocabulary.scores] + [-np.inf])
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def numbered(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).astype(np.uint16)
+
+    def _keys(self, numbers: np.ndarray) -> np.ndarray:
+        """Rows of numbers as byte strings that sort alike."""
+        return np.ascontiguousarray(numbers).view(f"S{2 * self.longest}").ravel()
+
+    def edges(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All occurrences of pieces of two or more characters, sorted by position: the key
+        start * (longest + 1) + size, and the piece.
+
+        The suffix array holds the starts of all suffixes, sorted by as many characters as
+        the longest piece has.  Binary search finds for every piece the range of suffixes that
+        begin with it.
+        """
+        padded = np.concatenate([numbers, np.zeros(self.longest, np.uint16)])
+        keys = self._keys(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[:len(numbers)].astype(">u2"))
+        order = np.argsort(keys)
+        keys = keys[order]
+        low, high = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high)
+        many = high - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        # One number holds key and piece, so that sorting moves both.
+        packed = order[at] * (self.longest + 1) + np.repeat(self.widths, many)
+        packed = (packed << self.bits) | np.repeat(self.several, many)
+        packed.sort()
+        return packed >> self.bits, packed & ((1 << self.bits) - 1)
+
+    def encode_units(self, units: Sequence[str], chars: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the different units has, and all ids, indexed together in
+        portions of about ``chars``."""
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         portion, total = [], 0
-        for unit in units:
+        for at, unit in enumerate(units):
             portion.append(unit)
             total += len(unit) + 1
-            if total >= chars:
-                out |= self._encode_portion(portion)
+            if total >= chars or at == len(units) - 1:
+                some, ids = self._encode_portion(portion)
+                counts.append(some)
+                flat.append(ids)
                 portion, total = [], 0
-        return out | self._encode_portion(portion) if portion else out
+        return np.concatenate(counts), np.concatenate(flat)
 
-    def _encode_portion(self, units: list[str]) -> dict[str, tuple[int, ...]]:
-        text = self.separator.join(units)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        start, size, piece = self.edges(codes)
+    def _encode_portion(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\0".join(units)
         lengths = np.array([len(u) for u in units], np.int64)
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-        out = {}
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        numbers = self.numbered(text)
+        numbers[begins[1:] - 1] = 0
+        key, piece = self.edges(numbers)
+        counts = np.zeros(len(units), np.int64)
         # Very long units take many rounds: they are relaxed one by one.
-        for k in np.flatnonzero(lengths > 4 * self.longest).tolist():
-            a, b = np.searchsorted(start, begins[[k, k + 1]])
-            lattice = {(s, z): p for s, z, p in zip((start[a:b] - begins[k]).tolist(), size[a:b].tolist(),
-                                                    piece[a:b].tolist(), strict=True)}
-            out[units[k]] = self._relax(units[k], lattice)
+        large = np.flatnonzero(lengths > 4 * self.longest)
+        alone: dict[int, tuple[int, ...]] = {}
+        for k in large.tolist():
+            a, b = np.searchsorted(key, [begins[k] * (self.longest + 1), (begins[k] + lengths[k]) * (self.longest + 1)])
+            start, size = np.divmod(key[a:b], self.longest + 1)
+            lattice = {(s, z): p for s, z, p in zip((start - begins[k]).tolist(), size.tolist(), piece[a:b].tolist(),
+                                                    strict=True)}
+            alone[k] = self._relax(units[k], lattice)
+            counts[k] = len(alone[k])
         short = np.flatnonzero(lengths <= 4 * self.longest)
-        # The lattice as a table: the piece at every start and size.
-        table = np.full((len(codes) + 1, self.longest + 1), -1, np.int32)
-        table[start, size] = piece
-        many, flat = self._relax_all(codes, table, begins[short], lengths[short])
-        ends = np.cumsum(many).tolist()
-        flat = flat.tolist()
-        for k, lo, hi in zip(short.tolist(), [0, *ends], ends, strict=False):
-            out[units[k]] = tuple(flat[lo:hi])
-        return out
-
-    def _relax_all(self, codes: np.ndarray, table: np.ndarray, begins: np.ndarray, lengths: np.ndarray
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        many, found = self._relax_all(codes, key, piece, begins[short], lengths[short])
+        counts[short] = many
+        flat = np.zeros(counts.sum(), np.int32)
+        mine = np.ones(len(flat), bool)
+        ends = np.cumsum(counts)
+        for k, ids in alone.items():
+            flat[ends[k] - counts[k]:ends[k]] = ids
+            mine[ends[k] - counts[k]:ends[k]] = False
+        flat[mine] = found
+        return counts, flat
+
+    def _relax_all(self, codes: np.ndarray, key: np.ndarray, piece: np.ndarray, begins: np.ndarray, lengths: np.ndarray
                    ) -> tuple[np.ndarray, np.ndarray]:
-        """Relax all units together, one merge in each unit a round: ids per unit, and all ids."""
-        scores = np.array([-np.inf if x is None else x for x in self.vocabulary.scores] + [-np.inf])
+        """Relax all units together, one merge in each unit a round: ids per unit, and all ids.
+        The lattice is sparse: an edge is looked up by its key when a pair of symbols arises."""
         unit = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(unit)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + begins[unit]
-        size = np.ones(len(unit), np.int64)
+        size, own = np.ones(len(unit), np.int64), np.full(len(unit), -1, np.int64)
+
+        def look(start: np.ndarray, total: np.ndarray) -> np.ndarray:
+            """The piece of an edge, or -1."""
+            wanted = np.where(total <= self.longest, start * (self.longest + 1) + total, -1)
+            place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            return np.where(key[place] == wanted, piece[place], -1) if len(key) else np.full(len(start), -1)
+
+        # The piece that a symbol makes with the next one of its unit.
+        joint = np.full(len(unit), -1, np.int64)
+        inner = np.flatnonzero(unit[:-1] == unit[1:])
+        joint[inner] = look(at[inner], size[inner] + size[inner + 1])
         done = []
         while len(unit):
-            total = size[:-1] + size[1:]
-            fits = (unit[:-1] == unit[1:]) & (total <= self.longest)
-            found = np.where(fits, table[at[:-1], np.where(fits, total, 0)], -1)
-            score = np.append(scores[found], -np.inf)
+            score = self.scores[joint]
             first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
             best = np.maximum.reduceat(score, first)
             spread = np.diff(np.append(first, len(unit)))
-            hit = np.flatnonzero((score == np.repeat(best, spread)) & (score > -np.inf))
             going = np.repeat(best > -np.inf, spread)
-            done.append((unit[~going], at[~going], size[~going]))
+            hit = np.flatnonzero((score == np.repeat(best, spread)) & going)
+            done.append((unit[~going], at[~going], own[~going]))
             hit = hit[np.append(True, unit[hit[1:]] != unit[hit[:-1]])] if len(hit) else hit
             size[hit] += size[hit + 1]
+            own[hit] = joint[hit]
             going[hit + 1] = False
-            unit, at, size = unit[going], at[going], size[going]
-        unit, at, size = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3))
+            fresh = np.zeros(len(unit), bool)
+            fresh[hit] = True
+            fresh[np.maximum(hit - 1, 0)] = True
+            unit, at, size, own, joint, fresh = (x[going] for x in (unit, at, size, own, joint, fresh))
+            # Only pairs with the merged symbol are new.
+            new = np.flatnonzero(fresh)
+            inside = np.zeros(len(new), bool)
+            inside[new + 1 < len(unit)] = unit[new[new + 1 < len(unit)]] == unit[new[new + 1 < len(unit)] + 1]
+            joint[new] = -1
+            new = new[inside]
+            joint[new] = look(at[new], size[new] + size[new + 1])
+        unit, at, own = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3))
         order = np.lexsort((at, unit))
-        unit, at, size = unit[order], at[order], size[order]
-        ids = table[at, size].astype(np.int64)
-        alone = np.flatnonzero(size == 1)
+        unit, at, ids = unit[order], at[order], own[order]
+        alone = np.flatnonzero(ids < 0)
         chars, kind = np.unique(codes[at[alone]], return_inverse=True)
         spelt = [list(self._char(chr(c))) for c in chars.tolist()]
         ids[alone] = np.array([x[0] for x in spelt], np.int64)[kind] if len(spelt) else ids[alone]
@@ -194,8 +227,8 @@ class Matcher:
         if (times > 1).any():
             # Characters that become several bytes.
             ends = np.cumsum(times)
-            own = {int(i): spelt[j] for i, j in zip(alone.tolist(), kind.tolist(), strict=True) if len(spelt[j]) > 1}
-            for i, several in own.items():
+            mine = {int(i): spelt[j] for i, j in zip(alone.tolist(), kind.tolist(), strict=True) if len(spelt[j]) > 1}
+            for i, several in mine.items():
                 flat[ends[i] - len(several):ends[i]] = several
         return np.bincount(unit, weights=times, minlength=len(lengths)).astype(np.int64), flat
 
@@ -236,15 +269,32 @@ class Matcher:
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[list[int] | None]:
         """The ids of every text; none for an empty text, null for null."""
+        flat, ends = self.encode_flat(texts)
+        flat, ends = flat.tolist(), ends.tolist()
+        return [None if t is None else flat[a:b] for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+
+    def encode_flat(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and end; none for empty and null."""
         cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        units = [None if t is None else cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [u for u in dict.fromkeys(chain.from_iterable(u for u in units if u)) if u not in self.known]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-            new = list(dict.fromkeys(chain.from_iterable(u for u in units if u)))
-        self.known |= self.encode_units(new)
-        known = self.known
-        return [None if u is None else list(chain.from_iterable(map(known.__getitem__, u))) for u in units]
+        units: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                units += cut(MARK + t.replace(" ", MARK))
+            ends.append(len(units))
+        if len(self.index) > self.remembered:
+            self.forget()
+        new = [u for u in dict.fromkeys(units) if u not in self.index]
+        if new:
+            counts, flat = self.encode_units(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, flat])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        which = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        many = self.ends[which + 1] - self.ends[which]
+        last = np.cumsum(many)
+        flat = self.flat[np.repeat(self.ends[which] - (last - many), many) + np.arange(many.sum())]
+        return flat, np.concatenate([[0], last])[np.array(ends)]
 
     def surfaces(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -266,6 +316,22 @@ def decode_ids(surfaces: Sequence[bytes], ids: Sequence[int] | None) -> str | No
     return text.removeprefix(" ")
 
 
+def decode_all(surfaces: pa.Array, flat: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
+    """The texts of many ids at once: the bytes of all ids in a row are cut at the texts' ends."""
+    taken = surfaces.take(pa.array(flat.astype(np.int64)))
+    octets = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    raw = taken.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [
+        None, pa.py_buffer(np.ascontiguousarray(octets[ends])), raw])
+    try:
+        texts = whole.cast(pa.large_string())
+    except pa.ArrowInvalid:  # bytes that are no characters
+        texts = pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.large_string())
+    front = pc.fill_null(pc.starts_with(texts, " "), False)
+    texts = pc.if_else(front, pc.utf8_slice_codeunits(texts, 1), texts)
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), texts).cast(pa.string())
+
+
 def _portions(batch: pa.RecordBatch, lengths: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose rows have about ``size`` together: it bounds what a worker
     holds as Python objects at a time.  A longer row is a slice of its own."""
@@ -276,28 +342,45 @@ def _portions(batch: pa.RecordBatch, lengths: pa.Array, size: int) -> Iterator[p
         yield batch.slice(start, end - start)
 
 
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, text: str, outs: Sequence[str]) -> DataFrame:
+    """Ids, and with a second name in ``outs`` also what they decode to, from one step."""
+    rest = [c for c in docs.columns if c not in outs]
+    matcher = Matcher(vocabulary)
+    get = kept(docs.sparkSession, (matcher, pa.array(matcher.surfaces(), pa.large_binary())))
+    names = [f"c{i}" for i in range(len(rest))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, surfaces = get()
+        for part in chain.from_iterable(
+                _portions(b, pc.binary_length(b.column("llm_text")), 3 << 20) for b in batches):
+            null = part.column("llm_text").is_null().to_numpy(zero_copy_only=False)
+            flat, ends = matcher.encode_flat(part.column("llm_text").to_pylist())
+            made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)),
+                                             mask=pa.array(null))]
+            if len(outs) > 1:
+                made.append(decode_all(surfaces, flat, ends, null))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made],
+                                             [*names, *[f"o{i}" for i in range(len(made))]])
+
+    sent = docs.select(docs[text].alias("llm_text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(rest)])
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
+    fields += [f"o{i} {kind}" for i, kind in zip(range(len(outs)), ("array<int>", "string"), strict=False)]
+    return sent.mapInArrow(run, ", ".join(fields)).toDF(*rest, *outs)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs`` with the ids of the text column, an array of int.
 
     A null text has null ids, an empty one none.  Repeated rows get equal ids.  An existing
     column ``out`` is replaced.
     """
-    rest = [c for c in docs.columns if c != out]
-    get = shared(docs.sparkSession, Matcher(vocabulary))
+    return _encoded(docs, vocabulary, text, [out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = get()
-        for part in chain.from_iterable(
-                _portions(b, pc.binary_length(b.column("llm_text")), 3 << 20) for b in batches):
-            ids = matcher.encode_batch(part.column("llm_text").to_pylist())
-            columns = [part.column(f"c{i}") for i in range(len(rest))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))],
-                                             [*[f"c{i}" for i in range(len(rest))], "ids"])
 
-    sent = docs.select(docs[text].alias("llm_text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(rest)])
-    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]
-    coded = sent.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
-    return coded.toDF(*rest, out)
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids",
+                  decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one step, so that rows pass a Python worker once."""
+    return _encoded(docs, vocabulary, text, [ids, decoded])
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
