@@ -59,7 +59,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Encode every text: doc_id, source, n_tokens, ids, round_trip."""
     vocabulary = pieces.read_vocabulary(VOCABULARY)
     rows = docs.select("doc_id", "source", "text")
-    coded = pieces.decode(pieces.encode(rows, vocabulary), vocabulary)
+    coded = pieces.encode_decode(rows, vocabulary)
     return coded.select("doc_id", "source", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
                         "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
