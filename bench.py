@@ -25,7 +25,7 @@ HEADLINE = [
     "disjoint_check", "cross_stage_overlap", "audit", "issue_summary", "class_profile",
     "zscore", "fuse", "softmax", "span_mask", "per_class_prf", "summary", "motion_gate",
     "top_confident", "score", "verdict_record", "balanced_evaluation", "issues", "intake_stream",
-    "fit_head", "pad_to_max", "attach_weights",
+    "fit_head", "pad_to_max", "attach_weights", "cross_validate", "length_batches", "list_assets",
 ]
 #: Smaller tables for the growth figure.
 SMALL = "sf0.01"

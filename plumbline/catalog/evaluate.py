@@ -156,6 +156,15 @@ def _(spark, sf):
     return rounded(out, "weighted_f1", "macro_f1", "acc")
 
 
+@query("count_unscored", """SELECT lang, 0::BIGINT AS n_no_score, count_if(l.doc_id IS NULL)::BIGINT AS n_no_label,
+  count_if(l.doc_id IS NULL)::BIGINT AS n_dropped, count(*)::BIGINT AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
+def _(spark, sf):
+    """Documents that have no label are what score tables of all documents would leave out."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") / 1000).alias("p"))
+    return binary.count_unscored(docs.join(labels, "doc_id", "left"), "quality", "p", ["lang"])
+
+
 @query("summary", f"""WITH {_prf_sql(10, True)}, m AS (SELECT dataset, 100 * sum(tp) / sum(support) AS acc_pct,
     sum(f1 * support) / sum(support) AS weighted_f1, sum(support)::BIGINT AS n FROM prf GROUP BY dataset)
   SELECT r_name AS dataset, NULL::DOUBLE AS acc_pct, NULL::DOUBLE AS weighted_f1, 0::BIGINT AS n FROM region

@@ -78,6 +78,13 @@ def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame
                   .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
 
 
+def count_unscored(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group the rows that the score tables leave out: without score, without label, in all."""
+    no_p, no_y = F.col(p).isNull(), F.col(y).isNull()
+    return df.groupBy(*by).agg(F.count_if(no_p).alias("n_no_score"), F.count_if(no_y).alias("n_no_label"),
+                               F.count_if(no_p | no_y).alias("n_dropped"), F.count(F.lit(1)).alias("n"))
+
+
 def _wins(counts: DataFrame, pool: Sequence[str], kind: Sequence[str], cutter: Bucketizer,
           extra: Sequence[str] = ()) -> DataFrame:
     """Per (pool, kind): won pairs of the kind's positives against the pool's negatives.

@@ -130,10 +130,10 @@ def place(rows: DataFrame, cuts: Cuts, key: Column, names: Sequence[object],
 
 
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], out: str = "rank",
-           size: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+           size: str | None = None, group_rows: int = GROUP_ROWS, most: int | None = None) -> DataFrame:
     """Exact 1-based rank within ``part`` by any sort columns, safe for huge groups.
 
-    The largest group is measured first.  Where it fits one task this is a plain
+    The largest group is measured first, unless the caller knows a bound, ``most``.  Where it fits one task this is a plain
     ``row_number``.  Otherwise the rows are range-partitioned by (part, order), so
     one group spreads over many partitions, ranked inside each, and shifted by the
     number of rows of the same group in earlier partitions.  ``size`` names a further
@@ -142,8 +142,9 @@ def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column | str], ou
     part = list(part)
     keys = [as_col(c) for c in order]
     whole = W.partitionBy(*(part or [F.lit(0)]))
-    sizes = df.groupBy(*part).count().agg(F.max("count").alias("top"), F.sum("count").alias("n"))
-    top, n = sizes.first()
+    top, n = most, None
+    if most is None or most > group_rows:
+        top, n = df.groupBy(*part).count().agg(F.max("count"), F.sum("count")).first()
     if top is None or top <= group_rows:
         ranks = df.withColumn(out, F.row_number().over(whole.orderBy(*keys)).cast("bigint"))
         return ranks.withColumn(size, F.count("*").over(whole)) if size else ranks
@@ -176,37 +177,29 @@ def first_of(df: DataFrame, strata: Sequence[str], sizes: Callable[[Column], Seq
              key: Column) -> DataFrame:
     """The given number of rows of each stratum in key order, exact also where keys repeat.
 
-    The boundary key is found as in :func:`cut_points`, for strata that the caller has
-    bounded by naming them.  Rows before it are in.  Rows at it are only as many as there
-    is room for; ranking touches those rows alone, and Spark cuts them before the shuffle.
+    One pass counts rows per stratum and bucket of the key, which tells the bucket where a
+    stratum's share ends and how many rows of that bucket are still wanted.  For strata
+    that the caller has bounded by naming them this is one small table.  Rows in earlier buckets are
+    in; only those in the last one are ranked, and Spark cuts them before the shuffle.
     """
     strata = list(strata)
-    units = df.select(*strata, key.alias("_k"))
-    cuts = cut_points(units, strata, "_k", None, sizes, few_strata=True).settled()
-    room = replace(cuts, frame=settle(_room(units, cuts, sizes)))
-    taken = place(df, cuts, key, [True, False], "_take").filter("_take").drop("_take")
-    marked = _attach(taken.withColumn("_k", key), room)
-    edge = F.col("_k") == F.col("cut_0")
-    over = W.partitionBy(*(strata or [F.lit(0)])).orderBy("_k")
-    last = marked.filter(edge).withColumn("_rn", F.row_number().over(over)).filter("_rn <= _room")
-    return marked.filter(~edge).unionByName(last.drop("_rn")).select(*df.columns)
-
-
-def _attach(rows: DataFrame, cuts: Cuts) -> DataFrame:
-    if cuts.strata:
-        return join_summary(rows, cuts.frame, cuts.strata, "inner", cuts.small)
-    row = cuts.frame.select(F.struct(*cuts.frame.columns)).scalar()
-    return rows.select("*", row["cut_0"].alias("cut_0"), row["_room"].alias("_room"))
-
-
-def _room(units: DataFrame, cuts: Cuts, sizes: Callable[[Column], Sequence[Column]]) -> DataFrame:
-    """Per stratum its boundary key and how many rows with that key are still wanted."""
-    edges = replace(cuts, frame=cuts.frame.withColumn("_room", F.lit(0)))
-    before = _attach(units, edges).groupBy(*cuts.strata).agg(
-        F.first("cut_0").alias("cut_0"), F.count_if(F.col("_k") < F.col("cut_0")).alias("_before"),
-        F.count(F.lit(1)).alias("_n"))
-    wanted = F.least(sizes(F.col("_n"))[0].cast("bigint"), F.col("_n"))
-    return before.select(*cuts.strata, "cut_0", (wanted - F.col("_before")).alias("_room"))
+    over = W.partitionBy(*([F.col(s) for s in strata] or [F.lit(0)]))
+    hist = df.select(*strata, F.substring(key, 1, DIGITS).alias("_b")).groupBy(*strata, "_b").agg(
+        F.count(F.lit(1)).alias("_bw"))
+    before = F.sum("_bw").over(over.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    limits = hist.select(*strata, "_b", "_bw", F.coalesce(before, F.lit(0)).alias("_lo"), F.sum("_bw").over(over).alias("_n"))
+    target = F.least(sizes(F.col("_n"))[0].cast("bigint"), F.col("_n"))
+    edge = settle(limits.withColumn("_t", target).filter(
+        (F.col("_lo") < F.col("_t")) & (F.col("_t") <= F.col("_lo") + F.col("_bw"))).select(
+            *strata, F.struct(F.col("_b").alias("b"), (F.col("_t") - F.col("_lo")).alias("room")).alias("_edge")))
+    if strata:
+        marked = join_summary(df, edge, strata, "inner", small=True)
+    else:
+        marked = df.withColumn("_edge", edge.select("_edge").scalar())
+    marked = marked.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, DIGITS))
+    rank = F.row_number().over(over.orderBy("_k"))
+    last = marked.filter(F.col("_b") == F.col("_edge.b")).withColumn("_rn", rank).filter(F.col("_rn") <= F.col("_edge.room"))
+    return marked.filter(F.col("_b") < F.col("_edge.b")).unionByName(last.drop("_rn")).select(*df.columns)
 
 
 def top_per_group(df: DataFrame, part: Sequence[str], order: Sequence[Column | str],

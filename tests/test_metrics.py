@@ -184,3 +184,11 @@ def test_compare_published(spark):
            compare.compare(ours, published, ["tab", "dataset"]).collect()}
     assert got == {("speech_text", "CREMA"): -4.67, ("speech_text", "DFDC"): None,
                    ("visual", "MELD"): None}
+
+
+def test_rows_without_score_or_label_are_counted(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", None, 0.5), ("a", 0, None), ("b", None, None)], "g string, y int, p double")
+    got = {r.g: tuple(r)[1:] for r in binary.count_unscored(df, "y", "p", ["g"]).collect()}
+    assert got == {"a": (1, 1, 2, 3), "b": (1, 1, 1, 1)}
+    whole = binary.auc(df, "y", "p").first()
+    assert (whole.n_pos, whole.n_neg) == (1, 0)
