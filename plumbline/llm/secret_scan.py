@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -227,18 +228,31 @@ class Scanner:
                     rule += 1
         out = []
         for rule, ends in found.items():
-            done = 0
-            for last in ends:
-                if last < done:
-                    continue
+            done = at = 0
+            while (at := bisect_left(ends, done, at)) < len(ends):
+                last = ends[at]
                 start = self._start(rule, data, last, done)
                 if start < 0:
-                    continue
+                    # What ends here begins inside the last match.  Begin anew behind it, once
+                    # for all such ends.
+                    last = self._next(rule, data, done)
+                    if last < 0:
+                        break
+                    start = self._start(rule, data, last, done)
                 done = self._end(rule, data, start)
                 if self._counts(rule, data, start, done):
                     out.append((start, rule, done))
         return sorted(out)
 
+    def _next(self, rule: int, data: bytes, low: int) -> int:
+        """The first end of a match that begins at ``low`` or behind it, or -1."""
+        table, limit, state = self.all.table, self.all.first_accept, 0
+        for at in range(low, len(data)):
+            state = table[state][data[at]]
+            if state >= limit and self.all.accepts[state] >> rule & 1:
+                return at
+        return -1
+
     def _start(self, rule: int, data: bytes, last: int, low: int) -> int:
         auto, state, best = self.back[rule], 0, -1
         for at in range(last, low - 1, -1):
