@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import join_summary, stored
 from .common import ascii_lower
 
 #: Public suffixes of two labels; every other suffix is taken to have one.
@@ -69,8 +69,8 @@ def site_of(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def _strength(level: DataFrame, mean: str, rate: Column) -> Column:
-    """Prior strength of a level as a scalar: how little its units differ beyond chance.
+def _strength(level: DataFrame, mean: str, rate: float) -> float:
+    """Prior strength of a level, one number: how little its units differ beyond chance.
 
     With intra-unit correlation r, the expected sum of n (p - m)^2 over k units of N
     outcomes is m (1 - m) (k + (N - k) r); the strength is 1 / r - 1.
@@ -78,9 +78,10 @@ def _strength(level: DataFrame, mean: str, rate: Column) -> Column:
     some = level.filter("n > 0")
     n, k = F.sum("n"), F.count(F.lit(1))
     spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col(mean), 2))
-    r = F.try_divide(F.try_divide(spread, rate * (1 - rate)) - k, n - k)
+    top = F.lit(rate)
+    r = F.try_divide(F.try_divide(spread, top * (1 - top)) - k, n - k)
     r = F.least(F.greatest(F.coalesce(r, F.lit(0.01)), F.lit(0.01)), F.lit(0.99))
-    return some.agg((1 / r - 1).alias("s")).scalar()
+    return some.agg((1 / r - 1).alias("s")).first()[0]
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -97,21 +98,21 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
                .agg(F.count("bad").alias("n"), F.count_if(F.col("bad")).alias("bad")))
     domain, suffix = site_of(F.col("host"))
     hosts = stored(counted.withColumn("domain", domain).withColumn("suffix", suffix))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5)
-                       / (F.coalesce(F.sum("n"), F.lit(0)) + 5.0)).alias("rate"))
-    rate = total.scalar()
+    rate = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5)
+                      / (F.coalesce(F.sum("n"), F.lit(0)) + 5.0)).alias("rate")).first()[0]
 
-    suffixes = (hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-                .withColumn("top", rate))
+    # Each level is written once; besides it only one number goes on to the next.
+    suffixes = stored(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+                      .withColumn("top", F.lit(rate)))
     k = _strength(suffixes, "top", rate)
     suffixes = suffixes.select("suffix", ((F.col("bad") + k * F.col("top"))
                                           / (F.col("n") + k)).alias("suffix_mean"))
-    domains = (hosts.groupBy("domain", "suffix")
-               .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix"))
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = stored(join_summary(domains, suffixes, ["suffix"], "inner"))
     k = _strength(domains, "suffix_mean", rate)
     domains = domains.select("domain", "suffix", ((F.col("bad") + k * F.col("suffix_mean"))
                                                   / (F.col("n") + k)).alias("domain_mean"))
-    joined = hosts.join(domains, ["domain", "suffix"])
+    joined = stored(join_summary(hosts, domains, ["domain", "suffix"], "inner"))
     k = _strength(joined, "domain_mean", rate)
     a = F.col("bad") + k * F.col("domain_mean")
     b = F.col("n") - F.col("bad") + k * (1 - F.col("domain_mean"))
@@ -134,7 +135,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = (
                         path_of(F.col("url")).alias("path"))
     known = host_reputation(seen, outcomes, z).select(
         "host", F.col("mean").alias("bad_mean"), F.col("low").alias("bad_low"))
-    judged = seen.join(known, "host", "left")
+    # A host may have any share of the pages.
+    judged = join_summary(seen, known, ["host"])
     method = F.when(F.col("bad_low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))
     host, path = F.col("host"), F.col("path")
     return judged.select(
