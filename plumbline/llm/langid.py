@@ -38,8 +38,9 @@ class Model:
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the fit: at most ``max_docs`` labelled documents are counted, chosen by a
-    hash of the text; at most ``max_langs`` languages are learned, the most frequent ones."""
+    """Bounds of the fit: about ``max_docs`` labelled documents are counted, chosen by a hash
+    of the text.  Every language is learned; more than ``max_langs`` are an error, since the
+    model would be too large to broadcast."""
 
     max_docs: int = 20_000
     max_langs: int = 500
@@ -76,9 +77,9 @@ def train(labelled: DataFrame, training: Training = Training()) -> Model:  # noq
     if n > training.max_docs:
         share = int(training.max_docs / n * (1 << 20))
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
-    top = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-           .limit(training.max_langs).collect())
-    langs = sorted(r["lang"] for r in top)
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(training.max_langs + 1).collect())
+    if len(langs) > training.max_langs:
+        raise ValueError(f"more than {training.max_langs} languages")
     size, longest = training.buckets, training.longest
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def train(labelled: DataFrame, training: Training = Training()) -> Model:  # noq
 
 
 def predict(model: Model, text: str | None, longest: int) -> tuple[str, float]:
-    """The likeliest language and its posterior probability.
+    """The likeliest language, of equally likely ones the first by name, and its posterior.
 
     Null, a text without a letter, and a model without languages give ``und`` and 0.
     """
