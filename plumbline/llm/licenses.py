@@ -118,11 +118,24 @@ def _lines(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+#: Spellings of several words, as canonical lines have them: a line end may part their words.
+ACROSS = tuple((other.replace("-", " "), one.replace("-", " ")) for other, one in SPELLINGS
+               if " " in other.replace("-", " "))
+
+
+def whole_text(lines: Column) -> Column:
+    """The canonical form of a whole text, however its lines are wrapped."""
+    joined = F.array_join(lines, " ")
+    for other, one in ACROSS:
+        joined = F.replace(joined, F.lit(other), F.lit(one))
+    return joined
+
+
 def known_digests(docs: DataFrame, known: Sequence[tuple[str, str]]) -> DataFrame:
     """Digest and licence name of every known text, one row per digest (first name wins)."""
     rows = [(i, name, text) for i, (name, text) in enumerate(known)]
     texts = docs.sparkSession.createDataFrame(rows, "i int, licence string, text string")
-    digest = F.md5(F.array_join(_lines(F.col("text")), " "))
+    digest = F.md5(whole_text(_lines(F.col("text"))))
     return (texts.select(digest.alias("digest"), F.struct("i", "licence").alias("x"))
             .groupBy("digest").agg(F.min("x")["licence"].alias("licence")))
 
@@ -138,7 +151,7 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) ->
     """
     digests = F.broadcast(known_digests(docs, known))  # as many rows as the parameter has
     lines = docs.select("doc_id", _lines(F.col("text")).alias("lines"))
-    whole = stored(lines.select("doc_id", F.md5(F.array_join("lines", " ")).alias("digest"),
+    whole = stored(lines.select("doc_id", F.md5(whole_text(F.col("lines"))).alias("digest"),
                                 F.transform("lines", F.md5).alias("lines")))
     hits = (whole.select("doc_id", F.col("digest").alias("text_digest"),
                          F.explode("lines").alias("digest"))

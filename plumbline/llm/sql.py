@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from .licenses import ACROSS, COPYRIGHT_LINE, KNOWN, SPELLINGS
 from .quality import CLASSES, Limits
 from .secret_scan import BASE, MORE
 from .urls import TWO_LABEL_SUFFIXES
@@ -220,13 +220,20 @@ def _lines(text: str) -> str:
             f"lambda x: {_canonical('x')}), lambda x: x <> '')")
 
 
+def _whole(lines: str) -> str:
+    out = f"array_to_string({lines}, ' ')"
+    for other, one in ACROSS:
+        out = f"replace({out}, {_q(other)}, {_q(one)})"
+    return out
+
+
 LICENSES_SQL = rf"""
 WITH k(i, licence, text) AS (VALUES {", ".join(f"({i}, {_q(n)}, {_q(t)})" for i, (n, t) in enumerate(KNOWN))}),
 kd AS (
   SELECT digest, min_by(licence, i) AS licence
-  FROM (SELECT i, licence, md5(array_to_string({_lines("text")}, ' ')) AS digest FROM k) GROUP BY digest),
+  FROM (SELECT i, licence, md5({_whole(_lines("text"))}) AS digest FROM k) GROUP BY digest),
 t AS (SELECT row_number() OVER () AS rid, doc_id, {_lines("coalesce(text, '')")} AS lines FROM documents),
-w AS (SELECT rid, doc_id, lines, md5(array_to_string(lines, ' ')) AS digest FROM t),
+w AS (SELECT rid, doc_id, lines, md5({_whole("lines")}) AS digest FROM t),
 h AS (
   SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
   FROM (SELECT rid, md5(unnest(lines)) AS digest FROM w) JOIN kd USING (digest) GROUP BY rid)
