@@ -42,8 +42,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class Descent:
     """Parameters: list length, sorts per round, block and tile sizes, and the audit.
 
-    ``audit_nodes`` is the number of nodes with links the audit asks for, ``rounds`` how many
-    rounds in a row may leave the recall as low as it was.
+    ``audit_nodes`` is the number of nodes with links the audit asks for; it draws at most
+    ``audit_most`` of all nodes, and as many of those that came within ``margin`` of a link.
+    ``rounds`` is how many rounds in a row may leave the recall as low as it was.
     """
 
     threshold: float = 0.95
@@ -53,8 +54,10 @@ class Descent:
     block: int = 64
     iterations: int = 4
     settled: float = 0.002
-    tile: int = 256
+    tile: int = 1024
     audit_nodes: int = 200
+    audit_most: int = 8192
+    margin: float = 0.02
     recall: float = 0.98
     rounds: int = 4
     seed: int = 11
@@ -284,20 +287,32 @@ def enlarged(graph: DataFrame, cut: DataFrame, nodes: DataFrame, spec: Descent)
     return counted.unionAll(others).groupBy("node").agg(F.sum("linked").alias("linked")), groups
 
 
-def audit(linked: DataFrame, nodes: DataFrame, spec: Descent) -> float:
+def audit(linked: DataFrame, nodes: DataFrame, spec: Descent, suspects: DataFrame | None = None) -> float:
     """Mean share of the rows linked to a node that were found, over nodes that have any.
 
     Nodes are drawn by hash and compared with all vectors, until ``spec.audit_nodes`` of them
-    have links or all are drawn.  Each counts the same, however many rows it is linked to.
-    Only links that hold are counted in ``linked``.  Without any link the recall is 1.
+    have links, all are drawn, or ``spec.audit_most`` are.  Where links are so rare, nodes of
+    ``suspects`` (column a: nodes that came near a link) are drawn in the same way, so that
+    the work is that of a bounded number of nodes against all.  Each node with a link counts the same,
+    however many rows it is linked to.  Only links that hold are counted in ``linked``.
+    Without any link the recall is 1.
     """
-    n, span, threshold = nodes.count(), 1 << 30, spec.threshold
+    shares = _shares(linked, nodes, nodes, spec, [])
+    if suspects is not None and len(shares) < spec.audit_nodes and nodes.count() > spec.audit_most:
+        near = stored(nodes.join(suspects.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+        shares = _shares(linked, nodes, near, spec, shares)
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def _shares(linked: DataFrame, nodes: DataFrame, pool: DataFrame, spec: Descent, shares: list[float]) -> list[float]:
+    """``shares`` and those of nodes drawn from ``pool``."""
+    n, span, threshold = pool.count(), 1 << 30, spec.threshold
     place = F.pmod(F.xxhash64("node", F.lit(spec.seed)), F.lit(span))
-    shares: list[float] = []
+    last = min(span, -(-span * spec.audit_most // max(n, 1)))
     low, width = 0, spec.audit_nodes
-    while n and low < span and len(shares) < spec.audit_nodes:
-        high = min(span, low + -(-span * width // n))
-        drawn = stored(nodes.filter((place >= low) & (place < high)).select("node", "vec"))
+    while n and low < last and len(shares) < spec.audit_nodes:
+        high = min(last, low + -(-span * width // n))
+        drawn = stored(pool.filter((place >= low) & (place < high)).select("node", "vec"))
         low, width = high, min(2 * width, 4096)
         chosen = drawn.toArrow()
         ids, blobs = chosen.column("node").to_numpy(), chosen.column("vec").to_pylist()
@@ -321,8 +336,8 @@ def audit(linked: DataFrame, nodes: DataFrame, spec: Descent) -> float:
                 .groupBy("node").agg(F.sum("n").alias("n")))
         seen = linked.join(F.broadcast(drawn.select("node")), "node")
         both = real.join(seen, "node", "left").select("n", F.coalesce("linked", F.lit(0)).alias("linked")).collect()
-        shares += [r["linked"] / r["n"] for r in both]
-    return sum(shares) / len(shares) if shares else 1.0
+        shares = shares + [r["linked"] / r["n"] for r in both]
+    return shares
 
 
 def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> DataFrame:  # noqa: B008
@@ -344,7 +359,7 @@ def near_duplicate_vectors(vectors: DataFrame, spec: Descent = Descent()) -> Dat
         linked, groups = enlarged(graph, cut, nodes, spec)
         linked = stored(linked)
         start += spec.sorts
-        recall = audit(linked, nodes, spec)
+        recall = audit(linked, nodes, spec, graph.filter(F.col("s") >= spec.threshold - spec.margin))
         if recall >= spec.recall:
             break
         best, stalled = max(best, recall), 0 if recall > best else stalled + 1
