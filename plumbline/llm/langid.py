@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import shared, trim
 
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,6 +139,7 @@ def identify(docs: DataFrame, model: Model, training: Training = Training()) ->
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()),
                  pa.array([x[1] for x in found], pa.float64())],
                 [*batch.schema.names, "lang_pred", "lang_score"])
+        trim()
 
     kept = docs.select(*rest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from .common import kept, shared
+from .common import kept, shared, trim
 
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -66,7 +66,7 @@ def read_vocabulary(path: str) -> Vocabulary:
 class Matcher:
     """A vocabulary made ready for binary search, and the units whose ids are known."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 300_000) -> None:
         """``remembered`` bounds the units whose ids are kept from one batch to the next."""
         self.vocabulary, self.remembered = vocabulary, remembered
         self.forget()
@@ -125,7 +125,7 @@ class Matcher:
         packed.sort()
         return packed >> self.bits, packed & ((1 << self.bits) - 1)
 
-    def encode_units(self, units: Sequence[str], chars: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, units: Sequence[str], chars: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of the different units has, and all ids, indexed together in
         portions of about ``chars``."""
         counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -350,17 +350,20 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, text: str, outs: Sequence[
     names = [f"c{i}" for i in range(len(rest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         matcher, surfaces = get()
-        for part in chain.from_iterable(
-                _portions(b, pc.binary_length(b.column("llm_text")), 3 << 20) for b in batches):
-            null = part.column("llm_text").is_null().to_numpy(zero_copy_only=False)
-            flat, ends = matcher.encode_flat(part.column("llm_text").to_pylist())
-            made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)),
-                                             mask=pa.array(null))]
-            if len(outs) > 1:
-                made.append(decode_all(surfaces, flat, ends, null))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made],
-                                             [*names, *[f"o{i}" for i in range(len(made))]])
+        for batch in batches:
+            for part in _portions(batch, pc.binary_length(batch.column("llm_text")), 2 << 20):
+                null = part.column("llm_text").is_null().to_numpy(zero_copy_only=False)
+                flat, ends = matcher.encode_flat(part.column("llm_text").to_pylist())
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)),
+                                                 mask=pa.array(null))]
+                if len(outs) > 1:
+                    made.append(decode_all(surfaces, flat, ends, null))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made],
+                                                 [*names, *[f"o{i}" for i in range(len(made))]])
+            batch = part = made = flat = ends = None
+            trim()
 
     sent = docs.select(docs[text].alias("llm_text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(rest)])
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import shared, trim
 
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -345,6 +345,7 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), mark:
         scanner = get()
         for texts in batches:
             yield pd.Series([_masked(scanner, t, mark) for t in texts], dtype=object)
+        trim()
 
     return docs.withColumn("text", mask("text"))
 
