@@ -35,9 +35,11 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is told; learned from those that name theirs."""
-    judged = langid.identify(docs, langid.train(docs.select("text", "lang")))
+    # Columns of the documents stay as they are, whatever their names.
+    named = {c: f"doc_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    judged = langid.identify(docs.withColumnsRenamed(named), langid.train(docs.select("text", "lang")))
     told = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)
-    return judged.filter(told).select(*docs.columns)
+    return judged.filter(told).select(*[F.col(named.get(c, c)).alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
