@@ -14,7 +14,8 @@ def test_tasks_run_without_the_package(tmp_path):
         sys.path.insert(0, {REPO!r})
         from pyspark.sql import functions as F
         from plumbline.session import local_session
-        from plumbline.llm import embeddings, langid, pieces, secret_scan, simhash, sketches, substring
+        from plumbline.llm import (bpe, embeddings, langid, negatives, pieces, secret_scan, simhash, sketches,
+                                   substring, trie)
         from plumbline.llm.catalog import VOCABULARY
         spark = local_session("ship", cpus="2")
         text = F.concat(F.lit("token=abcdefghij "), F.repeat(F.lit("some words in a row "), 20))
@@ -29,6 +30,11 @@ def test_tasks_run_without_the_package(tmp_path):
         assert {{r.n_removed for r in substring.remove_repeats(docs).collect()}} == {{101}}
         vectors = spark.range(4).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
         embeddings.near_duplicate_vectors(vectors).collect()
+        bpe.encode_decode(docs, bpe.Codec({{bytes([i]): i for i in range(256)}}, r"\\S+|\\s+")).collect()
+        both = vectors.withColumn("label", F.col("vec_id") % 2)
+        assert negatives.mine_negatives(both, lambda i: i == 0, negatives.Mining(high=100)).count() == 2
+        turns = spark.range(6).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", "'hello' AS text")
+        assert trie.prefix_trie(*trie.share_heads(turns)).count() == 4
         print("done")
     """
     run = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, timeout=600,
