@@ -274,8 +274,9 @@ def _(spark, sf):
     it was refused."""
     root = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     schema = table(spark, sf, "embeddings").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet")
-              .parquet(sf))
+    # A pattern, as a stream takes no single file as its path: it finds the table as one file
+    # and as a folder of part files alike.
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parque[t]")
     name = F.when(F.col("label") < 5, F.lit("clip.mp4")).otherwise(F.lit("notes.txt"))
     arrivals = stream.withColumn("path", name).withColumn("length", F.size("embedding") * 4)
 

@@ -112,3 +112,16 @@ def test_routing_survives_a_stop_between_the_writes(spark, tmp_path):
         df.filter("true").count() for _ in range(1)) * 2 // 4
     run()
     assert intake.routed(spark, target).count() == 40
+
+
+@tables
+@pytest.mark.parametrize("parts", [1, 3])
+def test_intake_reads_a_table_of_files(spark, tmp_path, parts):
+    one = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = {r.vec_id: r.label >= 5 for r in one.select("vec_id", "label").collect()}
+    if parts == 1:
+        os.symlink(f"{SF}/embeddings.parquet", tmp_path / "embeddings.parquet")
+    else:
+        one.repartition(parts).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["intake_stream"](spark, str(tmp_path)).select("vec_id", "reject_reason").collect()
+    assert len(got) == len(want) and {r.vec_id: r.reject_reason is not None for r in got} == want
