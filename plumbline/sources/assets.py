@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .files import fetch
 from .manifests import ManifestSource
 
+# Ship the functions themselves, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Folder and file name endings per kind, in order of preference.
 NAMES = {
     "audio": ("audio", [".flv_melspec.npy", "_melspec.npy"]),
@@ -67,18 +78,102 @@ def parse_assets(listing: DataFrame, source: ManifestSource, path: str = "path")
                     *[c for c in listing.columns]))
 
 
+def _local(root: str) -> str | None:
+    """The path of a root in the file system that all machines share, else None."""
+    found = re.match(r"^(?:file:/*(?=/[^/]))?(/.*)$", root)
+    return found and (found.group(1).rstrip("/") or "/")
+
+
+def _seen(name: str) -> bool:
+    """Whether Spark's own file sources would list a name."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names in every given folder, without a look at what they name."""
+    def rows():
+        for batch in batches:
+            for place, root, folder, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not os.path.isdir(root):
+                    raise FileNotFoundError(f"no folder {root}")
+                if os.path.isdir(folder):
+                    with os.scandir(folder) as entries:
+                        yield from ((place, inside, os.fsencode(e.path)) for e in entries if _seen(e.name))
+
+    return _in_batches(rows(), pa.schema([("place", pa.int32()), ("inside", pa.bool_()), ("path", pa.binary())]))
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, path, length) of every named file, or with ``inside`` of the files in every
+    named folder."""
+    def rows():
+        for batch in batches:
+            for place, inside, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if inside and os.path.isdir(path):
+                    with os.scandir(os.fsdecode(path)) as entries:
+                        yield from ((place, _shown(e.path), e.stat().st_size) for e in entries if _seen(e.name) and e.is_file())
+                elif not inside and os.path.isfile(path):
+                    yield place, _shown(path), os.stat(path).st_size
+
+    return _in_batches(rows(), pa.schema([("place", pa.int32()), ("path", pa.string()), ("length", pa.int64())]))
+
+
+def _shown(path: str | bytes) -> str:
+    return "file:" + os.fsencode(path).decode("utf-8", "replace")
+
+
+def _listed(spark: SparkSession, sources: Sequence[ManifestSource]) -> DataFrame:
+    """(place, path, length) of the asset files of sources in a shared file system; place is
+    the position of the source.
+
+    A task reads the names in one of the few asset folders; these are dealt to tasks that
+    look at each file, or list each sample's folder.  Neither files nor partitions pass
+    through the driver, and what was found is stored, so that all readers see the same files.
+    """
+    bases = [(i, _local(s.root), _local(b) or "") for i, s in enumerate(sources) for b in dict.fromkeys(s.bases())]
+    folders = [(i, root, f"{base}/{name}", name == "visual") for i, root, base in bases for name in ("audio", "text", "visual")]
+    places = spark.createDataFrame(folders, "place int, root string, folder string, inside boolean")
+    names = places.mapInArrow(_names, "place int, inside boolean, path binary")
+    dealt = names.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    found = dealt.mapInArrow(_files, "place int, path string, length long")
+    # A base inside another one has files that belong to both.
+    if any(i == j and a.startswith(f"{b}/") for i, _, a in bases for j, _, b in bases):
+        found = found.distinct()
+    return stored(found)
+
+
 def list_assets(spark: SparkSession, source: ManifestSource, content: bool = False) -> DataFrame:
     """Listing of a source's asset tree; file contents are read only on request."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .load(source.root))
-    cols = ["path", "length"] + (["content"] if content else [])
-    return parse_assets(raw.select(*cols), source)
+    return list_registry_assets(spark, [source], content)
 
 
 def list_registry_assets(spark: SparkSession, sources: Sequence[ManifestSource],
                          content: bool = False) -> DataFrame:
-    """Listings of all registered sources as one frame, tagged with the source."""
-    return reduce(DataFrame.unionByName, [list_assets(spark, s, content) for s in sources])
+    """Listings of all registered sources as one frame, tagged with the source.
+
+    Roots in a file system that all machines share are listed in tasks, of all sources
+    together; those in other stores as Spark's file sources do it, through the driver.
+    """
+    shared = [s for s in sources if _local(s.root)]
+    listed = _listed(spark, shared) if shared else None
+    parts = []
+    for s in sources:
+        if s in shared:
+            found = parse_assets(listed.filter(F.col("place") == shared.index(s)).select("path", "length"), s)
+            if content:
+                found = fetch(found, {"path": "content"})
+                failed = F.raise_error(F.concat(F.lit("cannot read "), "path", F.lit(": "), "error")).cast("binary")
+                found = found.withColumn("content", F.when(F.col("error").isNull(), F.col("content")).otherwise(failed)).drop("error")
+        else:
+            raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(s.root)
+            found = parse_assets(raw.select("path", "length", *(["content"] if content else [])), s)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inventory(expected: DataFrame, listing: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -115,3 +115,19 @@ def test_fetch_and_write(spark, tmp_path):
     got = {r.id: (r.raw and bytes(r.raw), r.error) for r in fetch(df, {"path": "raw"}).collect()}
     assert got == {1: (b"1", None), 2: (b"", None), 3: (None, None), 4: (None, "FileNotFoundError")}
     assert fetch(df.limit(0), {"path": "raw"}).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_few_tasks_for_many_files(spark):
+    source = write_corpus(spark, SF)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        listing = list_registry_assets(spark, [source])
+        n = prepare_samples(manifest_rows(spark, source), listing, width=4).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+    # A task for some tens of files would be more than that, as there are thousands.
+    assert n > 400 and listing.count() > 4000 and tasks < 150
