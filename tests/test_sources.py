@@ -1,6 +1,7 @@
 """Manifests, asset trees and health on small files, with every edge the readers know."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -256,3 +257,52 @@ def test_inventory(spark):
     want = spark.createDataFrame([("a",), ("b",)], "name string")
     have = spark.createDataFrame([("a",), ("a",), ("x",)], "name string")
     assert sorted(map(tuple, assets.inventory(want, have, ["name"]).collect())) == [("a", "present"), ("b", "MISSING")]
+
+
+def odd_tree(root):
+    for base in ("train", "train/visual", "dev"):
+        for d in ("audio", "text", "visual/a", "visual/a b=%20", "visual/_hidden", "visual/empty", "visual/audio", "visual/a/deep"):
+            (root / base / d).mkdir(parents=True, exist_ok=True)
+        for f in ("audio/a.flv_melspec.npy", "audio/_b_melspec.npy", "audio/_c=1_melspec.npy", "audio/.d_melspec.npy", "audio/note.txt",
+                  "text/a b=%20_input_ids.npy", "text/ü_attention_mask.npy", "visual/loose.jpg", "visual/a/frame_1.jpg", "visual/a/.hid",
+                  "visual/a b=%20/frame_1.jpg", "visual/a b=%20/attention_weights.json", "visual/_hidden/frame_1.jpg",
+                  "visual/audio/z_melspec.npy", "visual/a/deep/frame_2.jpg", "other.npy"):
+            (root / base / f).write_bytes(f.encode())
+    (root / "outside_melspec.npy").write_bytes(b"x")
+
+
+@pytest.mark.parametrize("subdirs", [("train", "dev", "gone"), ("train", "train/visual"), ()])
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_listing_in_tasks_equals_sparks(spark, tmp_path, subdirs, scheme):
+    odd_tree(tmp_path)
+    src = ManifestSource("s", f"{scheme}{tmp_path}{'' if subdirs else '/train'}", "m.csv", subdirs=subdirs)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(src.root)
+    want = assets.parse_assets(raw.select("path", "length", "content"), src)
+    for content in (False, True):
+        got = assets.list_assets(spark, src, content)
+        assert got.columns == [c for c in want.columns if content or c != "content"]
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect()) and got.count() > 5
+
+
+def test_odd_roots(spark, tmp_path):
+    with pytest.raises(Exception, match="no folder"):
+        assets.list_assets(spark, ManifestSource("s", str(tmp_path / "gone"), "m.csv"))
+    assert assets.list_assets(spark, ManifestSource("s", str(tmp_path), "m.csv")).count() == 0
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "audio/a_melspec.npy").write_bytes(b"x")
+    (tmp_path / "audio" / os.fsdecode(b"\xff_melspec.npy")).write_bytes(b"x")
+    listing = assets.list_assets(spark, ManifestSource("s", str(tmp_path), "m.csv"), content=True)
+    assert listing.count() == 2
+    (tmp_path / "audio/a_melspec.npy").unlink()
+    with pytest.raises(Exception, match="cannot read .*a_melspec.npy: FileNotFoundError"):
+        listing.filter("file_id = 'a'").collect()
+
+
+def test_listing_needs_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"visual/{i}").mkdir(parents=True)
+        for j in range(4):
+            (tmp_path / f"visual/{i}/frame_{j}.jpg").write_bytes(b"")
+    listing = assets.list_assets(spark, ManifestSource("s", str(tmp_path), "m.csv"))
+    assert listing.count() == 1600
+    assert listing.rdd.getNumPartitions() <= 16
