@@ -138,7 +138,7 @@ def write_faulty(spark: SparkSession, sf: str) -> list[ManifestSource]:
 
 def report_on(spark: SparkSession, sources: list[ManifestSource]):
     rows = scan_registry(spark, sources)
-    listing = list_registry_assets(spark, sources, content=True)
+    listing = list_registry_assets(spark, sources)
     return health_report(rows, listing, [s.name for s in sources], f"{shared_dir(spark)}/health-{uuid.uuid4().hex}")
 
 

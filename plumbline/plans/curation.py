@@ -21,7 +21,7 @@ from ..operators.leakage import in_all, marks, mask_counts
 from ..operators.resolve import complete_samples
 from ..operators.splits import split_by_group
 from ..session import stored
-from ..sources.arrays import probe_arrays
+from ..sources.arrays import probe_arrays, probe_files
 
 KIND = "forgery_type"
 
@@ -60,20 +60,23 @@ def heldout_evaluation(scores: DataFrame, group: str, dataset: str, kind: str, y
             else one_vs_reference(held, dataset, kind, y, p))
 
 
-def probed(listing_with_content: DataFrame) -> DataFrame:
-    """An asset listing with a probe of every array file instead of the contents; frames and
-    JSON weights are listed, not decoded."""
+def probed(listing: DataFrame) -> DataFrame:
+    """An asset listing with a probe of every array file; frames and JSON weights are listed,
+    not decoded.  Contents are taken from the listing; without any, the files are opened in
+    the tasks, and what was read goes no further."""
     is_array = F.col("path").endswith(".npy") & (F.col("kind") != "other")
-    arrays = probe_arrays(listing_with_content.filter(is_array)).drop("content")
+    if "content" not in listing.columns:
+        return probe_files(listing, is_array)
+    arrays = probe_arrays(listing.filter(is_array)).drop("content")
     kind = arrays.schema["probe"].dataType
-    rest = (listing_with_content.filter(~is_array).drop("content")
+    rest = (listing.filter(~is_array).drop("content")
             .withColumn("probe", F.lit(None).cast(kind)))
     return arrays.unionByName(rest)
 
 
-def health_check(manifest: DataFrame, listing_with_content: DataFrame) -> DataFrame:
-    """Issues of a source from an asset listing that carries file contents."""
-    return issues(manifest, health_rows(probed(listing_with_content)))
+def health_check(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """Issues of a source from an asset listing, with or without file contents."""
+    return issues(manifest, health_rows(probed(listing)))
 
 
 @dataclass(frozen=True)
@@ -94,7 +97,7 @@ class HealthReport:
             raise ValueError(f"{self.problems()} integrity problems")
 
 
-def health_report(manifest: DataFrame, listing_with_content: DataFrame, sources: Sequence[str], target: str,
+def health_report(manifest: DataFrame, listing: DataFrame, sources: Sequence[str], target: str,
                   lengths: int = 5, examples: int = 8) -> HealthReport:
     """Check every file of the registered ``sources`` once and report per source.
 
@@ -115,7 +118,7 @@ def health_report(manifest: DataFrame, listing_with_content: DataFrame, sources:
         return F.coalesce(F.sum(F.when(mine, F.greatest(value, F.lit(0)))), F.lit(0))
 
     seen = Observation()
-    judged = judged_rows(manifest, health_rows(probed(listing_with_content)))
+    judged = judged_rows(manifest, health_rows(probed(listing)))
     judged.observe(seen, *[number(s, n).alias(f"m{i}") for i, (s, n) in enumerate(one)]).write.parquet(target)
     totals = {key: int(seen.get[f"m{i}"]) for i, key in enumerate(one)}
     found = spark.read.schema(judged.schema).parquet(target)

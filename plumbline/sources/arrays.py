@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import sys
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import read_file
+
 # Ship the functions themselves, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,18 +46,27 @@ def _decode(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shape", "data", "ints", "err"])
 
 
+def _looked_at(load: Callable[[], np.ndarray]) -> tuple:
+    try:
+        a = load()
+        floating = bool(np.issubdtype(a.dtype, np.floating))
+        return (list(a.shape), floating, floating and bool(np.isnan(a).any()),
+                floating and bool(np.isinf(a).any()), None)
+    except Exception as e:  # noqa: BLE001 - a broken file is a value, not a failure
+        return None, None, None, None, type(e).__name__
+
+
 @F.pandas_udf(PROBE)
 def _probe(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for raw in content:
-        try:
-            a = _load(raw)
-            floating = bool(np.issubdtype(a.dtype, np.floating))
-            rows.append((list(a.shape), floating, floating and bool(np.isnan(a).any()),
-                         floating and bool(np.isinf(a).any()), None))
-        except Exception as e:  # noqa: BLE001
-            rows.append((None, None, None, None, type(e).__name__))
-    return pd.DataFrame(rows, columns=["shape", "is_float", "has_nan", "has_inf", "err"])
+    return pd.DataFrame([_looked_at(lambda: _load(raw)) for raw in content], columns=PROBE.names)
+
+
+@F.pandas_udf(PROBE)
+def _probe_file(path: pd.Series) -> pd.DataFrame:
+    # Files are opened some together, and none is held longer than it takes to look at it.
+    with ThreadPoolExecutor(8) as pool:
+        rows = list(pool.map(lambda p: (None,) * 5 if p is None else _looked_at(lambda: _load(read_file(p))), path))
+    return pd.DataFrame(rows, columns=PROBE.names)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -108,6 +121,12 @@ def probe_arrays(df: DataFrame, content: str = "content", out: str = "probe") ->
     return df.withColumn(out, _probe(F.col(content)))
 
 
+def probe_files(df: DataFrame, when: Column, path: str = "path", out: str = "probe") -> DataFrame:
+    """The same from the files themselves, which are opened in the tasks; NULL where ``when``
+    does not hold."""
+    return df.withColumn(out, F.when(when, _probe_file(F.when(when, F.col(path)))))
+
+
 def bands(array: Column | str) -> Column:
     """Band-major 2-D array from a decoded struct(shape, data)."""
     a = F.col(array) if isinstance(array, str) else array

@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.catalog import QUERIES
+from plumbline.catalog.curate import checked_files
 from plumbline.catalog.samples import report_on, write_faulty
 from plumbline.functions.scores import verdict
 from plumbline.operators import leakage, scoring
 from plumbline.plans import curation
+from plumbline.sources import assets
+from plumbline.sources.manifests import ManifestSource
 from plumbline.streaming import intake
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +128,42 @@ def test_intake_reads_a_table_of_files(spark, tmp_path, parts):
         one.repartition(parts).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = QUERIES["intake_stream"](spark, str(tmp_path)).select("vec_id", "reject_reason").collect()
     assert len(got) == len(want) and {r.vec_id: r.reject_reason is not None for r in got} == want
+
+
+def test_health_without_contents(spark, tmp_path):
+    import numpy as np
+    for folder in ("audio", "text", "visual/a", "visual/b"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name, array in (("audio/a_melspec.npy", np.ones((80, 3))), ("audio/b_melspec.npy", np.full((80, 2), np.nan)),
+                        ("text/a_input_ids.npy", np.ones((1, 7), int)), ("text/a_attention_mask.npy", np.ones((1, 5), int)),
+                        ("visual/b/keyframe_weights.npy", np.array([np.inf]))):
+        np.save(tmp_path / name, array)
+    (tmp_path / "visual/a/frame_1.jpg").write_bytes(b"junk")
+    (tmp_path / "visual/a/attention_weights.npy").write_bytes(b"junk")
+    (tmp_path / "visual/a/notes.npy").write_bytes(b"junk")
+    source = ManifestSource("s", str(tmp_path), "m.csv")
+    manifest = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "c")], "source string, file_id string")
+
+    def report(content):
+        listing = assets.list_assets(spark, source, content)
+        out = curation.health_report(manifest, listing, ["s"], str(tmp_path / f"out-{content}"))
+        return sorted(out.rows.collect(), key=str), sorted(curation.health_check(manifest, listing).collect(), key=str)
+
+    with_contents, without = report(True), report(False)
+    assert without == with_contents
+    assert {(r.file_id, r.issue) for r in without[1]} == {
+        ("a", "shape mismatch (1, 7) vs (1, 5)"), ("a", "load_error:ValueError"), ("b", "NaN"), ("b", "no frames"), ("b", "Inf")}
+
+
+@tables
+def test_files_are_made_in_one_pass(spark):
+    plan = checked_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    assert checked_files(spark, SF).select("path").distinct().count() == checked_files(spark, SF).count() > 2000
+
+
+@tables
+def test_files_are_not_made_while_they_are_probed(spark):
+    # A task runs one Python worker for each such step of its plan.
+    plan = QUERIES["issues"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
