@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, scores, vectors
 from ..operators import compare, dedup, filters, health, leakage, resolve, sampling
 from ..plans import curation
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import arrays, assets, manifests
 from . import frames
 from .registry import query, table
@@ -454,30 +454,29 @@ def checked_files(spark, sf):
     mask_len = F.when(lab == 5, 16).otherwise(32)
     inf = F.concat("embedding", F.array(F.lit(float("inf")).cast("float")))
 
-    def files(where, path, content):
-        return e.filter(where).select(path.alias("path"), content.alias("content"))
-
-    base = F.lit("/corpus/train")
-    always = F.lit(True)
-    parts = [
-        files(always, F.concat(base, F.lit("/audio/"), "id", F.lit("_melspec.npy")), audio),
-        files(always, F.concat(base, F.lit("/text/"), "id", F.lit("_input_ids.npy")),
-              arrays.encode_array(F.slice("embedding", 1, 32))),
-        files(always, F.concat(base, F.lit("/text/"), "id", F.lit("_attention_mask.npy")),
-              arrays.encode_array(F.slice("embedding", F.lit(1), mask_len))),
-        files(lab != 6, F.concat(base, F.lit("/visual/"), "id", F.lit("/frame_1.jpg")), junk),
-        files(lab != 7, F.concat(base, F.lit("/visual/"), "id", F.lit("/keyframe_weights.npy")),
-              arrays.encode_array(F.when(lab == 8, inf).otherwise(F.col("embedding"))))]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows
+    def file(where, folder, ending, content):
+        # A missing condition means every row.
+        made = F.struct(F.concat(F.lit(f"/corpus/train/{folder}/"), "id", F.lit(ending)).alias("path"), content.alias("content"))
+        return made if where is None else F.when(where, made)
+
+    # All files of a vector are made in one step, from one read of the table.
+    made = e.select("id", "label", audio.alias("_audio"), arrays.encode_array(F.slice("embedding", 1, 32)).alias("_ids"),
+                    arrays.encode_array(F.slice("embedding", F.lit(1), mask_len)).alias("_mask"),
+                    arrays.encode_array(F.when(lab == 8, inf).otherwise(F.col("embedding"))).alias("_weights"))
+    each = F.array(
+        file(None, "audio", "_melspec.npy", F.col("_audio")),
+        file(None, "text", "_input_ids.npy", F.col("_ids")),
+        file(None, "text", "_attention_mask.npy", F.col("_mask")),
+        file(lab != 6, "visual", "/frame_1.jpg", junk),
+        file(lab != 7, "visual", "/keyframe_weights.npy", F.col("_weights")))
+    return made.select(F.explode(each).alias("f")).filter("f IS NOT NULL").select("f.path", "f.content")
 
 
 def _checked(spark, sf):
     e = table(spark, sf, "embeddings")
     manifest = e.select(F.lit("corpus").alias("source"), F.col("vec_id").cast("string").alias("file_id"))
-    return manifest, assets.parse_assets(checked_files(spark, sf), frames.CORPUS)
+    # Stored, so that a task does not make files in one Python worker while it probes them in another.
+    return manifest, assets.parse_assets(stored(checked_files(spark, sf)), frames.CORPUS)
 
 
 ISSUES = """i AS (
