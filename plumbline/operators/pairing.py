@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles
-from ..session import join_summary, stored
+from ..session import is_small, join_summary, stored
 from .keyframes import DURATION_SLACK, OTHER_IDENTITY, SAME_IDENTITY
 
 # Ship the functions themselves, so that executors need not have this package.
@@ -60,42 +60,52 @@ def _sides(clips: DataFrame, clip: str, min_own: float, width: float, seed: int)
         F.col("emotion").cast("string").alias("emotion"), F.col("duration").cast("double").alias("duration"),
         doubles("voice").alias("voice"), doubles("reference").alias("reference"),
         bucket.alias("bucket"), place_of(F.col(clip), seed + 1).alias("place")).filter("id IS NOT NULL")
-    rank = F.struct(place_of(F.col("id"), seed).alias("turn"), F.col("id").alias("id"))
     videos = known.filter("reference IS NOT NULL").select(
-        "id", "speaker", "emotion", "duration", F.col("reference").alias("vector"), "bucket", "place", rank.alias("rank"))
+        "id", "speaker", "emotion", "duration", F.col("reference").alias("vector"), "bucket", "place", place_of(F.col("id"), seed).alias("turn"))
     audios = known.withColumn("own", cosine("voice", "reference")).filter(F.col("own") >= F.lit(min_own)).select(
         "id", "speaker", "emotion", "duration", F.col("voice").alias("vector"), "bucket", "place", "own")
     return videos, audios
 
 
-def _proposals(videos: DataFrame, audios: DataFrame, arc: int, meet: int, max_other: float, slack: float) -> DataFrame:
+def _in_halo(audios: DataFrame) -> DataFrame:
+    """Audios in their own bucket and the two beside it."""
+    return audios.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])))
+
+
+def _proposals(going: DataFrame, videos: DataFrame, audios: DataFrame, n_audios: DataFrame, arc: int, meet: int,
+               max_other: float, slack: float) -> DataFrame:
     """For every unsettled video its next proposal, or where on the ring it goes on.
 
-    ``videos`` have lap, at and after: the place, and the audio there, up to which they have
+    ``going`` have lap, at and after: the place, and the audio there, up to which they have
     been; ``audios`` the turn and id of the worst proposal that they keep, if they are full.
+    ``n_audios`` counts all audios by bucket of their halo.  Of ``audios``, only those in arcs
+    where an unsettled video stands are sent to it.
     """
-    halo = audios.withColumn("bucket", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])))
-    n_audios = halo.groupBy("bucket").agg(F.count("*").alias("na"))
-    n_videos = videos.groupBy("bucket").agg(F.count("*").alias("nv"))
+    n_videos = going.groupBy("bucket").agg(F.count("*").alias("nv"))
     # One row per duration bucket that has both.
     plan = n_audios.join(n_videos, "bucket").select(
         "bucket", F.ceil(F.col("na") / arc).alias("arcs"),
         F.ceil(F.col("nv") / F.ceil(F.col("na") / arc) / meet).alias("ways"))
     plan = stored(plan)
+    small = is_small(plan)
     on = F.shiftright(F.col("spot") * F.col("arcs"), BITS)
     keys = ["bucket", "arc", "way"]
     # Columns get names of their own, as both sides come from the same plan.
-    left = join_summary(videos.withColumn("spot", F.col("at")), plan, ["bucket"], "inner").select(
+    keyed = join_summary(going.withColumn("spot", F.col("at")), plan, ["bucket"], "inner", small).select(
         F.col("bucket").alias("vb"), on.alias("va"), F.pmod(F.xxhash64("id"), F.col("ways")).alias("vw"),
-        F.col("arcs").alias("va_all"), *[F.col(c) for c in videos.columns if c != "bucket"]).toDF(
-            *keys, "arcs", *[c for c in videos.columns if c != "bucket"])
-    right = join_summary(halo.withColumn("spot", F.col("place")), plan, ["bucket"], "inner").select(
+        F.col("arcs").alias("va_all"), *[F.col(c) for c in going.columns if c != "bucket"]).toDF(
+            *keys, "arcs", *[c for c in going.columns if c != "bucket"])
+    left = keyed.join(videos.select("id", "speaker", "emotion", "duration", "vector"), "id")
+    right = join_summary(_in_halo(audios).withColumn("spot", F.col("place")), plan, ["bucket"], "inner", small).select(
         F.col("bucket").alias("ab"), on.alias("aa"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("aw"),
         *[F.col(c) for c in audios.columns if c != "bucket"]).toDF(*keys, *[c for c in audios.columns if c != "bucket"])
+    met = keyed.select(*keys).distinct().toDF("mb", "ma", "mw")
+    right = right.join(met, (F.col("bucket") == F.col("mb")) & (F.col("arc") == F.col("ma")) & (F.col("way") == F.col("mw")), "left_semi")
 
     def meet_arc(key: tuple, v: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"id": v["id"], "audio": pd.array([None] * len(v), "Int64"),
-                            "other": np.nan, "lap": v["lap"], "at": v["at"], "after": v["after"]})
+                            "other": np.nan, "lap": v["lap"], "at": v["at"], "after": v["after"],
+                            "place": v["place"], "turn": v["turn"], "bucket": key[0]})
         if not len(v):
             return out
         # Where the next arc begins; behind the last one the next lap does.
@@ -116,7 +126,7 @@ def _proposals(videos: DataFrame, audios: DataFrame, arc: int, meet: int, max_ot
         fits &= (place[None, :] > at[:, None]) | ((place[None, :] == at[:, None]) & (ident[None, :] > after[:, None]))
         fits &= (lap[:, None] == 0) | (place[None, :] < home[:, None])
         # A full audio takes a video only in place of a worse one.
-        turn, number = v["rank"].map(lambda r: r["turn"]).to_numpy(), v["id"].to_numpy()
+        turn, number = v["turn"].to_numpy(), v["id"].to_numpy()
         full, worst, last = a["full"].to_numpy().astype(bool), a["worst_turn"].to_numpy(), a["worst_id"].to_numpy()
         fits &= ~full[None, :] | (turn[:, None] < worst[None, :]) | (
             (turn[:, None] == worst[None, :]) & (number[:, None] < last[None, :]))
@@ -130,7 +140,7 @@ def _proposals(videos: DataFrame, audios: DataFrame, arc: int, meet: int, max_ot
         return out
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        meet_arc, "id long, audio long, other double, lap int, at long, after long")
+        meet_arc, "id long, audio long, other double, lap int, at long, after long, place long, turn long, bucket long")
 
 
 def match_clips(clips: DataFrame, clip: str = "clip_id", quota: int = 1, min_own: float = SAME_IDENTITY,
@@ -146,16 +156,19 @@ def match_clips(clips: DataFrame, clip: str = "clip_id", quota: int = 1, min_own
     """
     videos, audios = _sides(clips, clip, min_own, slack * 1.001, seed)
     videos, audios = stored(videos), stored(audios)
-    # A video starts in front of the audios at its own place.
-    going = stored(videos.select("id", F.lit(0).alias("lap"), F.col("place").alias("at"),
+    n_audios = stored(_in_halo(audios).groupBy("bucket").agg(F.count("*").alias("na")))
+    # A video starts in front of the audios at its own place.  What is asked of it in each
+    # round goes with it, so that only those that still go are joined with their vectors.
+    own = ["id", "place", "turn", "bucket"]
+    going = stored(videos.select(*own, F.lit(0).alias("lap"), F.col("place").alias("at"),
                                  F.lit(-(1 << 62)).cast("long").alias("after")))
     held = None
-    while not going.isEmpty():
-        least = going.join(videos.select("id", "rank"), "id").agg(F.min("rank").alias("least")).first().least
+    rank = F.struct("turn", "id")
+    while (least := going.agg(F.min(rank).alias("least")).first().least) is not None:
         worst = None
         if held is not None:
             worst = held.groupBy(F.col("audio").alias("id")).agg(
-                F.count("*").alias("n"), F.max("rank").alias("worst")).filter(F.col("n") >= quota)
+                F.count("*").alias("n"), F.max(rank).alias("worst")).filter(F.col("n") >= quota)
         free = audios.drop("own")
         if worst is None:
             free = free.select("*", F.lit(False).alias("full"), F.lit(0).cast("long").alias("worst_turn"),
@@ -167,24 +180,21 @@ def match_clips(clips: DataFrame, clip: str = "clip_id", quota: int = 1, min_own
             # Audios that keep better videos than any that is still on its way are closed.
             best = F.struct(F.lit(least.turn).cast("long").alias("turn"), F.lit(least.id).cast("long").alias("id"))
             free = free.filter(~F.col("full") | (F.struct("worst_turn", "worst_id") > best))
-        moved = stored(_proposals(going.join(videos, "id"), free, arc, meet, max_other, slack))
-        made = moved.filter("audio IS NOT NULL").join(videos.select("id", "rank", "place"), "id")
-        made = made.select("id", "audio", "other", "rank", "place", "lap", "at", "after")
+        moved = stored(_proposals(going, videos, free, n_audios, arc, meet, max_other, slack))
+        made = moved.filter("audio IS NOT NULL")
         every = made if held is None else held.unionByName(made)
-        over = W.partitionBy("audio").orderBy("rank")
+        over = W.partitionBy("audio").orderBy("turn", "id")
         judged = stored(every.withColumn("_turn", F.row_number().over(over)))
         held = judged.filter(F.col("_turn") <= quota).drop("_turn")
-        refused = judged.filter(F.col("_turn") > quota).select("id", "place", "lap", "at", "after")
-        passed = moved.filter("audio IS NULL").join(videos.select("id", "place"), "id").select(
-            "id", "place", "lap", "at", "after")
+        refused = judged.filter(F.col("_turn") > quota).select(*own, "lap", "at", "after")
+        passed = moved.filter("audio IS NULL").select(*own, "lap", "at", "after")
         # Once round the ring, a video has met all audios that it could have.
         left = refused.unionByName(passed).filter((F.col("lap") == 0) | ((F.col("lap") == 1) & (F.col("at") < F.col("place"))))
-        going = stored(left.drop("place"))
+        going = stored(left)
         arc = min(2 * arc, max(LONGEST_ARC, arc))
     if held is None:
         return clips.sparkSession.createDataFrame(
             [], "video_id long, audio_id long, own_similarity double, other_similarity double")
-    own = audios.select(F.col("id").alias("audio"), "own")
-    return held.join(own, "audio").select(
+    return held.join(audios.select(F.col("id").alias("audio"), "own"), "audio").select(
         F.col("id").alias("video_id"), F.col("audio").alias("audio_id"), F.col("own").alias("own_similarity"),
         F.col("other").alias("other_similarity"))

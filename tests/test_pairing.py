@@ -78,3 +78,19 @@ def test_odd_clips(spark):
     assert pairs == {(1, 2), (2, 1)}
     assert pairing.match_clips(spark.createDataFrame([one], SCHEMA)).count() == 0
     assert pairing.match_clips(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_round_runs_few_jobs(spark, monkeypatch):
+    rows = drawn(60, 2, [0.0, 0.15, 0.3, 0.45, 2.0])
+    clips = spark.createDataFrame(rows, SCHEMA)
+    rounds, own = [], pairing._proposals
+    monkeypatch.setattr(pairing, "_proposals", lambda *a: (rounds.append(1), own(*a))[1])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        got = {r.video_id: r.audio_id for r in pairing.match_clips(clips, quota=2, arc=4).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == turns(rows, 2)
+    jobs = len(tracker.getJobIdsForGroup("few-jobs")) / len(rounds)
+    assert len(rounds) > 3 and jobs < 25, jobs
